@@ -30,9 +30,9 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     before, whole = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     total = F.sum("source_size").over(whole) * F.lit(share)
     level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    s = s.withColumn("_t", level)
-    t = F.min(F.when(F.col("_rho") >= F.col("_t") * (1 - 1e-12), F.col("_t"))).over(whole)
-    return s.withColumn("target", F.least("_cap", F.col("_w") * F.coalesce(t, F.lit(0.0)))).drop("_w", "_cap", "_rho", "_t")
+    s = s.withColumn("_t", F.when(F.col("_rho") >= level * (1 - 1e-12), F.struct(F.row_number().over(rank).alias("n"), level.alias("t"))))
+    t = F.min("_t").over(whole)["t"]  # the first source that isn't full; where all are full, no level holds
+    return s.withColumn("target", F.least("_cap", F.coalesce(F.col("_w") * t, F.col("_cap")))).drop("_w", "_cap", "_rho", "_t")
 
 
 def tilt(histogram: Column, target: Column, steps: int = 60) -> Column:
