@@ -172,3 +172,25 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         if state[0] == state[2] and tuple(state) == seen:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         seen = tuple(state)
+
+
+# ---------------------------------------------------------------- labelled samples for classifiers
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> list[tuple[str, int]]:
+    """(text, 0 or 1) of at most `most` labelled documents a class, the same at every run: the lowest hashes of doc_id.
+
+    A label that is null is left out; of several labels of a document the largest counts. Only the sample's texts,
+    bounded by `most`, reach the driver.
+    """
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
+    rows = rows.where(where) if where is not None else rows
+    rows = rows.groupBy("doc_id").agg(F.max(label).alias("_y"))
+    picked = [rows.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
+    ids = picked[0].unionByName(picked[1])
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * most ids at most
+    return [(r["text"], r["_y"]) for r in texts.select(F.xxhash64("doc_id").alias("k"), "doc_id", "text", "_y").orderBy("k", "doc_id", "text").collect()]
+
+
+def as_batch(texts: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["row", "text"])
