@@ -15,6 +15,8 @@ NGRAMS = (3, 4, 5)
 BITS = 17
 #: White space is one symbol, so that n-grams see where words begin and end.
 _SYMBOL = np.where(_BYTES == 0, np.uint64(0x51ED270B9F0C2A6D), _BYTES)
+#: Buckets of a pair of neighbouring words: different, or one word twice. Pairs of any repeated word share a vector.
+_AGAIN = np.array([0, 1], np.int64)
 
 
 @dataclass
@@ -31,9 +33,14 @@ class Model:
 
 
 def features(buf: np.ndarray, cuts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """[(buckets, first bucket of each text)] for words and each n-gram length; no n-gram spans two texts."""
+    """[(buckets, first bucket of each text)] for words, repeats of a word and each n-gram length, none across two texts."""
     words, at = word_hashes(buf, cuts)
     out = [((words >> np.uint64(64 - BITS)).astype(np.int64), at)]
+    if len(words):
+        again = np.zeros(len(words), np.int64)
+        again[1:] = words[1:] == words[:-1]
+        again[at[:-1][at[:-1] < len(words)]] = 0
+        out.append((_AGAIN[again], at))
     symbols = _SYMBOL[buf] if len(buf) else np.zeros(0, np.uint64)
     text = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
     for n in NGRAMS:
