@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, secrets, toxicity
+from . import mixing, pages, quality, secrets, toxicity
 from .common import Scratch, table
 
 
@@ -18,6 +18,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"), where=~quality.held_out())
@@ -34,7 +39,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op7_quality": op7_quality, "op10_secrets": op10_secrets}
+    return {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op7_quality": op7_quality, "op10_secrets": op10_secrets}
 
 
 def oracle_sql():
