@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pages, quality, secrets, toxicity
+from . import mixing, pages, quality, secrets, substrings, toxicity
 from .common import Scratch, table
 
 
@@ -30,6 +30,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(quality.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove(table(spark, sf_dir, "documents"), Scratch(spark, "substrings"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"] != "novel")
@@ -39,7 +44,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op7_quality": op7_quality, "op10_secrets": op10_secrets}
+    return {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op7_quality": op7_quality, "op9_substrings": op9_substrings, "op10_secrets": op10_secrets}
 
 
 def oracle_sql():
