@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pages, quality, secrets, substrings, toxicity
+from . import mixing, ngram_join, pages, quality, secrets, substrings, toxicity
 from .common import Scratch, table
 
 
@@ -13,6 +13,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"), Scratch(spark, "ngrams"), k=4, per_cent=85)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
@@ -44,7 +48,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op7_quality": op7_quality, "op9_substrings": op9_substrings, "op10_secrets": op10_secrets}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op7_quality": op7_quality, "op9_substrings": op9_substrings, "op10_secrets": op10_secrets}
 
 
 def oracle_sql():
