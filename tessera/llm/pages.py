@@ -330,5 +330,5 @@ def extract(pages: DataFrame, peers: int = 3, group: int = 256) -> DataFrame:
             text.append(main_text(page, [t for j, t in trees if j != i][:peers]))
         return pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": text})
 
-    peer_rows = peer_rows.select("host", "salt", F.col("peer.page_id").alias("page_id"), F.col("peer.html").alias("html"))
-    return rows.groupBy("host", "salt").cogroup(peer_rows.groupBy("host", "salt")).applyInPandas(work, "page_id long, url string, text string")
+    peer_rows = peer_rows.select(F.col("host").alias("peer_host"), F.col("salt").alias("peer_salt"), F.col("peer.page_id").alias("page_id"), F.col("peer.html").alias("html"))
+    return rows.groupBy("host", "salt").cogroup(peer_rows.groupBy("peer_host", "peer_salt")).applyInPandas(work, "page_id long, url string, text string")
