@@ -32,7 +32,11 @@ class Hashes:
         self.back = _inverse_powers(len(h) + 1)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self.of((self.sums[end] - self.sums[start]) * self.back[start], end - start)
+
+    @staticmethod
+    def of(value: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return mix(value + words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def levels(h: np.ndarray, cuts: np.ndarray, rounds: int, longest: int):
