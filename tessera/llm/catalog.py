@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, ngram_join, pages, quality, secrets, substrings, toxicity
+from . import decontaminate, lines, mixing, neighbours, ngram_join, pages, quality, secrets, substrings, toxicity
 from .common import Scratch, table
 
 
@@ -27,6 +27,10 @@ def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.link(table(spark, sf_dir, "embeddings"), Scratch(spark, "neighbours"))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), Scratch(spark, "lines"))
     return out.select("doc_id", "n_lines", "n_removed", "text")
@@ -57,7 +61,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_decontamination": op8_decontamination, "op9_substrings": op9_substrings, "op10_secrets": op10_secrets}
+    return {"op1_mixing": op1_mixing, "op2_ngram_join": op2_ngram_join, "op3_toxicity": op3_toxicity, "op4_pages": op4_pages, "op5_neighbours": op5_neighbours, "op6_lines": op6_lines, "op7_quality": op7_quality, "op8_decontamination": op8_decontamination, "op9_substrings": op9_substrings, "op10_secrets": op10_secrets}
 
 
 def oracle_sql():
