@@ -1,7 +1,65 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From raw documents to a training mix: five stages, each on what the one before kept.
+
+A stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+one's docs. All but the last return the columns of documents. No stage shuffles texts that it can judge where they lie.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, lines, mixing, ngram_join, toxicity
+from tessera.llm.common import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with an expected severity under 0.5. Null and empty texts stay. Without labels of both kinds all stay."""
+    return toxicity.keep_clean(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without repeated lines and n_chars brought up to date. A document goes if all its lines do; one that was
+    null or empty before stays."""
+    out = lines.dedup(docs, Scratch(spark, "pipeline-lines"))
+    out = out.where("n_removed = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class linked by five-word shingles with a Jaccard similarity of 0.8 or more: the one with
+    the smallest doc_id. Null and empty texts are in no class and stay."""
+    return ngram_join.representatives(docs, Scratch(spark, "pipeline-near"), k=5, per_cent=80)
+
+
+def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, exactly or within the edit budget."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source and how often the mix takes each document; 0 copies: not taken."""
+    return mixing.mix(docs, Scratch(spark, "pipeline-mix"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", dedup_near),
+    ("benchmark decontamination", drop_benchmark),
+    ("mixing sources", mix_sources),
+]
+
+#: The first stage is a trained model: SQL can't express it. tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.release()
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -125,6 +125,15 @@ def search(texts: list[str], ix: Index):
     return out
 
 
+def _indexes(benchmark: DataFrame, q: int, rate: float, most_chars: int):
+    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, -(-total // most_chars))
+    for part in range(parts):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
+        yield index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], q, rate)
+
+
 def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, most_chars: int = 4_000_000) -> DataFrame:
     """docs(doc_id, text) against benchmark(item_id, text): doc_id, item_id, start, end, edits, regions; a row for each
     document and item found in it within rate edits a character.
@@ -133,23 +142,17 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08,
     regions that share as many q-grams with an item, in a band of diagonals, as the lemma says an occurrence must;
     each is aligned within its band. Benchmark text is measured first and goes out in parts of about `most_chars`
     characters, each a pass over the documents, so what a task holds does not grow with the benchmark. Documents are
-    never shuffled. Null and empty texts match nothing; a null item_id is left out; repeated rows match alike; other
-    columns are not read.
+    never shuffled. Null and empty texts match nothing; a null item_id or text is left out; repeated rows match alike;
+    other columns are not read.
     """
-    items = benchmark.select("item_id", "text").where("item_id is not null and text is not null")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, -(-total // most_chars))
     out = None
-    for part in range(parts):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part) if parts > 1 else items
-        ix = index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], q, rate)
+    for ix in _indexes(benchmark, q, rate, most_chars):
 
         def run(batches, ix=ix):
             for b in batches:
                 for i in range(0, b.num_rows, 256):
                     own = b.slice(i, 256)
-                    rows = search([normal(t) for t in own.column("text").to_pylist()], ix)
-                    rows.sort()
+                    rows = sorted(search([normal(t) for t in own.column("text").to_pylist()], ix))
                     ids = own.column("doc_id").take(pa.array([r[0] for r in rows], pa.int64()))
                     yield pa.record_batch([ids, *(pa.array([r[k] for r in rows], pa.int64()) for k in range(1, 6))], ["doc_id", "item_id", "start", "end", "edits", "regions"])
 
@@ -158,8 +161,17 @@ def find(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08,
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the rows in which a benchmark item is found; all columns stay."""
-    row = F.xxhash64("doc_id", "text")
-    hits = find(docs.select(row.alias("doc_id"), "text"), benchmark, **options).select(F.col("doc_id").alias("_row")).distinct()
-    return docs.withColumn("_row", row).join(hits, "_row", "left_anti").drop("_row")
+def clean(docs: DataFrame, benchmark: DataFrame, q: int = 10, rate: float = 0.08, most_chars: int = 4_000_000) -> DataFrame:
+    """Rows of docs in which no benchmark item is found, all columns as they are: a narrow filter for each part."""
+    for ix in _indexes(benchmark, q, rate, most_chars):
+
+        def run(batches, ix=ix):
+            for b in batches:
+                for i in range(0, b.num_rows, 256):
+                    own = b.slice(i, 256)
+                    keep = np.ones(own.num_rows, bool)
+                    keep[[r[0] for r in search([normal(t) for t in own.column("text").to_pylist()], ix)]] = False
+                    yield own.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -147,7 +147,7 @@ def repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int
 
 
 def dedup(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int = 8) -> DataFrame:
-    """docs with repeated lines dropped from text; columns n_lines and n_removed are added, all others stay.
+    """docs with repeated lines dropped from text; columns n_lines and n_removed are added (or replaced), all others stay.
 
     A line's words are runs of other than ASCII white space with A-Z lower-cased. Lines of `shortest` words or more are
     compared: equal words, or at most one word changed, put in or left out where both lines have `edit_from` words or
@@ -157,9 +157,12 @@ def dedup(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int =
     A null text stays null (0 lines); so do empty texts stay empty (1 line). A null doc_id sorts first. Rows that
     repeat in doc_id and text are one row here: each keeps what the other keeps. A text may become "".
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    gone = repeats(rows.select("doc_id", F.col("_row").alias("row"), F.coalesce("text", F.lit("")).alias("text")), scratch, shortest, edit_from)
-    out = rows.join(gone.select(F.col("row").alias("_row"), "gone"), "_row", "left").drop("_row")
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("gone", i))
-    return out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long")).withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long")).withColumn("n_removed", F.greatest(F.lit(0), F.col("n_removed")).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64("doc_id", "text").alias("row"))
+    gone = repeats(rows.select("d.doc_id", "row", F.coalesce("d.text", F.lit("")).alias("text")), scratch, shortest, edit_from)
+    out = rows.join(gone, "row", "left")
+    lines = F.split("d.text", "\n", -1)
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
+    n = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    own = [F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return out.select(*own, n.alias("n_lines"), removed.alias("n_removed"))

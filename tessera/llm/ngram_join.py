@@ -176,6 +176,12 @@ def _blocks(pairs: DataFrame, block: int) -> DataFrame:
     return pairs.join(count, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("block"))
 
 
+def _classes(rows: DataFrame, scratch: Scratch, k: int, per_cent: int) -> DataFrame:
+    """(row, n, class) of distinct rows; class is null for empty sets."""
+    sets, labels = links(rows, scratch, k, per_cent)
+    return sets.dropDuplicates(["row"]).join(labels, "node", "left").select("row", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
+
+
 def link(docs: DataFrame, scratch: Scratch, k: int = 5, per_cent: int = 80) -> DataFrame:
     """docs(doc_id, text) to doc_id, n_shingles, component_id: classes of documents linked by shingle sets.
 
@@ -185,8 +191,17 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, per_cent: int = 80) -> D
     Repeated rows link. Other columns are not read.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    sets, labels = links(rows, scratch, k, per_cent)
-    node = sets.dropDuplicates(["row"]).join(labels, "node", "left").select("row", "n", F.when(F.col("n") > 0, F.coalesce("component", "node")).alias("class"))
-    ids = scratch.save(rows.select("doc_id", "row").join(node, "row"))
+    ids = scratch.save(rows.select("doc_id", "row").join(_classes(rows, scratch, k, per_cent), "row"))
     low = ids.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return ids.join(low, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, scratch: Scratch, k: int = 5, per_cent: int = 80) -> DataFrame:
+    """Rows of docs, all columns as they are, without all but one of each class of link(): that with the smallest doc_id
+    (null first, then a hash of the row). Rows equal in doc_id and text count once. Texts without words stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64("doc_id", "text").alias("row"))
+    flat = rows.select("d.doc_id", F.coalesce("d.text", F.lit("")).alias("text"), "row")
+    own = flat.select("doc_id", "row").join(_classes(flat, scratch, k, per_cent).where("class is not null"), "row")
+    keep = scratch.save(own.groupBy("class").agg(F.min(F.struct("doc_id", "row")).alias("first")).select(F.col("first.row").alias("row")))
+    words = F.coalesce(F.col("d.text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    return rows.where(words).join(keep, "row", "left_semi").dropDuplicates(["row"]).unionByName(rows.where(~words)).select("d.*")

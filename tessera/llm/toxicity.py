@@ -125,25 +125,49 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 4000, **options) -> Mo
     return fit(labelled(docs, labels, "toxic", most), **options)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs(doc_id, text) to doc_id, severity double (expected grade, 0 to the top grade), toxic boolean (severity >= 0.5).
-
-    One narrow Arrow pass over whole texts. Null and empty texts have no features: severity of an empty text, not
-    toxic. Repeated rows are scored alike; other columns are not read.
-    """
+def _scorer(model: Model):
     used = np.flatnonzero(model.weights).astype(np.int64)
     values, thresholds, length = model.weights[used], model.thresholds, model.length
 
     def run(batches):
+        """(Arrow slice as it came, severities) of slices of batches with a column text."""
         weights = np.zeros(1 << BITS, np.float32)
         weights[used] = values
         m = Model(weights, thresholds, length)
-        for part, buf, cuts in text_batches(lowered(batches)):
-            who, what, words = features(buf, cuts)
-            hit = weights[what] != 0
-            pairs = np.unique((who[hit] << BITS) | what[hit])
-            x = np.bincount(pairs >> BITS, weights=weights[pairs & ((1 << BITS) - 1)], minlength=len(cuts) - 1)
-            s = np.where(words > 0, m.severity(x, words), 0.0)
-            yield pa.record_batch([part.column("doc_id"), pa.array(s), pa.array(s >= 0.5)], ["doc_id", "severity", "toxic"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, severity double, toxic boolean")
+        for b in batches:
+            at = 0
+            for part, buf, cuts in text_batches(lowered([b.select(["text"])])):
+                who, what, words = features(buf, cuts)
+                hit = weights[what] != 0
+                pairs = np.unique((who[hit] << BITS) | what[hit])
+                x = np.bincount(pairs >> BITS, weights=weights[pairs & ((1 << BITS) - 1)], minlength=len(cuts) - 1)
+                yield b.slice(at, part.num_rows), np.where(words > 0, m.severity(x, words), 0.0)
+                at += part.num_rows
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """docs(doc_id, text) to doc_id, severity double (expected grade, 0 to the top grade), toxic boolean (severity >= least).
+
+    One narrow Arrow pass over whole texts. Null texts and texts without a letter have severity 0 and are not toxic.
+    Repeated rows are scored alike; other columns are not read.
+    """
+    run = _scorer(model)
+
+    def work(batches):
+        for own, s in run(batches):
+            yield pa.record_batch([own.column("doc_id"), pa.array(s), pa.array(s >= least)], ["doc_id", "severity", "toxic"])
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, severity double, toxic boolean")
+
+
+def keep_clean(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
+    """Rows of docs under `least`, all columns as they are: a narrow filter."""
+    run = _scorer(model)
+
+    def work(batches):
+        for own, s in run(batches):
+            yield own.filter(pa.array(s < least))
+
+    return docs.mapInArrow(work, docs.schema)
