@@ -13,6 +13,9 @@ from .common import _P, Scratch, mix, powers, text_batches, word_hashes
 
 _INVERSE = pow(_P, -1, 1 << 64)
 _inverses = np.ones(1, np.uint64)
+#: Low bits of a rank hold a symbol's place in its batch, so that equal ranks go to the leftmost; floor(log2) of counts.
+_PLACE = (1 << 26) - 1
+_DEPTH = np.array([0] + [n.bit_length() - 1 for n in range(1, 4096)])
 
 
 def _inverse_powers(n: int) -> np.ndarray:
@@ -94,7 +97,7 @@ def levels(h: np.ndarray, cuts: np.ndarray, rounds: int, longest: int):
     return out
 
 
-def segments(h: np.ndarray, cuts: np.ndarray, window: int, rounds: int = 4, longest: int = 8):
+def segments(h: np.ndarray, cuts: np.ndarray, window: int, rounds: int = 3, longest: int = 8):
     """Stretches of successive windows that hang on one symbol: (text, first window, windows, key, content).
 
     A window hangs on one of the symbols that it settles by itself, of the highest round with any: the one with the
@@ -113,28 +116,25 @@ def segments(h: np.ndarray, cuts: np.ndarray, window: int, rounds: int = 4, long
         name, low, high = name[fine], low[fine], high[fine]
         if not len(todo) or not len(name):
             continue
-        a = np.searchsorted(low, at[todo], "left")
-        b = np.searchsorted(high, at[todo] + window, "right")
+        below = np.concatenate([[0], np.cumsum(np.bincount(low, minlength=len(h)))])  # symbols with low < i
+        upto = np.cumsum(np.bincount(high, minlength=len(h) + 1))  # symbols with high <= i
+        a, b = below[at[todo]], upto[at[todo] + window]
         some = b > a
         todo, a, b = todo[some], a[some], b[some]
         if not len(todo):
             continue
-        rank = mix(name + np.uint64(level))
-        order = np.argsort(rank, kind="stable")
-        place = np.empty(len(rank), np.int64)
-        place[order] = np.arange(len(rank))
-        tables, width = [place], 1
+        rank = mix(name + np.uint64(level)) & ~np.uint64(_PLACE) | np.arange(len(name), dtype=np.uint64)
+        tables, width = [rank], 1
         while 2 * width <= (b - a).max():
             t = tables[-1]
             tables.append(np.minimum(t[:-width], t[width:]) if len(t) > width else t)
             width *= 2
-        depth = np.floor(np.log2(b - a)).astype(np.int64)
-        least = np.empty(len(todo), np.int64)
+        depth = _DEPTH[b - a]
+        least = np.empty(len(todo), np.uint64)
         for d in range(len(tables)):
-            m = depth == d
-            if m.any():
-                least[m] = np.minimum(tables[d][a[m]], tables[d][b[m] - (1 << d)])
-        chosen = order[least]
+            m = np.flatnonzero(depth == d)
+            least[m] = np.minimum(tables[d][a[m]], tables[d][b[m] - (1 << d)])
+        chosen = (least & np.uint64(_PLACE)).astype(np.int64)
         anchor[todo] = chosen + level * (1 << 40)
         key[todo] = mix(name[chosen] + np.uint64(level)) ^ hashed(low[chosen], high[chosen])
     lone = anchor < 0
@@ -148,8 +148,8 @@ def segments(h: np.ndarray, cuts: np.ndarray, window: int, rounds: int = 4, long
 def repeated(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
     """(row, ranges): for rows of docs(row, text) with repeats, the words covered by a window that also starts elsewhere.
 
-    1. Stretches are counted by (key, content). A key seen once is done: nothing repeats. Where all stretches of a key
-       have equal content, all their windows repeat.
+    1. Stretches are counted by key. A key seen once is done: nothing repeats. Where all stretches of a key have equal
+       content, all their windows repeat.
     2. Only where stretches of one key differ, one of each content has its windows hashed and counted, with the number
        of its copies, to tell which repeat (the passage's ends, mostly).
     Sums come before every shuffle and joins are on hashes that Spark can split, so a passage in a third of all rows is
@@ -159,17 +159,18 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
         for part, buf, cuts in text_batches(batches):
             h, at = word_hashes(buf, cuts)
             text, first, n, key, content = segments(h, at, window)
-            yield pa.record_batch([part.column("row").take(pa.array(text)), pa.array(first - at[text], pa.int64()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["row", "first", "n", "key", "content"])
+            yield pa.record_batch([part.column("row").take(pa.array(text)), pa.array(first - at[text], pa.int32()), pa.array(n, pa.int32()), pa.array(key.view(np.int64)), pa.array(content.view(np.int64))], ["row", "first", "n", "key", "content"])
 
-    found = docs.select("row", "text").mapInArrow(stretches, "row long, first long, n int, key long, content long")
-    kinds = found.groupBy("key", "content").agg(F.count("*").alias("copies"), F.min_by(F.struct("row", "first", "n"), F.struct("row", "first")).alias("one"))
-    many = kinds.groupBy("key").agg(F.sum("copies").alias("total"), F.count("*").alias("contents")).where("total > 1")
-    kinds = scratch.save(kinds.join(many, "key").select("key", "content", "copies", "one", (F.col("contents") > 1).alias("mixed")))
+    found = scratch.save(docs.select("row", "text").mapInArrow(stretches, "row long, first int, n int, key long, content long"))
+    keys = found.groupBy("key").agg(F.count("*").alias("total"), F.min("content").alias("low"), F.max("content").alias("high"))
+    keys = scratch.save(keys.where("total > 1").select("key", (F.col("low") < F.col("high")).alias("mixed")))
     scratch.release()
-    places = scratch.save(found.join(kinds.select("key", "content", "mixed"), ["key", "content"]).select("row", "first", "n", F.when(F.col("mixed"), F.col("key")).alias("key"), F.when(F.col("mixed"), F.col("content")).alias("content"), "mixed"))
+    places = scratch.save(found.join(keys, "key"))
     scratch.release()
+    scratch.drop(found, keys)
+    kinds = places.where("mixed").groupBy("key", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "first", "n")).alias("one"))
 
-    ask = kinds.where("mixed").select(F.col("one.row").alias("row"), F.struct(F.col("one.first").alias("first"), F.col("one.n").alias("n"), "key", "content", "copies").alias("s"))
+    ask = kinds.select(F.col("one.row").alias("row"), F.struct(F.col("one.first").alias("first"), F.col("one.n").alias("n"), "key", "content", "copies").alias("s"))
     ask = docs.join(ask.groupBy("row").agg(F.collect_list("s").alias("s")), "row").dropDuplicates(["row"]).select("row", "text", "s")
 
     def windows(batches):
@@ -188,7 +189,7 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
     each = scratch.save(ask.mapInArrow(windows, "w long, offset int, key long, content long, copies long"))
     again = each.groupBy("w").agg(F.sum("copies").alias("total")).where("total > 1")
     offsets = each.join(again, "w", "left_semi").groupBy("key", "content").agg(F.collect_list("offset").alias("offsets"))
-    span = lambda start, n: F.struct(start.alias("start"), (start + n + (window - 1)).alias("end"))
+    span = lambda start, n: F.struct(start.cast("int").alias("start"), (start + n + (window - 1)).cast("int").alias("end"))
     whole = places.where("not mixed").select("row", span(F.col("first"), F.col("n")).alias("r"))
     some = places.where("mixed").join(offsets, ["key", "content"]).select("row", F.explode("offsets").alias("o"), "first").select("row", span(F.col("first") + F.col("o"), F.lit(1)).alias("r"))
     return scratch.save(whole.unionByName(some).groupBy("row").agg(F.collect_set("r").alias("ranges")))
