@@ -80,17 +80,20 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return np.where(n < 20, 1, np.where(n < 60, 2, 3))
 
 
-def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
     """(row, n, node) of every row and components (node, component) of links between nodes.
 
     The product runs over the columns that can decide. Sets of n and m that link share per_cent / 100 of the larger at
     least, so with all n-grams in one order, the first n - ceil(n * per_cent / 100) + s of both share s or more: a
-    block of columns bounded by the set's size, rare n-grams first. Overlaps add up per pair over these columns; pairs
-    under s are dropped, the rest is multiplied out in full.
+    block of columns bounded by the set's size, rare n-grams first. Overlaps add up per pair over these columns. What a
+    pair can still gain is bounded by what its sets have beyond the block; pairs that can't reach the overlap that
+    their two sizes ask for are dropped, the rest is multiplied out in full.
 
     1. In each column every node meets the column's least node. Links found make components.
-    2. In each column nodes outside the column's largest component meet all nodes of other components. Pairs inside a
-       component need no product: they can't change it. So n copies that differ slightly cost about n pairs, not n**2.
+    2. Pairs of nodes of different components remain (others can't change a component), so of a column or family only
+       nodes outside its largest component look for partners: n copies that link cost about n pairs, not n**2. Nodes
+       with the same least node in their columns are a family. In a family of over `block` nodes, blocks of rows meet
+       whole, in tasks of two blocks; all other pairs meet in the columns.
     """
     rows, levels = lists(docs, k, scratch)
 
@@ -123,23 +126,71 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int) -> tuple[Dat
     labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.release()
 
-    s = shared.drop("pivot").join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    s = scratch.save(s)
+    own = shared.groupBy("node", "n").agg(F.min("pivot").alias("family")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    sizes = own.groupBy("family", "label").count().groupBy("family").agg(F.sum("count").alias("size"), F.max_by("count", F.struct("count", "label")).alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"))
+    sizes = sizes.where((F.col("size") > block) & (F.col("size") > F.col("most"))).select("family", F.ceil(F.col("size") / block).alias("all"), F.ceil((F.col("size") - F.col("most")) / block).alias("some"), "main")
+    own = scratch.save(own.join(sizes, "family", "left"))
+    tiles = _tiles(own.where("all is not null"), nodes, docs, k, per_cent)
+
+    s = scratch.save(shared.select("h", "node", "n").join(own.select("node", "label", F.when(F.col("all").isNotNull(), F.col("family")).alias("family")), "node"))
     by = s.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    left = s.join(by, "h").where("label <> largest")
-    right = s.join(by.select("h"), "h", "left_semi").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"))
-    left = left.select("h", F.col("node").alias("a"), F.col("n").alias("na"), "label", "largest")
+    left = s.join(by, "h").where("label <> largest").select("h", F.col("node").alias("a"), F.col("n").alias("na"), "label", "largest", F.col("family").alias("fa"))
+    right = s.join(by.select("h"), "h", "left_semi").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"), F.col("family").alias("fb"))
     cond = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent)
-    need = F.least(*[F.when(F.col(n) < 20, 1).when(F.col(n) < 60, 2).otherwise(3) for n in ("na", "nb")])
+    cond = cond & F.coalesce(F.col("fa") != F.col("fb"), F.lit(True))
+    # n-grams beyond the prefix that ends first are at most those that its set has left
+    rest = [F.greatest(F.lit(0), F.ceil(F.col(n) * per_cent / 100) - F.when(F.col(n) < 20, 1).when(F.col(n) < 60, 2).otherwise(3)) for n in ("na", "nb")]
+    need = F.greatest(F.lit(1), F.ceil((F.col("na") + F.col("nb")) * per_cent / (100 + per_cent)) - F.greatest(*rest))
     met = left.join(right, "h").where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
     pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b")
-    more = scratch.save(multiply(scratch.save(pairs), nodes, docs, scratch, k, per_cent))
+    more = scratch.save(multiply(scratch.save(pairs), nodes, docs, scratch, k, per_cent).unionByName(tiles))
     scratch.release()
     if not more.isEmpty():
         labels = components(edges.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     return rows, labels
 
 
+def product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) between sets left and right (places in `sets`): overlaps of all of them as a product of incidence
+    matrices, over blocks of the columns that more than one set has."""
+    size = np.array([len(s) for s in sets], np.int64)
+    row = np.repeat(np.arange(len(sets)), size)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    for c in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [c, c + 4096])
+        m = np.zeros((len(sets), 4096), np.float32)
+        m[row[a:b], column[a:b] - c] = 1
+        both += m[left] @ m[right].T
+    i, j = np.nonzero(both * 100 >= (size[left][:, None] + size[right][None, :] - both) * per_cent)
+    return left[i], right[j]
+
+
+def _tiles(own: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links (a, b) within families, from own(node, label, family, all, some, main): nodes outside the family's main
+    component, in `some` blocks, by all of its nodes, in `all` blocks; a task holds two blocks' sets."""
+    one = own.where("label <> main").select("node", "label", "family", F.lit(True).alias("first"), F.pmod(F.xxhash64("node"), F.col("some")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
+    two = own.select("node", "label", "family", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("some") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("all")).alias("j"))
+    needs = one.unionByName(two).groupBy("node").agg(F.collect_list(F.struct("family", "i", "j", "first", "label")).alias("to")).join(nodes.select("node", "row"), "node")
+    texts = docs.select("row", "text").join(needs, "row").dropDuplicates(["row"]).select("node", "text", F.explode("to").alias("t")).select("t.*", "node", "text")
+
+    def work(key, own):
+        sets = []
+        for _, buf, cuts in text_batches(own.select(["text"]).to_batches()):
+            sets += shingle_sets(buf, cuts, k)
+        first = own.column("first").to_numpy()
+        i, j = product(sets, np.flatnonzero(first), np.flatnonzero(~first), per_cent)
+        node, label = own.column("node").to_numpy(), own.column("label").to_numpy()
+        m = label[i] != label[j]
+        return pa.table({"a": node[i[m]], "b": node[j[m]]})
+
+    return texts.groupBy("family", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def multiply(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int = 64) -> DataFrame:
     """Pairs (a, b) with intersection * 100 >= union * per_cent, from the whole sets.
 
