@@ -1,9 +1,738 @@
-"""Registered queries of the library's own operators and their SQL."""
+"""Registered queries of the library's own operators and their SQL. Names begin with the operator's id."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
+
+
+from pyspark.sql import functions as F
+
+from .functions import routing, text as X
+from .operators import answer_cache, assets, cite, cleaner, lexicon, markdown, retrieval, rules, stats
+from .plans import build
+from .sources import io
+from .sources.views import CACHE, KB, LINES, cache, kb, sections_sql, table
+from .streaming import incremental
+
+_QUERIES: dict[str, Callable] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def column(name: str, source: str, key: str, spark_column: Callable, sql: str, text: str = "text", where: str | None = None) -> None:
+    """A query that applies one column function to a whole table: key, out."""
+    def run(spark, sf_dir):
+        t = table(spark, sf_dir, source) if source != "kb" else kb(spark, sf_dir)
+        t = t.where(where) if where else t
+        return t.select(*[c.strip() for c in key.split(",")], spark_column(F.col(text)).alias("out"))
+
+    head = f"WITH {KB} " if source == "kb" else ""
+    query(name, f"{head}SELECT {key}, {sql} AS out FROM {source}" + (f" WHERE {where}" if where else ""))(run)
+
+
+# ---------------------------------------------------------------- texts
+
+_TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_NORM = r"regexp_replace(regexp_replace(replace(replace(replace({}, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\_', '_'), ' {{3,}}', '  ', 'g'), '-{{3,}}', '--', 'g')"
+_UNESCAPE = "replace(replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '\"'), '&#39;', ''''), '&apos;', '''')"
+_ITEM = r"'^\s*(\*|-|\+|\d+[.)])\s+'"
+
+column("c2_normalize", "documents", "doc_id", X.normalize, _NORM.format("text"))
+column("c2_normalize_kb", "kb", "file_path", X.normalize, _NORM.format("text"))
+column("c3_finalize", "documents", "doc_id", X.finalize, _TRIM.format("regexp_replace(text, '\\n{3,}', chr(10) || chr(10), 'g')") + " || chr(10)")
+column("c11_unescape_entities", "pages", "page_id", X.unescape_entities, _UNESCAPE.format("html"), text="html")
+column("c12_rstrip_lines", "documents", "doc_id", X.rstrip_lines, r"regexp_replace(text, '[ \t\r\f\v]+(\n|$)', '\1', 'g')")
+column("c14_has_level_one", "kb", "file_path", X.has_level_one, "regexp_matches(text, '(?m)^# [^#]')")
+column("c15_prepend_heading", "documents", "doc_id", lambda c: X.prepend_heading(c, F.col("source")), "CASE WHEN regexp_matches(text, '(?m)^# [^#]') THEN text ELSE '# ' || source || chr(10) || chr(10) || ltrim(text) END")
+column("c16_sanitize_utf8", "documents", "doc_id", X.sanitize_utf8, "text")
+column("c18_sanitize_query", "conversations", "conv_id, turn", X.sanitize_query, _TRIM.format("regexp_replace(text, '[\"''`“”‘’]', '', 'g')"))
+column("c20_title_only", "kb", "file_path", X.is_title_only, "starts_with(" + _TRIM.format("text") + ", '#') AND NOT contains(" + _TRIM.format("text") + ", chr(10))")
+column("t1_hybrid_tokens", "documents", "doc_id", lambda c: F.array_join(X.hybrid_tokens(c), " "), "array_to_string(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda t: length(t) > 1), ' ')")
+_TERMS = r"list_filter(regexp_extract_all({}, '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda t: regexp_full_match(t, '[A-Za-z][A-Za-z0-9_]+'))"
+
+
+
+column("t2_exact_terms", "documents", "doc_id", lambda c: F.array_join(F.array_sort(X.exact_terms(c)), " "), "coalesce(array_to_string(list_sort(list_distinct(list_transform(" + _TERMS.format("text") + ", lambda t: lower(t)))), ' '), '')")
+column("t4_rough_tokens", "documents", "doc_id", X.rough_tokens, "CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END")
+
+
+@query("t3_token_analysis", "SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z]+'), lambda t: lower(t))))::INT AS english_count, len(regexp_extract_all(text, '[一-鿿]'))::INT AS chinese_count FROM documents")
+def t3(spark, sf_dir):
+    t = X.token_analysis(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t["english_count"].alias("english_count"), t["chinese_count"].cast("int").alias("chinese_count"))
+
+
+@query("c8_markdown_syntax", f"WITH {KB}, {LINES} SELECT file_path, count(*) AS n FROM l WHERE regexp_matches(line, '^!\\[.*\\]\\(.*\\)|^\\[[^\\]]+\\]\\([^)]+\\)|^#{{2,6}}\\s+|^[-*+]\\s+|^\\d+[.)]\\s+|^\\|(.*\\|)?$|^>') GROUP BY file_path")
+def c8(spark, sf_dir):
+    lines = kb(spark, sf_dir).select("file_path", F.explode(markdown.split_lines(F.col("text"))).alias("line"))
+    return lines.where(X.is_markdown_syntax(F.col("line"))).groupBy("file_path").agg(F.count("*").alias("n"))
+
+
+_MARKED = "CASE doc_id % 4 WHEN 0 THEN '**' || text || '**' WHEN 1 THEN '** ' || text || '**' WHEN 2 THEN 'a ==' || text || '== b' ELSE text END"
+
+
+@query("c10_paired_marker", f"WITH m AS (SELECT doc_id, {_MARKED} AS t FROM documents), p AS (SELECT doc_id, t, k, instr(t, k) AS a FROM m, (VALUES ('**'), ('==')) v(k)), r AS (SELECT *, substr(t, a + 2) AS rest FROM p) SELECT doc_id, bool_or(a > 0 AND length(rest) > 0 AND NOT starts_with(rest, ' ') AND instr(rest, k) > 0 AND CASE WHEN instr(rest, k) = 1 THEN true ELSE substr(rest, instr(rest, k) - 1, 1) <> ' ' END) AS paired FROM r GROUP BY doc_id")
+def c10(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.has_paired_marker(F.expr(_MARKED)).alias("paired"))
+
+
+@query("c4_fence_flags", f"WITH {KB}, {LINES}, f AS (SELECT file_path, n, line, count(CASE WHEN regexp_matches(line, '^[ \\t]{{0,3}}```') THEN 1 END) OVER (PARTITION BY file_path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS c FROM l) SELECT file_path, count(*) FILTER (c % 2 = 1) AS in_code, count(*) AS n_lines FROM f GROUP BY file_path")
+def c4(spark, sf_dir):
+    d = kb(spark, sf_dir).select("file_path", cleaner.fence_flags(markdown.split_lines(F.col("text"))).alias("f"))
+    return d.select("file_path", F.size(F.filter("f", lambda x: x)).cast("long").alias("in_code"), F.size("f").cast("long").alias("n_lines"))
+
+
+_LISTED = "replace(replace(text, '. ', chr(10) || '- '), chr(10) || chr(10), chr(10))"
+
+
+@query("c13_list_spacing", f"WITH d AS (SELECT doc_id, string_split({_LISTED}, chr(10)) AS a FROM documents), l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS n FROM d), g AS (SELECT *, lag(line, 1, '') OVER (PARTITION BY doc_id ORDER BY n) AS p FROM l) SELECT doc_id, string_agg(CASE WHEN regexp_matches(line, {_ITEM}) AND regexp_matches(p, '\\S') AND NOT regexp_matches(p, {_ITEM}) THEN chr(10) || line ELSE line END, chr(10) ORDER BY n) AS out FROM g GROUP BY doc_id")
+def c13(spark, sf_dir):
+    lines = F.split(F.expr(_LISTED.replace("chr", "char")), "\n", -1)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cleaner.list_spacing(lines), "\n").alias("out"))
+
+
+@query("c1_clean")
+def c1(spark, sf_dir):
+    return cleaner.clean(kb(spark, sf_dir)).select("file_path", "cleaned")
+
+
+@query("c5_wrap_code")
+def c5(spark, sf_dir):
+    return kb(spark, sf_dir).select("file_path", cleaner.wrap_code(F.col("text")).alias("out"))
+
+
+@query("c6_code_like")
+def c6(spark, sf_dir):
+    lines = kb(spark, sf_dir).select("file_path", F.posexplode(markdown.split_lines(F.col("text"))).alias("n", "line"))
+    return lines.withColumn("code", cleaner.code_like(F.col("line"))).where("code").select("file_path", "n", "line")
+
+
+column("c9_bare_cjk", "kb", "file_path", cleaner.bare_cjk, "regexp_matches(regexp_replace(text, '(?s)\"[^\"]*\"|''[^'']*(''|$)|#[^\\n]*', ' ', 'g'), '[一-鿿]')")
+
+_IMAGES = "concat('![', lang, '](img', chr(92), 'a.png) ', text, ' ![x](http://h/y.png)')"
+
+
+@query("c17_rewrite_images", "SELECT doc_id, '![' || lang || '](/static/ref_md/' || source || '/img/a.png) ' || text || ' ![x](http://h/y.png)' AS out FROM documents")
+def c17(spark, sf_dir):
+    t = F.expr(_IMAGES.replace("chr", "char"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.rewrite_images(t, F.col("source")).alias("out"))
+
+
+_QUOTED = "CASE turn % 3 WHEN 0 THEN concat('\"', text, '\"') WHEN 1 THEN concat('“', text, '”') ELSE text END"
+
+
+@query("c19_quoted", f"WITH q AS (SELECT conv_id, turn, {_TRIM.format(_QUOTED)} AS t FROM conversations) SELECT conv_id, turn, length(t) > 2 AND regexp_matches(t, '(?s)^(\".*\"|''.*''|“.*”|”.*“|‘.*’|`.*`)$') AS quoted FROM q")
+def c19(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.is_quoted(F.expr(_QUOTED)).alias("quoted"))
+
+
+_DEFINITION = "concat('\"<a href=\"\"entry://', lang, '\"\">', source, '</a>■', text, '<br><br>', lang, '\"')"
+
+
+@query("c21_clean_definition", f"WITH d AS (SELECT doc_id, replace({_DEFINITION}, '\"\"', '\"') AS t FROM documents), u AS (SELECT doc_id, CASE WHEN length(t) > 1 AND t[1] = '\"' AND t[-1] = '\"' THEN t[2:-2] ELSE t END AS t FROM d), a AS (SELECT doc_id, regexp_replace(t, '<a\\s+href=\"entry://[^\"]+\">([^<]+)</a>', '\\1', 'g') AS t FROM u) SELECT doc_id, {_TRIM.format(chr(39).join(['regexp_replace(replace(replace(t, ', '■', ', chr(10) || ', '- ', '), ', '<br>', ', chr(10)), ', chr(92) + 'n+', ', chr(10), ', 'g', ')']))} AS out FROM a")
+def c21(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_definition(F.expr(_DEFINITION)).alias("out"))
+
+
+@query("c22_matching_sections", "SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)(^|[^A-Za-z0-9_])the($|[^A-Za-z0-9_])') THEN '[SECTION] ' || " + _TRIM.format("text") + " || chr(10) || chr(10) ELSE '' END || '[SECTION] the end' AS out FROM documents")
+def c22(spark, sf_dir):
+    t = F.concat(F.lit("[SECTION] "), F.col("text"), F.lit("[SECTION] the end"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.matching_sections(t, F.array(F.lit("the"))).alias("out"))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+
+@query("s4_dictionary", "SELECT lower(trim(p_brand)) AS key, trim(p_brand) AS term, array_to_string(list_filter([p_type, p_name], lambda d: d <> ''), '|') AS definitions, p_partkey AS seq FROM part WHERE trim(p_brand) <> ''")
+def s4(spark, sf_dir):
+    lines = table(spark, sf_dir, "part").select(F.concat_ws("\t", "p_brand", "p_type", F.lit(""), "p_name").alias("value"), F.col("p_partkey").alias("seq"))
+    return io.dictionary(lines).select("key", "term", F.array_join("definitions", "|").alias("definitions"), "seq")
+
+
+@query("s5_chunk_scan", f"WITH {KB} SELECT file_path, file_name, file_size FROM kb")
+def s5(spark, sf_dir):
+    return kb(spark, sf_dir).select("file_path", "file_name", "file_size")
+
+
+@query("s6_vector_collection", "SELECT label, count(*) AS n, min(len(embedding))::INT AS dim FROM embeddings GROUP BY label")
+def s6(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").groupBy("label").agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("dim"))
+
+
+@query("s7_cache_scan", f"WITH {CACHE} SELECT id, retrieval_query, presentation_intent, user_intent, answer FROM cache WHERE knowledge_hash = 'h1' ORDER BY id DESC LIMIT 1000")
+def s7(spark, sf_dir):
+    return answer_cache.recent(cache(spark, sf_dir), "h1").select("id", "retrieval_query", "presentation_intent", "user_intent", "answer")
+
+
+@query("s9_preview", f"WITH {KB} SELECT coalesce((SELECT text FROM kb WHERE file_path = 'kb/1.md'), '') AS text UNION ALL SELECT '读取失败:' || chr(10) || chr(10) || 'kb/none.md'")
+def s9(spark, sf_dir):
+    d = kb(spark, sf_dir)
+    return io.preview(d, "kb/1.md").unionByName(io.preview(d, "kb/none.md"))
+
+
+@query("w1_changed", f"SELECT count(*) FILTER ({_NORM.format('text')} <> text) AS changed, count(*) AS total FROM documents")
+def w1(spark, sf_dir):
+    return io.change_counts(table(spark, sf_dir, "documents").withColumn("cleaned", X.normalize(F.col("text"))))
+
+
+@query("w4_stale_rows", f"WITH {CACHE} SELECT count(*) FILTER (knowledge_hash <> 'h1') AS deleted FROM cache")
+def w4(spark, sf_dir):
+    return answer_cache.split_stale(cache(spark, sf_dir), "h1")[1]
+
+
+@query("w4_fresh_rows", f"WITH {CACHE} SELECT id, answer FROM cache WHERE knowledge_hash = 'h1'")
+def w4_fresh(spark, sf_dir):
+    return answer_cache.split_stale(cache(spark, sf_dir), "h1")[0].select("id", "answer")
+
+
+# ---------------------------------------------------------------- structure
+
+
+@query("p1_sections", sections_sql("SELECT file_path, header_path, line_start, line_end, text FROM s"))
+def p1(spark, sf_dir):
+    return markdown.sections(kb(spark, sf_dir)).select("file_path", "header_path", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), "text")
+
+
+@query("p2_section_stats", sections_sql("SELECT min(length(text)) AS min_length, max(length(text)) AS max_length, count(*) AS n FROM s"))
+def p2(spark, sf_dir):
+    return stats.length_stats(markdown.sections(kb(spark, sf_dir))).select(F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "n")
+
+
+_BLOCKS = "b AS (SELECT file_path, header_path, line_start, string_split(text, chr(10)) AS a FROM s), x AS (SELECT file_path, header_path, line_start, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS i FROM b), y AS (SELECT *, CASE WHEN header_path LIKE '%/Facts/' THEN 'table' WHEN header_path LIKE '%/Code/' THEN 'code' ELSE 'text' END AS type FROM x), z AS (SELECT file_path, header_path, type, min(line_start + i) AS line_start, max(line_start + i) + 1 AS line_end FROM y WHERE regexp_matches(line, '\\S') GROUP BY file_path, header_path, type)"
+
+
+@query("p3_blocks")
+def p3(spark, sf_dir):
+    return markdown.blocks(markdown.sections(kb(spark, sf_dir)))
+
+
+@query("p3_structured_blocks", sections_sql(f", {_BLOCKS} SELECT file_path, header_path, type, line_start, line_end FROM z WHERE type <> 'text'").replace(" , b AS", ", b AS"))
+def p3_structured(spark, sf_dir):
+    b = markdown.blocks(markdown.sections(kb(spark, sf_dir))).where("type in ('table', 'code') and header_path rlike '/(Facts|Code)/$'")
+    return b.select("file_path", "header_path", "type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+@query("p4_text_nodes")
+def p4(spark, sf_dir):
+    return markdown.text_nodes(markdown.sections(kb(spark, sf_dir)))
+
+
+@query("p5_node_stats")
+def p5(spark, sf_dir):
+    return stats.length_stats(markdown.text_nodes(markdown.sections(kb(spark, sf_dir))))
+
+
+@query("k6_wrap_sections", sections_sql("SELECT file_path, '[SECTION]' || chr(10) || replace(trim(header_path, '/'), '/', ' > ') || chr(10) || chr(10) || '[CONTENT]' || chr(10) || text AS out FROM s"))
+def k6(spark, sf_dir):
+    return markdown.sections(kb(spark, sf_dir)).select("file_path", X.wrap_section(F.col("header_path"), F.col("text")).alias("out"))
+
+
+@query("k8_parent_header", sections_sql("SELECT file_path, header_path, regexp_replace(header_path, '[^/]+/$', '') AS parent FROM s"))
+def k8(spark, sf_dir):
+    return markdown.sections(kb(spark, sf_dir)).select("file_path", "header_path", X.parent_header(F.col("header_path")).alias("parent"))
+
+
+@query("k9_relative_header", sections_sql("SELECT file_path, header_path, CASE WHEN substr(header_path, length(regexp_replace(header_path, '[^/]+/$', '')) + 1) = '' THEN '' ELSE '/' || substr(header_path, length(regexp_replace(header_path, '[^/]+/$', '')) + 1) END AS relative FROM s"))
+def k9(spark, sf_dir):
+    h = F.col("header_path")
+    return markdown.sections(kb(spark, sf_dir)).select("file_path", h, X.relative_to_parent(X.parent_header(h), h).alias("relative"))
+
+
+@query("k10_chunks")
+def k10(spark, sf_dir):
+    return markdown.chunks(kb(spark, sf_dir)).select("chunk_id", "file_path", "header_path", "line_start", "line_end", F.array_join("block_types", "|").alias("block_types"), "merged_chunks", "text")
+
+
+@query("k10_build")
+def k10_build(spark, sf_dir):
+    return rules.flatten(build.chunk_table(kb(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- metadata and statistics
+
+
+
+@query("m2_derived", "SELECT doc_id, length(text)::INT AS text_length, length(text) < 100 AS is_too_short, length(text) - length(replace(text, '|', '')) > 20 AS is_large_table, regexp_matches(text, '[\\p{Nd}²³¹]') AS has_number FROM documents")
+def m2(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumns(rules.derived(F.col("text"))).select("doc_id", "text_length", "is_too_short", "is_large_table", "has_number")
+
+
+_TOPIC = [{"name": "topic", "match": ["src1"], "value": "one"}, {"name": "topic", "match": ["src12", "SRC3"], "value": "two"}]
+
+
+@query("m3_header_rules", "SELECT doc_id, CASE WHEN contains(source, 'src12') OR contains(source, 'src3') THEN 'two' WHEN contains(source, 'src1') THEN 'one' END AS topic FROM documents")
+def m3(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", rules.header_columns(F.col("source"), _TOPIC)["topic"].alias("topic"))
+
+
+@query("m4_text_rules", "SELECT page_id, regexp_matches(lower(html), 'select\\s+|update\\s+|delete\\s+|insert\\s+') AS has_sql, contains(lower(html), 'error code') OR contains(html, '错误码') AS has_error_code, contains(lower(html), '/api/') OR contains(lower(html), 'http') OR contains(html, '接口') AS has_api FROM pages")
+def m4(spark, sf_dir):
+    c = rules.text_columns(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", *[c[k].alias(k) for k in ("has_sql", "has_error_code", "has_api")])
+
+
+def _enriched(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "text", F.concat(F.lit("/"), "source", F.lit("/")).alias("header_path"), F.array("lang").alias("block_types"))
+    return rules.enrich(d)
+
+
+@query("m5_flags", "SELECT doc_id AS chunk_id, regexp_matches(lower(text), 'select\\s+|update\\s+|delete\\s+|insert\\s+') AS has_sql, contains(lower(text), 'http') OR contains(lower(text), '/api/') AS has_api, contains(lower(text), 'error code') AS has_error_code, NULL::varchar AS topic FROM documents")
+def m5(spark, sf_dir):
+    return _enriched(spark, sf_dir).select("chunk_id", "has_sql", "has_api", "has_error_code", "topic")
+
+
+@query("m6_flatten", "SELECT doc_id, lang || '|' || source AS block_types FROM documents")
+def m6(spark, sf_dir):
+    return rules.flatten(table(spark, sf_dir, "documents").select("doc_id", F.array("lang", "source").alias("block_types")))
+
+
+@query("m8_ordered", "SELECT doc_id AS chunk_id, source AS header_path, lang AS a, n_chars AS b FROM documents")
+def m8(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("b"), F.col("lang").alias("a"), F.lit("x").alias("node_id"), F.col("source").alias("header_path"), F.col("doc_id").alias("chunk_id"))
+    return rules.ordered(rules.without_internal(d))
+
+
+@query("a1_category_counts", "WITH f AS (SELECT 'block_types' AS category, lang AS value FROM documents UNION ALL SELECT 'flag', 'has_number' FROM documents WHERE regexp_matches(text, '[\\p{Nd}²³¹]') UNION ALL SELECT 'flag', 'is_too_short' FROM documents WHERE length(text) < 100 UNION ALL SELECT 'flag', 'is_large_table' FROM documents WHERE length(text) - length(replace(text, '|', '')) > 20 UNION ALL SELECT 'flag', 'has_sql' FROM documents WHERE regexp_matches(lower(text), '(select|update|delete|insert)\\s+') UNION ALL SELECT 'flag', 'has_api' FROM documents WHERE contains(lower(text), 'http') OR contains(lower(text), '/api/')) SELECT category, value, count(*) AS count, round(count(*) * 100.0 / (SELECT count(*) FROM documents), 2)::DOUBLE AS percent FROM f GROUP BY category, value")
+def a1(spark, sf_dir):
+    return stats.category_counts(_enriched(spark, sf_dir))
+
+
+@query("a2_length_extremes", "SELECT min(length(text))::INT AS min_length, arg_min(doc_id, length(text) * 10000000 + doc_id) AS min_id, max(length(text))::INT AS max_length, arg_min(doc_id, doc_id - length(text) * 10000000) AS max_id FROM documents")
+def a2(spark, sf_dir):
+    return stats.length_extremes(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query("a3_length_stats", "SELECT min(length(text))::INT AS min_length, max(length(text))::INT AS max_length, count(*) AS n FROM documents")
+def a3(spark, sf_dir):
+    return stats.length_stats(table(spark, sf_dir, "documents"))
+
+
+@query("a8_knowledge_hash", "WITH o AS (SELECT substr(md5(doc_id::varchar), 1, 2) AS b, md5(string_agg(l, chr(10) ORDER BY encode(l))) AS h FROM (SELECT doc_id, doc_id || ':' || source || ':' || n_chars AS l FROM documents) GROUP BY 1) SELECT md5(string_agg(h, chr(10) ORDER BY b)) AS knowledge_hash FROM o")
+def a8(spark, sf_dir):
+    return stats.knowledge_hash(table(spark, sf_dir, "documents"), ("doc_id", "source", "n_chars"))
+
+
+@query("a6_usage_totals", "SELECT conv_id AS question_id, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS rewrite_prompt, 0::BIGINT AS rewrite_completion, 0::BIGINT AS answer_prompt, sum(CASE WHEN role <> 'user' THEN length(text) // 2 ELSE 0 END)::BIGINT AS answer_completion, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS total_prompt, sum(CASE WHEN role <> 'user' THEN length(text) // 2 ELSE 0 END)::BIGINT AS total_completion FROM conversations GROUP BY conv_id")
+def a6(spark, sf_dir):
+    user = F.col("role") == "user"
+    u = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), F.when(user, "rewrite").otherwise("answer").alias("stage"), F.when(user, F.length("text")).otherwise(0).cast("long").alias("prompt_tokens"), F.when(~user, F.floor(F.length("text") / 2)).otherwise(0).cast("long").alias("completion_tokens"))
+    return stats.usage_totals(u)
+
+
+@query("a7_stream_maxima", "SELECT conv_id AS question_id, max(turn) AS turn, max(length(text))::INT AS size FROM conversations GROUP BY conv_id")
+def a7(spark, sf_dir):
+    return stats.stream_maxima(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("question_id"), "turn", F.length("text").alias("size")), ["turn", "size"])
+
+
+@query("a11_outcomes", "SELECT count(*) FILTER (event_type <> 'error') AS succeeded, count(*) FILTER (event_type = 'error') AS failed FROM events")
+def a11(spark, sf_dir):
+    return stats.outcome_counts(table(spark, sf_dir, "events"), F.col("event_type") != "error")
+
+
+# ---------------------------------------------------------------- retrieval
+
+_TOK = "tok AS (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM (SELECT doc_id, list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: length(x) > 1) AS t FROM documents))"
+_BM25 = (
+    f"{_TOK}, st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT doc_id, len(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: length(x) > 1)) AS dl FROM documents)), "
+    "q AS (SELECT DISTINCT item_id, unnest(list_filter(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: length(x) > 1)) AS term FROM benchmark), "
+    "tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM tok WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), "
+    "sc AS (SELECT q.item_id AS query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), st GROUP BY ALL), "
+    "bm AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 15)"
+)
+_COS = "round(list_cosine_similarity(v.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
+_VEC = f"vq AS (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_COS} AS score FROM embeddings v, embeddings q WHERE {{}}), ve AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM vq QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 15)"
+_BY50 = _VEC.format("q.vec_id % 50 = 0")
+
+
+def _questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _bm25(spark, sf_dir):
+    return retrieval.bm25(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), id="doc_id")
+
+
+def _nearest(spark, sf_dir, queries=None):
+    v = table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    q = v.where("doc_id % 50 = 0") if queries is None else v.join(queries.select(F.col("query_id").alias("doc_id")), "doc_id", "left_semi")
+    return retrieval.vector_top(v, q.select(F.col("doc_id").alias("query_id"), "embedding"), id="doc_id")
+
+
+@query("r1_inverted_index", "WITH t AS (SELECT DISTINCT doc_id, lower(unnest(" + _TERMS.format("text") + ")) AS term FROM documents) SELECT term, count(*) AS df, array_to_string(list_sort(list(doc_id)), ' ') AS postings FROM t GROUP BY term")
+def r1(spark, sf_dir):
+    i = retrieval.inverted_index(table(spark, sf_dir, "documents"), "doc_id")
+    return i.select("term", "df", F.array_join(F.transform("postings", lambda p: p.cast("string")), " ").alias("postings"))
+
+
+query("r2_vector_topk", f"WITH {_BY50} SELECT query_id, doc_id, score, rank FROM ve")(_nearest)
+query("r3_bm25_topk", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM bm")(_bm25)
+_FUSED = (
+    f"{_BM25}, {_VEC.format('q.vec_id IN (SELECT item_id FROM benchmark)')}, fu AS (SELECT query_id, doc_id, round(sum(s), 6) AS score, string_agg(src, '|' ORDER BY src) AS hit_sources FROM (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank - 1) AS s, 'bm25' AS src FROM bm UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank - 1), 'vector' FROM ve) GROUP BY query_id, doc_id), "
+    "f30 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM fu QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 30)"
+)
+
+
+def _fused(spark, sf_dir):
+    q = _questions(spark, sf_dir)
+    return retrieval.fuse({"bm25": _bm25(spark, sf_dir), "vector": _nearest(spark, sf_dir, q)}, id="doc_id")
+
+
+@query("hybrid_fusion", f"WITH {_FUSED} SELECT query_id, doc_id, score, hit_sources, rank FROM f30")
+def r4(spark, sf_dir):
+    return _fused(spark, sf_dir).withColumn("hit_sources", F.array_join("hit_sources", "|"))
+
+
+@query("r5_dedup", f"WITH {_FUSED}, j AS (SELECT f.*, d.source, d.n_chars FROM f30 f JOIN documents d USING (doc_id)) SELECT query_id, doc_id, rank, hits AS hit_sources FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k, array_to_string(list_sort(list_distinct(string_split(string_agg(hit_sources, '|') OVER (PARTITION BY query_id, source), '|'))), '|') AS hits FROM j) WHERE k = 1")
+def r5(spark, sf_dir):
+    nodes = _fused(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return retrieval.dedup(nodes, ("source",)).select("query_id", "doc_id", "rank", F.array_join("hit_sources", "|").alias("hit_sources"))
+
+
+def _dist(x: str) -> str:
+    return "list_distinct(list_transform(" + _TERMS.format(x) + ", lambda t: lower(t)))"
+
+
+_RERANKED = f"{_BM25}, rr AS (SELECT bm.query_id, bm.doc_id, {_dist('b.text')} AS q, {_dist('d.text')} AS t FROM bm JOIN benchmark b ON b.item_id = bm.query_id JOIN documents d USING (doc_id)), rs AS (SELECT query_id, doc_id, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(2.0::DOUBLE * len(list_intersect(q, t)) / len(q) - 1.0, 6) END::DOUBLE AS score FROM rr), rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM rs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 10)"
+
+
+def _reranked(spark, sf_dir):
+    nodes = _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(_questions(spark, sf_dir), "query_id")
+    return retrieval.rerank(nodes, id="doc_id").select("query_id", "doc_id", "score", "rank")
+
+
+query("r6_rerank", f"WITH {_RERANKED} SELECT query_id, doc_id, score, rank FROM rk")(_reranked)
+_SELECTED = "sel AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS top FROM rk) WHERE rank <= 5 OR (top > 0 AND rank <= 10 AND score >= 0.85 * top))"
+
+
+@query("r7_dynamic_select", f"WITH {_RERANKED}, {_SELECTED} SELECT * FROM sel")
+def r7(spark, sf_dir):
+    return retrieval.select_dynamic(_reranked(spark, sf_dir))
+
+
+_WEAK = "wk AS (SELECT query_id, count(*) AS n, arg_min(score, rank) < 1 AND arg_max(score, rank) < 0 AS weak FROM sel GROUP BY query_id)"
+
+
+@query("r8_quality_gate", f"WITH {_RERANKED}, {_SELECTED}, {_WEAK} SELECT query_id, n, weak FROM wk")
+def r8(spark, sf_dir):
+    return retrieval.weak(retrieval.select_dynamic(_reranked(spark, sf_dir)))
+
+
+def _kb_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.col("n_chars").alias("line_start"), "text")
+
+
+_SUPPLEMENT = (
+    "qt AS (SELECT item_id AS query_id, t AS term, min(i) AS pos FROM (SELECT item_id, lower(unnest(v)) AS t, generate_subscripts(v, 1) - 1 AS i FROM (SELECT item_id, " + _TERMS.format("text") + " AS v FROM benchmark)) GROUP BY ALL), "
+    "ra AS (SELECT query_id, term, row_number() OVER (PARTITION BY query_id ORDER BY pos) - 1 AS pos FROM qt), dt AS (SELECT DISTINCT doc_id, source, n_chars, lower(unnest(" + _TERMS.format("text") + ")) AS term FROM documents), "
+    "hi AS (SELECT query_id, doc_id, source, n_chars, min(pos) AS pos FROM dt JOIN ra USING (term) WHERE (query_id, doc_id) NOT IN (SELECT query_id, doc_id FROM sel) GROUP BY ALL), "
+    "h1 AS (SELECT * FROM hi QUALIFY row_number() OVER (PARTITION BY query_id, source ORDER BY pos, n_chars, doc_id) <= 2), h2 AS (SELECT * FROM h1 QUALIFY row_number() OVER (PARTITION BY query_id, pos ORDER BY source, n_chars, doc_id) <= 10), "
+    "h3 AS (SELECT h2.*, row_number() OVER (PARTITION BY query_id ORDER BY pos, source, n_chars, doc_id)::INT AS seq, n FROM h2 JOIN wk USING (query_id)), ex AS (SELECT query_id, doc_id AS chunk_id, seq FROM h3 WHERE seq <= ceil((10 + n) / 2.0 - n))"
+)
+
+
+def _supplement(spark, sf_dir):
+    best = retrieval.select_dynamic(_reranked(spark, sf_dir))
+    q = _questions(spark, sf_dir).join(retrieval.weak(best).select("query_id", "n"), "query_id")
+    return best, retrieval.supplement(_kb_chunks(spark, sf_dir), q, best.select("query_id", F.col("doc_id").alias("chunk_id")))
+
+
+@query("r9_exact_supplement", f"WITH {_RERANKED}, {_SELECTED}, {_WEAK}, {_SUPPLEMENT} SELECT * FROM ex")
+def r9(spark, sf_dir):
+    return _supplement(spark, sf_dir)[1].select("query_id", "chunk_id", "seq")
+
+
+@query("r10_splice", f"WITH {_RERANKED}, {_SELECTED}, {_WEAK}, {_SUPPLEMENT}, u AS (SELECT query_id, doc_id AS chunk_id, score, CASE WHEN min(score) OVER (PARTITION BY query_id ORDER BY rank) < 0 THEN 2 ELSE 0 END AS part, rank AS spot FROM sel UNION ALL SELECT query_id, chunk_id, 1.0, 1, seq FROM ex) SELECT query_id, chunk_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY part, spot, chunk_id)::INT AS rank FROM u")
+def r10(spark, sf_dir):
+    best, extra = _supplement(spark, sf_dir)
+    nodes = best.withColumn("hit_sources", F.array(F.lit("bm25"))).withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.splice(nodes, extra).select("query_id", "chunk_id", "score", "rank")
+
+
+@query("r11_context", f"WITH {_BM25} SELECT query_id, string_agg({_TRIM.format('text')}, chr(10) || chr(10) ORDER BY rank) AS context FROM bm JOIN documents USING (doc_id) GROUP BY query_id")
+def r11(spark, sf_dir):
+    return retrieval.context(_bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@query("r12_embed")
+def r12(spark, sf_dir):
+    return retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+
+
+@query("term_df", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
+def term_df(spark, sf_dir):
+    tf = retrieval.term_frequencies(table(spark, sf_dir, "documents"), "doc_id")
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+# ---------------------------------------------------------------- dictionary, routing, cache, usage
+
+_DQ = "concat(p_brand, ' is it ', p_type)"
+
+
+def _lexicon(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    both = p.select(F.concat_ws("\t", "p_brand", F.lit("maker")).alias("value"), F.col("p_partkey").alias("seq")).unionByName(p.select(F.concat_ws("\t", "p_type", F.lit("kind")).alias("value"), F.col("p_partkey").alias("seq")))
+    d = io.dictionary(both).groupBy("key", "term", "definitions").agg(F.min("seq").alias("seq"))
+    q = p.select(F.col("p_partkey").alias("question_id"), F.expr(_DQ).alias("text"))
+    return q, d
+
+
+@query("d1_match", "SELECT p_partkey AS question_id, lower(p_brand) || ':0 ' || lower(p_type) || ':' || (length(p_brand) + 7) AS matches FROM part")
+def d1(spark, sf_dir):
+    q, d = _lexicon(spark, sf_dir)
+    m = lexicon.match(q, d.select("key", "seq"))
+    item = F.transform(F.array_sort(F.transform("matches", lambda x: F.struct(x["start"].alias("start"), x["key"].alias("key")))), lambda x: F.concat(x["key"], F.lit(":"), x["start"].cast("string")))
+    return m.select("question_id", F.array_join(item, " ").alias("matches"))
+
+
+@query("d3_coverage", "SELECT p_partkey AS question_id, round((length(p_brand) + length(p_type))::DOUBLE / length(p_brand || ' is it ' || p_type), 6) AS coverage, (length(p_brand) + length(p_type))::DOUBLE / length(p_brand || ' is it ' || p_type) >= 0.5 AS hit FROM part")
+def d3(spark, sf_dir):
+    q, d = _lexicon(spark, sf_dir)
+    return lexicon.match(q, d.select("key", "seq")).select("question_id", F.round("coverage", 6).alias("coverage"), "hit")
+
+
+_HIT = "(length(p_brand) + length(p_type))::DOUBLE / length(p_brand || ' is it ' || p_type) >= 0.5"
+_BRAND = "'## **' || p_brand || '**' || chr(10) || '- maker'"
+_KIND = "'## **' || p_type || '**' || chr(10) || '- kind'"
+
+
+@query("d4_render", f"WITH f AS (SELECT p_type, min(p_partkey) AS kt FROM part GROUP BY p_type), g AS (SELECT p_brand, min(p_partkey) AS bt FROM part GROUP BY p_brand) SELECT p_partkey AS question_id, CASE WHEN length(p_brand) > length(p_type) OR (length(p_brand) = length(p_type) AND (bt < kt OR bt = kt AND lower(p_brand) < lower(p_type))) THEN {_BRAND} || chr(10) || chr(10) || {_KIND} ELSE {_KIND} || chr(10) || chr(10) || {_BRAND} END AS markdown FROM part JOIN f USING (p_type) JOIN g USING (p_brand) WHERE {_HIT}")
+def d4(spark, sf_dir):
+    q, d = _lexicon(spark, sf_dir)
+    return lexicon.render(lexicon.entries(lexicon.match(q, d.select("key", "seq")), d))
+
+
+_ASKED = "CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'Hi ' WHEN 2 THEN 'HL' WHEN 3 THEN concat('\"', text, '\"') ELSE ' ' END"
+_CLASS = "CASE WHEN {0} = '' THEN 'INVALID' WHEN {0} IN ('hi','hello','hey','你好','你好吗','您好','谢谢','thanks','thank you','bye','再见','?','？') THEN 'CHAT' WHEN length({0}) <= 2 THEN 'INVALID' ELSE 'RAG' END"
+
+
+@query("q1_classify", f"WITH a AS (SELECT conv_id, turn, lower({_TRIM.format(_ASKED)}) AS q FROM conversations) SELECT conv_id, turn, {_CLASS.format('q')} AS verdict FROM a")
+def q1(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.classify(F.expr(_ASKED)).alias("verdict"))
+
+
+@query("q4_route", f"WITH a AS (SELECT conv_id, turn, lower({_TRIM.format(_ASKED)}) AS q, CASE WHEN conv_id % 4 = 0 THEN 'CONFIRM_RAG' ELSE 'NORMAL' END AS mode, conv_id % 7 = 0 AS hit FROM conversations) SELECT conv_id, turn, CASE WHEN mode <> 'CONFIRM_RAG' AND hit THEN 'DICT' WHEN mode = 'NORMAL' AND regexp_matches(q, '(?s)^\".+\"$') THEN 'QUOTED' WHEN mode = 'CONFIRM_RAG' THEN 'RAG' ELSE {_CLASS.format('q')} END AS route FROM a")
+def q4(spark, sf_dir):
+    mode, hit = F.when(F.col("conv_id") % 4 == 0, "CONFIRM_RAG").otherwise("NORMAL"), F.col("conv_id") % 7 == 0
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.route(F.expr(_ASKED), mode, hit).alias("route"))
+
+
+@query("q3_json_fields", "SELECT event_id, event_type AS question_type, CASE WHEN user_id % 2 = 0 THEN 'k' || user_id END AS retrieval_query FROM events")
+def q3(spark, sf_dir):
+    even = F.concat(F.lit('{"question_type": "'), F.col("event_type"), F.lit('", "retrieval_query": "k'), F.col("user_id").cast("string"), F.lit('"}'))
+    odd = F.concat(F.lit('noise {"question_type" : "'), F.col("event_type"), F.lit('", broken'))
+    t = table(spark, sf_dir, "events").select("event_id", routing.json_fields(F.when(F.col("user_id") % 2 == 0, even).otherwise(odd)).alias("j"))
+    return t.select("event_id", "j.question_type", "j.retrieval_query")
+
+
+@query("q5_defaults", f"WITH a AS (SELECT conv_id, turn, {_TRIM.format('text')} AS text, CASE WHEN turn % 2 = 0 THEN substr(text, 1, 30) ELSE '' END AS rq, CASE WHEN turn % 3 = 0 THEN '' ELSE 'find' END AS ui, CASE WHEN turn % 4 = 0 THEN '' ELSE 'steps' END AS pi FROM conversations) SELECT conv_id, turn, CASE WHEN rq = '' THEN text ELSE rq END AS retrieval_query, CASE WHEN pi = '' OR ui = '' THEN '获取信息' ELSE ui END AS user_intent, CASE WHEN pi = '' THEN 'intro' ELSE pi END AS presentation_intent FROM a")
+def q5(spark, sf_dir):
+    t = F.col("turn")
+    a = F.struct(F.when(t % 2 == 0, F.substring("text", 1, 30)).otherwise("").alias("retrieval_query"), F.when(t % 3 == 0, "").otherwise("find").alias("user_intent"), F.when(t % 4 == 0, "").otherwise("steps").alias("presentation_intent"))
+    c = table(spark, sf_dir, "conversations").withColumn("d", routing.with_defaults(X.strip(F.col("text")), a))
+    return c.select("conv_id", "turn", "d.retrieval_query", "d.user_intent", "d.presentation_intent")
+
+
+_CQ = "'检索问题:' || chr(10) || retrieval_query || chr(10) || chr(10) || '用户意图:' || chr(10) || user_intent || chr(10) || chr(10) || '输出要求:' || chr(10) || presentation_intent"
+
+
+@query("q9_cache_admission", f"WITH {CACHE}, a AS (SELECT *, {_TRIM.format('answer')} AS t FROM cache) SELECT id, {_TRIM.format(_CQ)} AS cache_query, md5({_TRIM.format(_CQ)}) AS cache_key FROM a WHERE length(t) >= 20 AND NOT starts_with(t, '不知道') AND NOT starts_with(t, '我不知道') AND NOT starts_with(t, '无法回答')")
+def q9(spark, sf_dir):
+    return answer_cache.admit(cache(spark, sf_dir)).select("id", "cache_query", "cache_key")
+
+
+@query("q7_cosine", "SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+def q7(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
+
+
+@query("q8_cache_lookup", f"WITH {CACHE}, r AS (SELECT * FROM cache WHERE knowledge_hash = 'h1' ORDER BY id DESC LIMIT 1000), q AS (SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 'intro' ELSE 'steps' END AS p FROM embeddings WHERE vec_id % 50 < 2), s AS (SELECT query_id, id, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM q JOIN r ON r.presentation_intent = q.p), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS b FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5 AND b >= 0.3")
+def q8(spark, sf_dir):
+    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 < 2").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, "intro").otherwise("steps").alias("presentation_intent"))
+    return answer_cache.lookup(cache(spark, sf_dir), q, "h1", threshold=0.3)
+
+
+@query("q11_source_nodes", f"WITH {_BM25} SELECT query_id, string_agg(round(score, 4)::varchar || ' ' || doc_id, ',' ORDER BY rank) AS nodes FROM bm GROUP BY query_id")
+def q11(spark, sf_dir):
+    n = _bm25(spark, sf_dir).withColumn("file_name", F.lit("f")).withColumn("file_path", F.col("doc_id").cast("string")).withColumn("header_path", F.lit("/")).withColumn("line_start", F.lit(0)).withColumn("line_end", F.lit(1))
+    return answer_cache.source_nodes(n).select("query_id", F.array_join(F.transform("source_nodes", lambda x: F.concat(x["score"].cast("string"), F.lit(" "), x["file_path"])), ",").alias("nodes"))
+
+
+@query("u1_usage", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 7 ELSE CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 2) END END::BIGINT AS prompt_tokens, CASE WHEN turn % 2 = 0 THEN 'reported' ELSE 'estimate' END AS source, CASE WHEN turn % 3 = 0 THEN 'unknown' ELSE 'm' END AS model FROM conversations")
+def u1(spark, sf_dir):
+    r = F.when(F.col("turn") % 2 == 0, F.lit(7))
+    u = routing.usage(F.col("text"), F.col("text"), r, r, F.when(F.col("turn") % 3 == 0, "").otherwise("m.gguf"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", u["prompt_tokens"].alias("prompt_tokens"), u["source"].alias("source"), u["model"].alias("model"))
+
+
+@query("u4_tokens_per_second", "SELECT event_id, CASE WHEN user_id % 5 = 0 THEN NULL ELSE value / (user_id % 5) END AS rate FROM events")
+def u4(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", routing.tokens_per_second(F.col("value"), F.col("user_id") % 5).alias("rate"))
+
+
+# ---------------------------------------------------------------- citations and display
+
+_RANGES = "SELECT user_id AS file_path, (event_id % 997)::INT AS start, (event_id % 997 + event_id % 7)::INT AS \"end\" FROM events"
+_MERGED = f"r AS ({_RANGES}), v AS (SELECT * FROM r WHERE \"end\" > start), o AS (SELECT *, CASE WHEN start <= max(\"end\") OVER (PARTITION BY file_path ORDER BY start, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM v), g AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY start, \"end\" ROWS UNBOUNDED PRECEDING) AS g FROM o), mg AS (SELECT file_path, min(start) AS start, max(\"end\") AS \"end\" FROM g GROUP BY file_path, g)"
+
+
+def _ranges(spark, sf_dir):
+    e = F.col("event_id")
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("file_path"), (e % 997).cast("int").alias("start"), (e % 997 + e % 7).cast("int").alias("end"))
+
+
+@query("f1_merge_ranges", f"WITH {_MERGED} SELECT * FROM mg")
+def f1(spark, sf_dir):
+    return cite.merge_ranges(_ranges(spark, sf_dir))
+
+
+@query("f2_range_lines", f"WITH {_MERGED} SELECT file_path, unnest(range(start, \"end\"))::INT AS line_no FROM mg")
+def f2(spark, sf_dir):
+    return cite.range_lines(cite.merge_ranges(_ranges(spark, sf_dir)))
+
+
+@query("j7_hit_lines", f"WITH {_MERGED}, n AS (SELECT user_id AS file_path, (event_id % 1009)::INT AS line_no, event_id FROM events) SELECT n.* FROM n WHERE EXISTS (SELECT 1 FROM mg WHERE mg.file_path = n.file_path AND n.line_no >= start AND n.line_no < \"end\")")
+def j7(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_path"), (F.col("event_id") % 1009).cast("int").alias("line_no"), "event_id")
+    return cite.hit_lines(lines, cite.merge_ranges(_ranges(spark, sf_dir)))
+
+
+@query("f3_highlight")
+def f3(spark, sf_dir):
+    d = kb(spark, sf_dir)
+    hits = d.select("file_path", F.lit(4).alias("start"), F.lit(8).alias("end"))
+    return cite.highlight(d, hits)
+
+
+@query("j8_pdf_lookup", f"WITH {KB} SELECT file_name, CASE WHEN c_custkey IS NOT NULL THEN 'pdf/' || c_custkey END AS pdf_path FROM kb LEFT JOIN customer ON c_custkey || '.md' = file_name")
+def j8(spark, sf_dir):
+    pdfs = table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".pdf")).alias("pdf_name"), F.concat(F.lit("pdf/"), F.col("c_custkey").cast("string")).alias("pdf_path"))
+    return cite.with_pdf(kb(spark, sf_dir).select("file_name"), pdfs).select("file_name", "pdf_path")
+
+
+def _cited(spark, sf_dir):
+    return _bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("file_path"), F.concat("source", F.lit(".md")).alias("file_name"), (F.col("n_chars") % 9).cast("int").alias("line_start"), F.lit(5).alias("line_end"), F.array("lang").alias("block_types"), "text"), "doc_id")
+
+
+_CITED = f"{_BM25}, ci AS (SELECT bm.*, source AS file_path, source || '.md' AS file_name, (n_chars % 9)::INT AS line_start, 5 AS line_end, lang, text FROM bm JOIN documents USING (doc_id))"
+
+
+@query("f4_reference_lines", f"WITH {_CITED} SELECT query_id, string_agg('- `' || file_name || '`' || CASE WHEN line_end > line_start THEN ' `' || line_start || '->' || line_end || '行`' ELSE '' END, chr(10) ORDER BY rank) AS refs FROM ci GROUP BY query_id")
+def f4(spark, sf_dir):
+    return cite.reference_lines(_cited(spark, sf_dir))
+
+
+@query("a5_cited_files", f"WITH {_CITED} SELECT query_id, file_path, min(file_name) AS file_name, min(rank) AS rank, string_agg(line_start || '-' || line_end, ',' ORDER BY rank) AS hits FROM ci GROUP BY query_id, file_path")
+def a5(spark, sf_dir):
+    return cite.files(_cited(spark, sf_dir)).withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start"].cast("string"), h["end"].cast("string"))), ","))
+
+
+@query("a12_numbered_files", f"WITH {_CITED}, f AS (SELECT query_id, file_path, min(rank) AS first FROM ci GROUP BY query_id, file_path) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file_path)::INT AS number FROM f")
+def a12(spark, sf_dir):
+    return cite.numbered_files(_cited(spark, sf_dir))
+
+
+@query("f5_debug_rows", f"WITH {_CITED} SELECT query_id, rank AS row, round(score, 4) AS score, file_path, line_start, line_end, lang AS block_types, length(text)::INT AS text_length FROM ci")
+def f5(spark, sf_dir):
+    return cite.debug_rows(_cited(spark, sf_dir))
+
+
+_MS = "(event_id * 37 % 200000 + user_id * 900)"
+
+
+@query("f6_durations", f"WITH m AS (SELECT event_id, {_MS}::BIGINT AS ms FROM events) SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'ms' WHEN ms < 60000 THEN ((ms + 5) // 1000) || '.' || lpad(((ms + 5) // 10 % 100)::varchar, 2, '0') || 's' WHEN ms < 3600000 THEN (ms // 60000) || 'm' || lpad((ms // 1000 % 60)::varchar, 2, '0') || 's' ELSE (ms // 3600000) || 'h' || lpad((ms // 60000 % 60)::varchar, 2, '0') || 'm' || lpad((ms // 1000 % 60)::varchar, 2, '0') || 's' END AS out FROM m")
+def f6(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.duration(F.expr(_MS)).alias("out"))
+
+
+@query("f7_speed", f"WITH m AS (SELECT event_id, {_MS}::BIGINT AS ms FROM events) SELECT event_id, CASE WHEN ms < 500 THEN '⚡' WHEN ms < 2000 THEN '🚀' WHEN ms < 5000 THEN '✈️' WHEN ms < 10000 THEN '🚅' WHEN ms < 20000 THEN '🚗' WHEN ms < 40000 THEN '🏃' WHEN ms < 60000 THEN '🚶' ELSE '🐢' END AS out FROM m")
+def f7(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", X.speed(F.expr(_MS)).alias("out"))
+
+
+@query("f8_micro_batches")
+def f8(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
+    tokens = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))).alias("seq", "token"))
+    return cite.micro_batches(tokens)
+
+
+@query("f9_shows_sources", f"SELECT conv_id, turn, role <> 'user' AND {_TRIM.format('text')} <> '' AND NOT starts_with({_TRIM.format('text')}, '不知道') AS shown FROM conversations")
+def f9(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", routing.shows_sources(F.when(F.col("role") != "user", "- `f`"), F.col("text")).alias("shown"))
+
+
+# ---------------------------------------------------------------- assets
+
+_PATH = "concat('img/', CASE doc_id % 3 WHEN 0 THEN concat('chart', cast(doc_id as {0})) WHEN 1 THEN '图1' ELSE 'a-name-with-more-than-20' END, '.png')"
+
+
+@query("o2_image_names", f"WITH i AS (SELECT source, doc_id, {_PATH.format('varchar')} AS path FROM documents), f AS (SELECT source, path, min(doc_id) AS fst, path NOT LIKE 'img/chart%' AS bad FROM i GROUP BY ALL), n AS (SELECT *, sum(bad::INT) OVER (PARTITION BY source ORDER BY fst, path ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT i.doc_id, CASE WHEN bad THEN 'img/img_' || lpad(k::varchar, 6, '0') || '.png' ELSE i.path END AS new_path FROM i JOIN n USING (source, path)")
+def o2(spark, sf_dir):
+    i = table(spark, sf_dir, "documents").select(F.col("source").alias("file_path"), F.col("doc_id").alias("seq"), F.expr(_PATH.format("string")).alias("path"))
+    return assets.new_names(i).select(F.col("seq").alias("doc_id"), "new_path")
+
+
+@query("o3_meaningful", "SELECT doc_id, n_chars >= 120 AND doc_id % 300 >= 80 AND n_chars::DOUBLE / (doc_id % 300) BETWEEN 0.1 AND 10 AS ok FROM documents WHERE doc_id % 300 > 0")
+def o3(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id % 300 > 0")
+    return d.select("doc_id", assets.meaningful(F.col("n_chars"), F.col("doc_id") % 300).alias("ok"))
+
+
+@query("o4_content_id", "SELECT page_id, substr(sha256(html), 1, 16) AS image_id FROM pages")
+def o4(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", assets.content_id(F.col("html").cast("binary")).alias("image_id"))
+
+
+@query("o7_caption_memo", "SELECT source AS image_id, upper(source) AS caption FROM documents GROUP BY source")
+def o7(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("image_id"))
+    return assets.captions(d, F.upper("image_id"))
+
+
+def _captioned(spark, sf_dir):
+    link = F.concat(F.lit("![a](i.png) tail\n"), F.col("text"))
+    docs = kb(spark, sf_dir).select("file_path", link.alias("text"))
+    images = docs.select("file_path", F.lit("i.png").alias("path"), F.lit("img_000001.png").alias("new_path"), F.lit("0123456789abcdef").alias("image_id"), F.lit(200).alias("width"), F.lit(100).alias("height"), F.lit("a caption").alias("caption"))
+    return assets.apply_captions(docs, images)
+
+
+@query("o1_captions", f"WITH {KB} SELECT file_path, '![a](img_000001.png) tail' || chr(10) || '*[Image OCR]*' || chr(10) || 'id: 0123456789abcdef' || chr(10) || 'model: offline' || chr(10) || 'status: ok' || chr(10) || '*' || chr(10) || chr(10) || 'a caption' || chr(10) || chr(10) || '*[End OCR]*' || chr(10) || text AS text FROM kb")
+def o1(spark, sf_dir):
+    return _captioned(spark, sf_dir).select("file_path", "text")
+
+
+@query("a9_caption_counters", "SELECT count(*) AS files, 0::BIGINT AS failed, count(*) AS new, 0::BIGINT AS kept, 0::BIGINT AS replaced, 0::BIGINT AS missing FROM documents")
+def a9(spark, sf_dir):
+    return assets.run_counters(_captioned(spark, sf_dir))
+
+
+@query("v3_safe_links", "SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'http://h:<p>' || page_id FROM pages")
+def v3(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", X.safe_link(F.col("url")).alias("url")).unionByName(p.select("page_id", X.safe_link(F.concat(F.lit("http://h:<p>"), F.col("page_id").cast("string"))).alias("url")))
+
+
+@query("event_windows", "SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(spark, sf_dir):
+    return incremental.event_windows(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
 
 
-def oracle_sql():
-    return {}
