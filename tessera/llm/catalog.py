@@ -24,7 +24,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    return pages.extract(table(spark, sf_dir, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    return pages.extract(table(spark, sf_dir, "pages"), Scratch(spark, "pages")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
 
 
 def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ import html as entities
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACES = re.compile(r"\s+")
@@ -303,32 +305,30 @@ def main_text(page: Node, others: list[Node]) -> str:
     return "\n".join(b for t in tops for b in blocks(t, constant, not marked))
 
 
-def extract(pages: DataFrame, peers: int = 3, group: int = 256) -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000) -> DataFrame:
     """pages(page_id, url, html) to page_id, url, text.
 
-    Each page is aligned with `peers` pages of its host, those with the lowest hashes of page_id (itself left out), by
-    simple tree matching. Nodes equal to their partners are template, the others slots. Inside an article or main
-    element all text stays but what an element or label sets apart; elsewhere the region is the slot with most
-    varying text, and template nodes in it go.
+    Each page is aligned with `peers` other pages of its host by simple tree matching. Nodes equal to their partners
+    are template, the others slots. Inside an article or main element all text stays but what an element or label sets
+    apart; elsewhere the region is the slot with most varying text, and template nodes in it go.
+
+    Pages move once, to groups of a host: one group up to `group` pages, else as many as the host needs, by a hash of
+    page_id and url. A group's peers are its pages with the lowest hashes, so no task depends on a host's size. How
+    many groups a large host needs is a small table, broadcast if it has at most `most_hosts` rows, else joined.
 
-    A host's pages are dealt to groups of about `group` pages, however many it has; each group gets the host's peers,
-    so no task depends on a host's size. Null html counts as empty and gives "". Null urls form one host. Repeated rows
-    are extracted alike. Other columns are not read.
+    Null html counts as empty and gives "". Null urls form one host. Repeated rows are extracted alike. An empty table
+    gives an empty result. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    count = p.groupBy("host").agg(F.ceil(F.count("*") / group).alias("groups"))
-    low = p.groupBy("host", F.pmod(F.xxhash64("page_id"), F.lit(peers + 1)).alias("slot")).agg(F.min_by(F.struct("page_id", "html"), F.struct(F.xxhash64("page_id"), "page_id", "html")).alias("peer"))
-    peer_rows = low.join(count, "host").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
-    rows = p.join(count, "host").withColumn("salt", F.pmod(F.xxhash64("page_id", F.lit(1)), F.col("groups")))
-
-    def work(key, own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        trees = [(i, settle(parse(h))) for i, h in zip(others["page_id"], others["html"])]
-        text = []
-        for i, h in zip(own["page_id"], own["html"]):
-            page = settle(parse(h))
-            text.append(main_text(page, [t for j, t in trees if j != i][:peers]))
+    large = scratch.save(pages.select(host.alias("_host")).groupBy("_host").agg(F.ceil(F.count("*") / group).alias("groups")).where("groups > 1"))
+    large = F.broadcast(large) if large.count() <= most_hosts else large
+    p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("k"))
+    p = p.join(large, F.col("host") == F.col("_host"), "left").withColumn("salt", F.pmod(F.col("k"), F.coalesce("groups", F.lit(1))))
+
+    def work(own: pd.DataFrame) -> pd.DataFrame:
+        low = own.sort_values(["k", "html"])[["k", "html"]].drop_duplicates("k").head(peers + 1)
+        trees = [(k, settle(parse(h))) for k, h in zip(low["k"], low["html"])]
+        text = [main_text(settle(parse(h)), [t for j, t in trees if j != k][:peers]) for k, h in zip(own["k"], own["html"])]
         return pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": text})
 
-    peer_rows = peer_rows.select(F.col("host").alias("peer_host"), F.col("salt").alias("peer_salt"), F.col("peer.page_id").alias("page_id"), F.col("peer.html").alias("html"))
-    return rows.groupBy("host", "salt").cogroup(peer_rows.groupBy("peer_host", "peer_salt")).applyInPandas(work, "page_id long, url string, text string")
+    return p.select("page_id", "url", "html", "host", "salt", "k").groupBy("host", "salt").applyInPandas(work, "page_id long, url string, text string")
