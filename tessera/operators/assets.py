@@ -9,6 +9,7 @@ import zipfile
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import structure as S
 
@@ -24,7 +25,7 @@ def meaningful(width: Column, height: Column) -> Column:
     return F.coalesce((width >= 120) & (height >= 80) & (width / height >= 0.1) & (width / height <= 10), F.lit(False))
 
 
-@F.pandas_udf("struct<width: int, height: int>")
+@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def dimensions(content: pd.Series) -> pd.DataFrame:
     """Width and height from the header of a PNG or JPEG; null for anything else."""
     def one(b):
@@ -114,7 +115,7 @@ def run_counters(done: DataFrame) -> DataFrame:
     return done.agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), *[F.sum(c).alias(c) for c in ("new", "kept", "replaced", "missing")])
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def valid_office(content: pd.Series) -> pd.Series:
     """Is the content a readable zip, as office files are?"""
     def ok(b):

@@ -5,27 +5,28 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import structure as S
 from ..functions.text import FENCE, LIST_ITEM
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def clean_text(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else S.clean(t))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def code_like(line: pd.Series) -> pd.Series:
     return line.map(lambda x: None if x is None else S.code_like(x))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def bare_cjk(line: pd.Series) -> pd.Series:
     return line.map(lambda x: None if x is None else S.bare_cjk(x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def wrap_code(text: pd.Series) -> pd.Series:
     def one(t):
         lines = t.split("\n")
