@@ -84,14 +84,15 @@ def repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*keys)], ["key", "h", "longer"])
 
     rows = docs.select("doc_id", "row", "text")
-    lines = rows.mapInArrow(scan, "doc_id long, row long, line int, h long, n int")
+    lines = scratch.save(rows.mapInArrow(scan, "doc_id long, row long, line int, h long, n int"))
     classes = scratch.save(lines.groupBy("h").agg(F.min(F.struct("doc_id", "row", "line")).alias("first"), F.min("n").alias("n")))
-    half = rows.select("text").mapInArrow(halves, "key long, h long, longer int")
+    half = scratch.save(rows.select("text").mapInArrow(halves, "key long, h long, longer int"))
     equal = F.when(F.col("longer") == 0, F.col("h"))
     met = half.groupBy("key").agg(F.min(equal).alias("low"), F.max(equal).alias("high"), F.max("longer").alias("longer"))
     met = met.select("key", (F.col("low") < F.col("high")).alias("same"), (F.col("longer").eqNullSafe(1) & F.col("low").isNotNull()).alias("grown")).where("same or grown")
     near = half.join(met, "key").groupBy("h").agg(F.max((F.col("longer") == 0) & F.col("same")).alias("same"), F.max((F.col("longer") == 0) & F.col("grown")).alias("whole"), F.max((F.col("longer") == 1) & F.col("grown")).alias("less"))
     near = scratch.save(near.where("same or whole or less"))
+    scratch.drop(half)
     scratch.release()
 
     ask = classes.join(near, "h").groupBy(F.col("first.row").alias("row")).agg(F.collect_list(F.struct("first.doc_id", "first.line", "same", "whole", "less")).alias("s"))
