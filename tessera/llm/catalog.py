@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, mixing, neighbours, ngram_join, pages, quality, secrets, substrings, toxicity
+from . import decontaminate, lines, mixing, neighbours, ngram_join, pages, quality, secrets, sql, substrings, toxicity
 from .common import Scratch, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix"))
+    return mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "mix")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,4 +65,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op1_mixing": sql.OP1, "op2_ngram_join": sql.OP2, "op5_neighbours": sql.OP5, "op9_substrings": sql.OP9}

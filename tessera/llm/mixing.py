@@ -73,7 +73,8 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.
     d = rows.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     d = d.withColumn("rate", F.least(F.lit(most), F.coalesce(F.exp(F.col("lam") * F.col("x")), F.lit(0.0))))
     d = d.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-    d = d.withColumn("_g", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n_docs") / F.lit(group))))
+    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
+    d = d.withColumn("_g", F.pmod(spread, F.ceil(F.col("n_docs") / F.lit(group))))
     g = d.groupBy("source", "_g", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), "doc_id", "rate"))).alias("rows"))
     zero = F.struct(F.lit(0.0).alias("due"), F.lit(0).cast("long").alias("got"), F.expr("cast(array() as array<int>)").alias("k"))
 
