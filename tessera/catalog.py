@@ -229,9 +229,45 @@ def p3_structured(spark, sf_dir):
     return b.select("file_path", "header_path", "type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
-@query("p4_text_nodes")
+_PACK = (
+    ", b AS (SELECT file_path, header_path, line_start, string_split(text, chr(10)) AS a FROM s WHERE header_path NOT LIKE '%/Facts/' AND header_path NOT LIKE '%/Code/'), x AS (SELECT file_path, header_path, line_start, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS i FROM b), "
+    "fst AS (SELECT file_path, header_path, min(i) AS f, max(i) AS m FROM x WHERE regexp_matches(line, '\\S') GROUP BY ALL), y AS (SELECT x.*, i - f + 1 AS k FROM x JOIN fst USING (file_path, header_path) WHERE i >= f), "
+    "z AS (SELECT file_path, header_path, line_start, line, i, k, length(line) AS size, 1::BIGINT AS piece FROM y WHERE k = 1 UNION ALL SELECT y.file_path, y.header_path, y.line_start, y.line, y.i, y.k, CASE WHEN z.size + 1 + length(y.line) > 1000 THEN length(y.line) ELSE z.size + 1 + length(y.line) END, CASE WHEN z.size + 1 + length(y.line) > 1000 THEN z.piece + 1 ELSE z.piece END FROM z JOIN y ON y.file_path = z.file_path AND y.header_path = z.header_path AND y.k = z.k + 1) "
+    "SELECT file_path, header_path, string_agg(line, chr(10) ORDER BY i) AS text, min(line_start + i) AS line_start, max(line_start + i) + 1 AS line_end FROM z GROUP BY file_path, header_path, piece HAVING regexp_matches(string_agg(line, ''), '\\S')"
+)
+
+
+@query("p4_text_nodes", sections_sql(_PACK).replace("WITH ", "WITH RECURSIVE ", 1))
 def p4(spark, sf_dir):
-    return markdown.text_nodes(markdown.sections(kb(spark, sf_dir)))
+    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir))).where("type = 'text' and not header_path rlike '/(Facts|Code)/$'")
+    return n.select("file_path", "header_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+def _pieces(spark, sf_dir, kind):
+    nodes = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)).where(F.col("header_path").rlike(f"/{'Facts' if kind == 'table' else 'Code'}/$")))
+    return markdown.split_nodes(nodes.where(F.col("type") == kind)).select("file_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+@query("k3_table_split", sections_sql("SELECT file_path, '【表格 第 1-2 行，共 2 行】' || chr(10) || chr(10) || trim(text, chr(10)) AS text, line_start + 3 AS line_start, line_start + 5 AS line_end FROM s WHERE header_path LIKE '%/Facts/'"))
+def k3(spark, sf_dir):
+    return _pieces(spark, sf_dir, "table")
+
+
+@query("k4_code_split", sections_sql("SELECT file_path, trim(text, chr(10)) AS text, line_start + 1 AS line_start, line_start + 4 AS line_end FROM s WHERE header_path LIKE '%/Code/'"))
+def k4(spark, sf_dir):
+    return _pieces(spark, sf_dir, "code")
+
+
+@query("k7_merge")
+def k7(spark, sf_dir):
+    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)))
+    return markdown.merge_nodes(n).select("file_path", "header_path", "line_start", "line_end", "merged_chunks", F.array_join("block_types", "|").alias("block_types"), "text")
+
+
+@query("k1_pass_through", sections_sql("SELECT header_path, count(*) AS n FROM s WHERE header_path LIKE '%/Facts/' GROUP BY header_path"))
+def k1(spark, sf_dir):
+    nodes = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)).where("header_path like '%/Facts/'"))
+    return markdown.split_nodes(nodes, handlers={"table": lambda n, size: [n]}).groupBy("header_path").agg(F.count("*").alias("n"))
 
 
 @query("p5_node_stats")
@@ -615,10 +651,10 @@ def j7(spark, sf_dir):
     return cite.hit_lines(lines, cite.merge_ranges(_ranges(spark, sf_dir)))
 
 
-@query("f3_highlight")
+@query("f3_highlight", f"WITH {KB}, {LINES} SELECT file_path, string_agg(CASE WHEN n = 4 AND regexp_matches(line, '\\S') THEN '==' || line || '== <mark id=\"first-hit\"/>' ELSE line END, chr(10) ORDER BY n) AS marked FROM l GROUP BY file_path")
 def f3(spark, sf_dir):
     d = kb(spark, sf_dir)
-    hits = d.select("file_path", F.lit(4).alias("start"), F.lit(8).alias("end"))
+    hits = d.select("file_path", F.lit(4).alias("start"), F.lit(5).alias("end"))
     return cite.highlight(d, hits)
 
 
@@ -668,7 +704,7 @@ def f7(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", X.speed(F.expr(_MS)).alias("out"))
 
 
-@query("f8_micro_batches")
+@query("f8_micro_batches", "WITH RECURSIVE t AS (SELECT conv_id * 100 + turn AS question_id, unnest(v) AS token, generate_subscripts(v, 1) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '\\S+\\s*') AS v FROM conversations WHERE role = 'assistant')), z AS (SELECT question_id, k, token, length(token) AS n, 0::BIGINT AS batch, contains(token, chr(10)) OR length(token) > 23 AS done FROM t WHERE k = 1 UNION ALL SELECT t.question_id, t.k, t.token, CASE WHEN z.done THEN length(t.token) ELSE z.n + length(t.token) END, z.batch + z.done::INT, contains(t.token, chr(10)) OR CASE WHEN z.done THEN length(t.token) ELSE z.n + length(t.token) END > 23 FROM z JOIN t ON t.question_id = z.question_id AND t.k = z.k + 1) SELECT question_id, batch::INT AS batch, string_agg(token, '' ORDER BY k) AS text FROM z GROUP BY question_id, batch")
 def f8(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'")
     tokens = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("question_id"), F.posexplode(F.regexp_extract_all("text", F.lit(r"\S+\s*"), F.lit(0))).alias("seq", "token"))

@@ -104,7 +104,7 @@ def split_code(node: dict, size: int) -> list[dict]:
 
     Line ranges of pieces count code lines only (the fence line is not the first).
     """
-    text, fence = node["text"], (node.get("fence_char") or "`") * max(3, node.get("fence_len") or 3)
+    text, fence = node["text"], (node.get("fence_char") or "`") * max(3, int(node.get("fence_len") or 3))
     if not text.strip():
         return [node]
     lines = text.split("\n")

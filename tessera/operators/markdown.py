@@ -79,9 +79,32 @@ def text_nodes(sections: DataFrame, size: int = Settings.chunk_size) -> DataFram
     def work(r):
         for b in S.blocks(r["text"].split("\n")):
             for n in S.text_nodes(b, r["line_start"], size):
-                yield {"type": n["type"], "text": n["text"], "line_start": n["line_start"], "line_end": n["line_end"]}
+                yield {k: n.get(k) for k in ("type", "text", "line_start", "line_end", "code_language", "fence_char", "fence_len")}
 
-    return _per_row(sections.select("file_path", "header_path", "line_start", "text"), ["file_path", "header_path"], "file_path string, header_path string, type string, text string, line_start int, line_end int", work)
+    return _per_row(sections.select("file_path", "header_path", "line_start", "text"), ["file_path", "header_path"], "file_path string, header_path string, type string, text string, line_start int, line_end int, code_language string, fence_char string, fence_len int", work)
+
+
+def split_nodes(nodes: DataFrame, settings: Settings = Settings(), handlers: dict | None = None) -> DataFrame:
+    """Nodes split by the handler of their type (K1-K5); a type without one passes."""
+    handlers = {**S.HANDLERS, **(handlers or {})}
+
+    def work(r):
+        return handlers.get(r["type"], lambda n, _: [n])(r, settings.chunk_size)
+
+    return _per_row(nodes, ["file_path", "header_path", "type"], "file_path string, header_path string, type string, text string, line_start int, line_end int, table_row_start int, table_row_end int, code_chunk_index int, code_total_chunks int, is_code_split boolean", work)
+
+
+def merge_nodes(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Nodes of a file in the order of their lines, small neighbours joined (K7). A file is one group; chunks() does the
+    same without moving anything."""
+    schema = "file_path string, header_path string, line_start int, line_end int, merged_chunks int, block_types array<string>, text string"
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        rows = f.sort_values(["line_start", "line_end"]).to_dict("records")
+        got = S.merge([{**r, "block_types": [r["type"]]} for r in rows], settings.chunk_size)
+        return pd.DataFrame({c.split()[0]: pd.Series([g.get(c.split()[0]) for g in got], dtype=object) for c in schema.split(", ")})
+
+    return nodes.groupBy("file_path").applyInPandas(run, schema)
 
 
 def chunk_rows(sections: list[dict], settings: Settings, handlers: dict) -> list[dict]:
