@@ -243,6 +243,12 @@ def p4(spark, sf_dir):
     return n.select("file_path", "header_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
+@query("k2_text_split", sections_sql(_PACK).replace("WITH ", "WITH RECURSIVE ", 1))
+def k2(spark, sf_dir):
+    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir))).where("type = 'text' and not header_path rlike '/(Facts|Code)/$'")
+    return markdown.split_nodes(n).select("file_path", "header_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
 def _pieces(spark, sf_dir, kind):
     nodes = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)).where(F.col("header_path").rlike(f"/{'Facts' if kind == 'table' else 'Code'}/$")))
     return markdown.split_nodes(nodes.where(F.col("type") == kind)).select("file_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
@@ -555,6 +561,12 @@ def d4(spark, sf_dir):
     return lexicon.render(lexicon.entries(lexicon.match(q, d.select("key", "seq")), d))
 
 
+@query("q2_analyze", "SELECT conv_id, turn, CASE WHEN length(" + _TRIM.format("text") + ") = 0 THEN 'INVALID' WHEN length(" + _TRIM.format("text") + ") <= 2 THEN 'INVALID' ELSE 'RAG' END AS question_type, substr(" + _TRIM.format("regexp_replace(text, '[\"''`“”‘’]', '', 'g')") + ", 1, 200) AS retrieval_query FROM conversations")
+def q2(spark, sf_dir):
+    a = routing.analyze(F.col("text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", a["question_type"].alias("question_type"), a["retrieval_query"].alias("retrieval_query"))
+
+
 _ASKED = "CASE turn % 5 WHEN 0 THEN text WHEN 1 THEN 'Hi ' WHEN 2 THEN 'HL' WHEN 3 THEN concat('\"', text, '\"') ELSE ' ' END"
 _CLASS = "CASE WHEN {0} = '' THEN 'INVALID' WHEN {0} IN ('hi','hello','hey','你好','你好吗','您好','谢谢','thanks','thank you','bye','再见','?','？') THEN 'CHAT' WHEN length({0}) <= 2 THEN 'INVALID' ELSE 'RAG' END"
 
@@ -756,6 +768,11 @@ def o1(spark, sf_dir):
     return _captioned(spark, sf_dir).select("file_path", "text")
 
 
+@query("o5_caption_fields", "SELECT 'kb/' || doc_id || '.md' AS file_path, '0123456789abcdef' AS image_id, 'offline' AS model, 'ok' AS status, 'a caption' AS caption FROM documents")
+def o5(spark, sf_dir):
+    return _captioned(spark, sf_dir).select("file_path", assets.caption_fields(F.col("text")).alias("c")).select("file_path", "c.*")
+
+
 @query("a9_caption_counters", "SELECT count(*) AS files, 0::BIGINT AS failed, count(*) AS new, 0::BIGINT AS kept, 0::BIGINT AS replaced, 0::BIGINT AS missing FROM documents")
 def a9(spark, sf_dir):
     return assets.run_counters(_captioned(spark, sf_dir))

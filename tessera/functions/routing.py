@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import is_quoted, is_refusal, rough_tokens, strip, token_analysis
+from .text import is_quoted, is_refusal, rough_tokens, sanitize_query, strip, token_analysis
 
 #: Greetings that need no retrieval (fixed values).
 TRIVIAL = ("hi", "hello", "hey", "你好", "你好吗", "您好", "谢谢", "thanks", "thank you", "bye", "再见", "?", "？")
@@ -17,6 +17,16 @@ def classify(question: Column) -> Column:
     return F.when(q == "", "INVALID").when(q.isin(*TRIVIAL), "CHAT").when(F.length(q) <= 2, "INVALID").otherwise("RAG")
 
 
+def analyze(question: Column, analyzer=None) -> Column:
+    """The four analysis fields. analyzer: a column function of a model that returns JSON text; where it fails, and without
+    one, the verdict of classify() and the question without quotes, cut to 200 characters."""
+    plain = F.struct(classify(question).alias("question_type"), F.substring(sanitize_query(question), 1, 200).alias("retrieval_query"), F.lit("").alias("presentation_intent"), F.lit("").alias("user_intent"))
+    if analyzer is None:
+        return plain
+    got = json_fields(analyzer(question))
+    return F.when(got["question_type"].isin("RAG", "CHAT", "INVALID"), got).otherwise(F.struct(F.lit("RAG").alias("question_type"), question.alias("retrieval_query"), F.lit("").alias("presentation_intent"), F.lit("").alias("user_intent")))
+
+
 def json_fields(text: Column) -> Column:
     """The four analysis fields of strict JSON, else of whatever looks like them; null where absent."""
     parsed = F.from_json(text, ", ".join(f"{f} string" for f in FIELDS))

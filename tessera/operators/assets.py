@@ -111,6 +111,14 @@ def apply_captions(docs: DataFrame, images: DataFrame, model: str = "offline") -
     return docs.select("file_path", "text").join(known, "file_path", "left").mapInPandas(run, schema)
 
 
+def caption_fields(text: Column) -> Column:
+    """image_id, model, status and caption of the first caption block of a text; null without one."""
+    block = F.regexp_extract(text, r"(?sm)^\*\[Image OCR\]\*[ \t]*\n(.*?)^\*\[End OCR\]\*[ \t]*$", 1)
+    field = lambda name: F.nullif(F.regexp_extract(block, rf"(?m)^{name}: *(.*)$", 1), F.lit(""))
+    body = F.regexp_replace(F.regexp_replace(block, r"(?s)^.*?\n\*\n", ""), r"^\s+|\s+$", "")
+    return F.when(block != "", F.struct(field("id").alias("image_id"), field("model").alias("model"), field("status").alias("status"), body.alias("caption")))
+
+
 def run_counters(done: DataFrame) -> DataFrame:
     return done.agg(F.count("*").alias("files"), F.count_if(F.col("error").isNotNull()).alias("failed"), *[F.sum(c).alias(c) for c in ("new", "kept", "replaced", "missing")])
 
