@@ -25,9 +25,10 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 APART = RAW | {"nav", "menu", "aside", "footer", "form", "button", "select", "option", "input", "label", "fieldset", "dialog", "head", "audio", "video", "map"}
 #: Words of class, id, role and aria-label that tell what a node holds. Matched as whole words between - _ or case changes.
 _LABEL = re.compile(
-    r"(?:^|[\s_-])(ad|ads|advert\w*|adsense|adbox|adslot|banner|sponsor\w*|promo\w*|promoted|affiliate|nav|navbar|navigation|menu|menubar|breadcrumb\w*|toc|pagination|pager|"
-    r"header|masthead|topbar|footer|foot|sidebar|sidenav|side|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social|follow|comment\w*|disqus|respond|replies|reply|responses?|reactions?|reviews|discussion|coment\w*|kommentar\w*|werbung|anzeigen?|publicidad|publicite|teaser|outbrain|taboola|"
-    r"cookie\w*|consent|gdpr|notice\w*|notification\w*|alert\w*|popup|modal|overlay|dialog|paywall|subscri\w*|newsletter|signup|login|search|searchbox|form|copyright|legal|disclaimer|skip|complementary|contentinfo|hidden|toolbar)(?=$|[\s_-])",
+    r"(?:^|[\s_-])(ads?|adsby\w*|adsense|ad(?:box|slot|unit|block|wrap|container)\w*|\w*advert\w*|\w*banner\w*|\w*sponsor\w*|promo\w*|affiliate|nav|\w*navbar\w*|navigation|\w*menu\w*|\w*breadcrumb\w*|toc|pagination|pager|"
+    r"header|masthead|topbar|\w*footer\w*|foot|\w*sidebar\w*|sidenav|side|rail|widget\w*|related|recommend\w*|trending|popular|share|sharing|social|follow|\w*comments?|comment\w*|disqus|respond|replies|reply|responses?|reactions?|reviews|discussion|"
+    r"coment\w*|kommentar\w*|werbung|anzeigen?|publicidad|publicite|teasers?|outbrain|taboola|\w*cookie\w*|consent|gdpr|notices?|notification\w*|alert\w*|\w*popup\w*|modal|overlay|dialog|paywall|subscri\w*|\w*newsletter\w*|signup|login|"
+    r"search|searchbox|searchform|forms?|copyright|legal|disclaimer|skip|complementary|contentinfo|hidden|toolbar)(?=$|[\s_-])",
     re.I,
 )
 #: Of these, what an article may have itself.
@@ -264,7 +265,7 @@ def varying(x: Node, constant: set[int]) -> int:
 
 
 def blocks(top: Node, constant: set[int], strict: bool) -> list[str]:
-    """Text blocks under top in page order. strict: template nodes go too (where no element marks the article)."""
+    """Text blocks under top in page order. strict: template nodes go too (where nothing less than the whole page holds the article)."""
     out, here = [], []
 
     def flush():
@@ -301,8 +302,8 @@ def main_text(page: Node, others: list[Node]) -> str:
     """Text of an article page, given trees of other pages of its host."""
     constant = constant_nodes(page, others) if others else set()
     tops = region(page, constant)
-    marked = any(t.tag in ("article", "main") or "main" in t.label.split() for t in tops)
-    return "\n".join(b for t in tops for b in blocks(t, constant, not marked))
+    whole = tops[0].tag in ("body", "html", "#root")
+    return "\n".join(b for t in tops for b in blocks(t, constant, whole))
 
 
 def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000) -> DataFrame:
@@ -310,7 +311,8 @@ def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256
 
     Each page is aligned with `peers` other pages of its host by simple tree matching. Nodes equal to their partners
     are template, the others slots. Inside an article or main element all text stays but what an element or label sets
-    apart; elsewhere the region is the slot with most varying text, and template nodes in it go.
+    apart. Elsewhere the region is the node down to which nearly all varying text goes; in it text stays too, unless it is
+    the whole page, whose template nodes go.
 
     Pages move once, to groups of a host: one group up to `group` pages, else as many as the host needs, by a hash of
     page_id and url. A group's peers are its pages with the lowest hashes, so no task depends on a host's size. How

@@ -225,7 +225,7 @@ def test_pages_by_alignment(spark, scratch):
     words = lambda n: " ".join(f"v{r.randrange(999)}" for _ in range(n))
     rows, want = [], {}
     for i in range(40):
-        body = [words(30) for _ in range(r.randrange(2, 5))]
+        body = [words(30) for _ in range(r.randrange(2, 5))] + ["The same last words on all pages."]
         rows.append((i, f"http://H.x/{i}", page("<div>Front Sports Weather</div><div><div><h1>" + (h := words(4)) + "</h1>" + "".join(f"<p>{b}</p>" for b in body) + "</div><div>Most read today</div></div><div>Imprint</div>")))
         want[i] = "\n".join([h, *body])
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
