@@ -7,7 +7,6 @@ one's docs. All but the last return the columns of documents. No stage shuffles
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lines, mixing, ngram_join, toxicity
 from tessera.llm.common import Scratch, table
@@ -21,11 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated lines and n_chars brought up to date. A document goes if all its lines do; one that was
     null or empty before stays."""
-    out = lines.dedup(docs, Scratch(spark, "pipeline-lines"))
-    out = out.where("n_removed = 0 or text <> ''")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return lines.drop_repeats(docs, Scratch(spark, "pipeline-lines"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

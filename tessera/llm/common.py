@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -155,10 +157,9 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component): the smallest node reachable over edges (u, v); nodes without an edge to another are absent.
 
     Alternates two star contractions, each an aggregation for a node's smallest neighbour and a join back on the
-    node; Spark splits skewed joins. A round's edges go to the shared folder. Ends when a round changes nothing.
+    node; Spark splits skewed joins. A round's edges go to the shared folder. Ends when all that is left is stars.
     """
     e = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    seen = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -166,12 +167,19 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), "m").unionByName(low).where("u <> m").distinct()
         new = scratch.save(small.select("u", F.col("m").alias("v")))
-        state = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.countDistinct("u")).first()
         scratch.drop(e)
         e = new
-        if state[0] == state[2] and tuple(state) == seen:
+        edges_, leaves = e.agg(F.count("*"), F.countDistinct("u")).first()
+        if edges_ == leaves and e.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").isEmpty():
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-        seen = tuple(state)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system, after training has held a sample."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 # ---------------------------------------------------------------- labelled samples for classifiers

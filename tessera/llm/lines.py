@@ -90,6 +90,7 @@ def repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int
     equal = F.when(F.col("longer") == 0, F.col("h"))
     met = half.groupBy("key").agg(F.min(equal).alias("low"), F.max(equal).alias("high"), F.max("longer").alias("longer"))
     met = met.select("key", (F.col("low") < F.col("high")).alias("same"), (F.col("longer").eqNullSafe(1) & F.col("low").isNotNull()).alias("grown")).where("same or grown")
+    met = scratch.save(met)
     near = half.join(met, "key").groupBy("h").agg(F.max((F.col("longer") == 0) & F.col("same")).alias("same"), F.max((F.col("longer") == 0) & F.col("grown")).alias("whole"), F.max((F.col("longer") == 1) & F.col("grown")).alias("less"))
     near = scratch.save(near.where("same or whole or less"))
     scratch.drop(half)
@@ -158,12 +159,25 @@ def dedup(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int =
     A null text stays null (0 lines); so do empty texts stay empty (1 line). A null doc_id sorts first. Rows that
     repeat in doc_id and text are one row here: each keeps what the other keeps. A text may become "".
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64("doc_id", "text").alias("row"))
-    gone = repeats(rows.select("d.doc_id", "row", F.coalesce("d.text", F.lit("")).alias("text")), scratch, shortest, edit_from)
-    out = rows.join(gone, "row", "left")
-    lines = F.split("d.text", "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    n = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(lines)).cast("long")
+    out, kept = _kept(docs, scratch, shortest, edit_from)
+    n = F.when(F.col("d.text").isNull(), 0).otherwise(F.size(F.split("d.text", "\n", -1))).cast("long")
     removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
-    own = [F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept).alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
+    own = [kept.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*own, n.alias("n_lines"), removed.alias("n_removed"))
+
+
+def drop_repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int = 8, length: str = "n_chars") -> DataFrame:
+    """docs with text as in dedup() and exactly their columns. A row that loses all its lines goes; one that was null or
+    empty before stays. Column `length`, if there is one, is brought up to date where lines went."""
+    out, kept = _kept(docs, scratch, shortest, edit_from)
+    out = out.select("d", "gone", kept.alias("kept")).where("gone is null or kept <> ''")
+    new = {"text": F.col("kept")} | ({length: F.when(F.col("gone").isNull(), F.col(f"d.`{length}`")).otherwise(F.length("kept")).cast(docs.schema[length].dataType)} if length in docs.columns else {})
+    return out.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+
+
+def _kept(docs: DataFrame, scratch: Scratch, shortest: int, edit_from: int):
+    """Rows as a struct d with gone (null: nothing goes), and the expression of what stays of the text."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"), F.xxhash64("doc_id", "text").alias("row"))
+    gone = repeats(rows.select("d.doc_id", "row", F.coalesce("d.text", F.lit("")).alias("text")), scratch, shortest, edit_from)
+    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains("gone", i)), "\n")
+    return rows.join(gone, "row", "left"), F.when(F.col("gone").isNull(), F.col("d.text")).otherwise(kept)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, as_batch, grams, labelled, text_batches, word_hashes
+from .common import _BYTES, as_batch, give_back, grams, labelled, text_batches, word_hashes
 
 NGRAMS = (3, 4, 5)
 BITS = 17
@@ -87,7 +87,9 @@ def fit(sample: list[tuple[str, int]], dim: int = 8, epochs: int = 12, rate: flo
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500, where=None, **options) -> Model:
     """Fit on at most `most` labelled documents of each class (the sample's only bound)."""
-    return fit(labelled(docs, labels, "quality", most, where), **options)
+    model = fit(labelled(docs, labels, "quality", most, where), **options)
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import _BYTES, as_batch, labelled, mix, powers, text_batches
+from .common import _BYTES, as_batch, give_back, labelled, mix, powers, text_batches
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
@@ -19,7 +19,7 @@ _LETTER[97:123] = _LETTER[65:91] = _LETTER[128:] = True
 
 @dataclass
 class Model:
-    """P(grade <= k) = sigmoid(thresholds[k] - weights . presence - length * log(1 + words)), one set of weights for all k."""
+    """P(grade <= k) = sigmoid(thresholds[k] - weights . log2(1 + counts) - length * log(1 + words)), one set of weights for all k."""
 
     weights: np.ndarray
     thresholds: np.ndarray
@@ -69,31 +69,38 @@ def lowered(batches):
         yield b.set_column(i, "text", pc.utf8_lower(b.column(i).fill_null("")))
 
 
-def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 4.0, steps: int = 300, l2: float = 2e-3) -> Model:
+def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 3.0, steps: int = 300, l2: float = 1e-2) -> Model:
     """Fit on (text, toxic). Where labels only tell toxic or not, toxic texts are graded 1 to `grades` by tertile of how
     many of the toxic-leaning features they hold, clean ones 0."""
     y = np.array([t for _, t in sample], np.int64)
     empty = Model(np.zeros(1 << BITS, np.float32), np.full(grades, 20.0), 0.0)
     if len(set(y.tolist())) < 2:
         return empty
-    pairs, words, base = [], [], 0
-    for part, buf, cuts in text_batches(lowered([as_batch([t for t, _ in sample])])):
-        who, what, n = features(buf, cuts)
-        pairs.append(np.unique(((who + base) << BITS) | what))
+
+    def counted():
+        """(sample row, bucket, log2(1 + times)) of each feature of a text, and words; some texts at a time."""
+        for base in range(0, len(sample), 256):
+            done = 0
+            for part, buf, cuts in text_batches(lowered([as_batch([t for t, _ in sample[base:base + 256]])]), most=1 << 19):
+                who, what, n = features(buf, cuts)
+                pairs, times = np.unique((who << BITS) | what, return_counts=True)
+                yield (pairs >> BITS) + base + done, pairs & ((1 << BITS) - 1), np.log2(1.0 + times), n
+                done += part.num_rows
+
+    df, pos, words = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS), []
+    for who, what, _, n in counted():
+        df += np.bincount(what, minlength=1 << BITS)
+        pos += np.bincount(what, weights=y[who], minlength=1 << BITS)
         words.append(n)
-        base += part.num_rows
-    pairs, words = np.concatenate(pairs), np.concatenate(words)
-    who, what = pairs >> BITS, pairs & ((1 << BITS) - 1)
-    df, pos = np.bincount(what, minlength=1 << BITS), np.bincount(what, weights=y[who], minlength=1 << BITS)
-    p = y.mean()
+    words, p = np.concatenate(words), y.mean()
     z = (pos - df * p) / np.sqrt(np.maximum(df, 1) * p * (1 - p))
     used = np.flatnonzero((df >= 4) & (np.abs(z) >= least_z))
     if not len(used):
         return empty
-    slot = np.full(1 << BITS, -1)
+    slot = np.full(1 << BITS, -1, np.int32)
     slot[used] = np.arange(len(used))
-    keep = slot[what] >= 0
-    who, what = who[keep], slot[what[keep]]
+    kept = [(who[m], slot[what[m]], times[m]) for who, what, times, _ in counted() for m in (slot[what] >= 0,)]
+    who, what, times = (np.concatenate(x) for x in zip(*kept))
     hits = np.bincount(who, weights=(z[used] > 0)[what], minlength=len(y))
     grade = np.where(y == 1, 1 + np.searchsorted(np.quantile(hits[y == 1], np.arange(1, grades) / grades), hits, "left"), 0)
     balance = np.where(y == 1, 0.5 / p, 0.5 / (1 - p))
@@ -104,7 +111,7 @@ def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 4.0, st
     m, v, k = np.zeros_like(x), np.zeros_like(x), len(used)
     for i in range(1, steps + 1):
         w, lw, t = x[:k], x[k], np.concatenate([x[k + 1:k + 2], x[k + 1] + np.cumsum(np.exp(x[k + 2:]))])
-        s = np.bincount(who, weights=w[what], minlength=len(y)) + lw * length
+        s = np.bincount(who, weights=w[what] * times, minlength=len(y)) + lw * length
         c = 1 / (1 + np.exp(-np.clip(np.concatenate([np.full((len(y), 1), -40.0), t[None] - s[:, None], np.full((len(y), 1), 40.0)], 1), -40, 40)))
         hi, lo = c[np.arange(len(y)), grade + 1], c[np.arange(len(y)), grade]
         prob = np.maximum(hi - lo, 1e-9)
@@ -112,7 +119,7 @@ def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 4.0, st
         gs = up - down  # of -log prob by s
         gt = np.array([-up[grade == j].sum() + down[grade == j + 1].sum() for j in range(grades)])
         gaps = np.exp(x[k + 2:])
-        g = np.concatenate([np.bincount(what, weights=gs[who], minlength=k) + l2 * w, [gs @ length], [gt.sum()], np.array([gt[j + 1:].sum() for j in range(grades - 1)]) * gaps])
+        g = np.concatenate([np.bincount(what, weights=gs[who] * times, minlength=k) + l2 * w, [gs @ length], [gt.sum()], np.array([gt[j + 1:].sum() for j in range(grades - 1)]) * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - 0.05 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.999**i)) + 1e-9)
     weights = np.zeros(1 << BITS, np.float32)
@@ -122,7 +129,9 @@ def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 4.0, st
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000, **options) -> Model:
     """Fit on at most `most` labelled documents of each class (the sample's only bound)."""
-    return fit(labelled(docs, labels, "toxic", most), **options)
+    model = fit(labelled(docs, labels, "toxic", most), **options)
+    give_back()
+    return model
 
 
 def _scorer(model: Model):
@@ -139,8 +148,8 @@ def _scorer(model: Model):
             for part, buf, cuts in text_batches(lowered([b.select(["text"])])):
                 who, what, words = features(buf, cuts)
                 hit = weights[what] != 0
-                pairs = np.unique((who[hit] << BITS) | what[hit])
-                x = np.bincount(pairs >> BITS, weights=weights[pairs & ((1 << BITS) - 1)], minlength=len(cuts) - 1)
+                pairs, times = np.unique((who[hit] << BITS) | what[hit], return_counts=True)
+                x = np.bincount(pairs >> BITS, weights=weights[pairs & ((1 << BITS) - 1)] * np.log2(1.0 + times), minlength=len(cuts) - 1)
                 yield b.slice(at, part.num_rows), np.where(words > 0, m.severity(x, words), 0.0)
                 at += part.num_rows
 
