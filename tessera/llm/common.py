@@ -130,7 +130,7 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def text_batches(batches, column: str = "text", most: int = 1 << 21):
+def text_batches(batches, column: str = "text", most: int = 1 << 20):
     """Slices of Arrow batches of about `most` bytes of text: (batch, bytes, cuts). A null text counts as empty."""
     for b in batches:
         if not b.num_rows:

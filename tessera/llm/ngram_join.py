@@ -114,7 +114,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
                 yield pa.record_batch([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["h", "node", "n"])
 
     entries = docs.select("text").mapInArrow(prefix, "h long, node long, n int")
-    columns = entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h", F.col("low").alias("pivot"))
+    columns = scratch.save(entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h", F.col("low").alias("pivot")))
     # columns of one node are out; equal sets are one entry
     shared = scratch.save(entries.join(columns, "h").groupBy("h", "node", "n", "pivot").count().drop("count"))
     scratch.release()
@@ -133,7 +133,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
     tiles = _tiles(own.where("all is not null"), nodes, docs, k, per_cent)
 
     s = scratch.save(shared.select("h", "node", "n").join(own.select("node", "label", F.when(F.col("all").isNotNull(), F.col("family")).alias("family")), "node"))
-    by = s.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    by = scratch.save(s.groupBy("h", "label").count().groupBy("h").agg(F.max_by("label", F.struct("count", "label")).alias("largest"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     left = s.join(by, "h").where("label <> largest").select("h", F.col("node").alias("a"), F.col("n").alias("na"), "label", "largest", F.col("family").alias("fa"))
     right = s.join(by.select("h"), "h", "left_semi").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"), F.col("family").alias("fb"))
     cond = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent)

@@ -14,7 +14,7 @@ from .common import _P, Scratch, mix, powers, text_batches, word_hashes
 _INVERSE = pow(_P, -1, 1 << 64)
 _inverses = np.ones(1, np.uint64)
 #: Low bits of a rank hold a symbol's place in its batch, so that equal ranks go to the leftmost; floor(log2) of counts.
-_PLACE = (1 << 26) - 1
+_PLACE = (1 << 32) - 1
 _DEPTH = np.array([0] + [n.bit_length() - 1 for n in range(1, 4096)])
 
 
@@ -188,7 +188,7 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
 
     each = scratch.save(ask.mapInArrow(windows, "w long, offset int, key long, content long, copies long"))
     again = each.groupBy("w").agg(F.sum("copies").alias("total")).where("total > 1")
-    offsets = each.join(again, "w", "left_semi").groupBy("key", "content").agg(F.collect_list("offset").alias("offsets"))
+    offsets = scratch.save(each.join(again, "w", "left_semi").groupBy("key", "content").agg(F.collect_list("offset").alias("offsets")))
     span = lambda start, n: F.struct(start.cast("int").alias("start"), (start + n + (window - 1)).cast("int").alias("end"))
     whole = places.where("not mixed").select("row", span(F.col("first"), F.col("n")).alias("r"))
     some = places.where("mixed").join(offsets, ["key", "content"]).select("row", F.explode("offsets").alias("o"), "first").select("row", span(F.col("first") + F.col("o"), F.lit(1)).alias("r"))

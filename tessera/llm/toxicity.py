@@ -145,7 +145,7 @@ def _scorer(model: Model):
         m = Model(weights, thresholds, length)
         for b in batches:
             at = 0
-            for part, buf, cuts in text_batches(lowered([b.select(["text"])])):
+            for part, buf, cuts in text_batches(lowered([b.select(["text"])]), most=1 << 19):
                 who, what, words = features(buf, cuts)
                 hit = weights[what] != 0
                 pairs, times = np.unique((who[hit] << BITS) | what[hit], return_counts=True)
