@@ -366,7 +366,7 @@ def a3(spark, sf_dir):
     return stats.length_stats(table(spark, sf_dir, "documents"))
 
 
-@query("a8_knowledge_hash", "WITH o AS (SELECT substr(md5(doc_id::varchar), 1, 2) AS b, md5(string_agg(l, chr(10) ORDER BY encode(l))) AS h FROM (SELECT doc_id, doc_id || ':' || source || ':' || n_chars AS l FROM documents) GROUP BY 1) SELECT md5(string_agg(h, chr(10) ORDER BY b)) AS knowledge_hash FROM o")
+@query("a8_knowledge_hash", "WITH o AS (SELECT substr(md5(doc_id::varchar), 1, 3) AS b, md5(string_agg(l, chr(10) ORDER BY encode(l))) AS h FROM (SELECT doc_id, doc_id || ':' || source || ':' || n_chars AS l FROM documents) GROUP BY 1) SELECT md5(string_agg(h, chr(10) ORDER BY b)) AS knowledge_hash FROM o")
 def a8(spark, sf_dir):
     return stats.knowledge_hash(table(spark, sf_dir, "documents"), ("doc_id", "source", "n_chars"))
 
@@ -417,10 +417,10 @@ def _nearest(spark, sf_dir, queries=None):
     return retrieval.vector_top(v, q.select(F.col("doc_id").alias("query_id"), "embedding"), id="doc_id")
 
 
-@query("r1_inverted_index", "WITH t AS (SELECT DISTINCT doc_id, lower(unnest(" + _TERMS.format("text") + ")) AS term FROM documents) SELECT term, count(*) AS df, array_to_string(list_sort(list(doc_id)), ' ') AS postings FROM t GROUP BY term")
+@query("r1_inverted_index", "WITH t AS (SELECT DISTINCT doc_id, lower(unnest(" + _TERMS.format("text") + ")) AS term FROM documents) SELECT term, 0::BIGINT AS block, count(*) AS df, array_to_string(list_sort(list(doc_id)), ' ') AS postings FROM t GROUP BY term")
 def r1(spark, sf_dir):
     i = retrieval.inverted_index(table(spark, sf_dir, "documents"), "doc_id")
-    return i.select("term", "df", F.array_join(F.transform("postings", lambda p: p.cast("string")), " ").alias("postings"))
+    return i.select("term", "block", "df", F.array_join(F.transform("postings", lambda p: p.cast("string")), " ").alias("postings"))
 
 
 query("r2_vector_topk", f"WITH {_BY50} SELECT query_id, doc_id, score, rank FROM ve")(_nearest)

@@ -25,11 +25,11 @@ def length_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.count("*").alias("n"))
 
 
-def knowledge_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified"), blocks: int = 256) -> DataFrame:
-    """One hash of a collection's files: of their sorted lines path:size:time, hashed by block of the path first, so that no
-    task sees all lines. Without files: "empty"."""
+def knowledge_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified"), digits: int = 3) -> DataFrame:
+    """One hash of a collection's files: of their sorted lines path:size:time, hashed by 16**digits blocks of the path first, so
+    that no task sees all lines. Without files: "empty"."""
     line = F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
-    each = files.select(line.alias("l"), F.substring(F.md5(F.col(parts[0]).cast("string")), 1, 2).alias("b"))
+    each = files.select(line.alias("l"), F.substring(F.md5(F.col(parts[0]).cast("string")), 1, digits).alias("b"))
     own = each.groupBy("b").agg(F.md5(F.array_join(F.sort_array(F.collect_list("l")), "\n")).alias("h"))
     whole = own.agg(F.sort_array(F.collect_list(F.struct("b", "h"))).alias("h"))
     return whole.select(F.when(F.size("h") == 0, "empty").otherwise(F.md5(F.array_join(F.transform("h", lambda x: x["h"]), "\n"))).alias("knowledge_hash"))

@@ -65,6 +65,14 @@ def test_supplement(spark):
     assert [r.chunk_id for r in mixed] == ["0", "c1", "c2", "c3", "1"] and mixed[1].hit_sources == ["exact"]
 
 
+def test_posting_blocks(spark):
+    c = spark.createDataFrame([(f"c{i}", "the rare%d" % (i % 50)) for i in range(100)], "chunk_id string, text string")
+    got = retrieval.inverted_index(c, block=30).collect()
+    the = [r for r in got if r.term == "the"]
+    assert len(the) > 1 and all(r.df == 100 for r in the) and sorted(x for r in the for x in r.postings) == sorted(f"c{i}" for i in range(100))
+    assert all(r.df == 2 and r.block == 0 for r in got if r.term != "the")
+
+
 def test_vector_search_handles_zero_and_null(spark):
     v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [1.0, 1.0])], "chunk_id string, embedding array<float>")
     q = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
