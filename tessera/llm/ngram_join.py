@@ -128,7 +128,7 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
 
     own = shared.groupBy("node", "n").agg(F.min("pivot").alias("family")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     sizes = own.groupBy("family", "label").count().groupBy("family").agg(F.sum("count").alias("size"), F.max_by("count", F.struct("count", "label")).alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    sizes = sizes.where((F.col("size") > block) & (F.col("size") > F.col("most"))).select("family", F.ceil(F.col("size") / block).alias("all"), F.ceil((F.col("size") - F.col("most")) / block).alias("some"), "main")
+    sizes = scratch.save(sizes.where((F.col("size") > block) & (F.col("size") > F.col("most"))).select("family", F.ceil(F.col("size") / block).alias("all"), F.ceil((F.col("size") - F.col("most")) / block).alias("some"), "main"))
     own = scratch.save(own.join(sizes, "family", "left"))
     tiles = _tiles(own.where("all is not null"), nodes, docs, k, per_cent)
 
@@ -243,7 +243,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = 5, per_cent: int = 80) -> D
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
     ids = scratch.save(rows.select("doc_id", "row").join(_classes(rows, scratch, k, per_cent), "row"))
-    low = ids.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    low = scratch.save(ids.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("component_id")))
     return ids.join(low, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
