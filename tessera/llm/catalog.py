@@ -65,4 +65,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_mixing": sql.OP1, "op2_ngram_join": sql.OP2, "op5_neighbours": sql.OP5, "op9_substrings": sql.OP9}
+    return {"op1_mixing": sql.OP1, "op2_ngram_join": sql.OP2, "op5_neighbours": sql.OP5, "op6_lines": sql.OP6, "op9_substrings": sql.OP9}

@@ -45,3 +45,20 @@ x AS (SELECT w.doc_id, w, coalesce(gone, []) AS gone FROM w LEFT JOIN g USING (d
 u AS (SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed, list_filter(w, lambda t, i: NOT list_contains(gone, i)) AS kept FROM x)
 SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM u
 """
+
+_SAME = "len(list_filter(list_zip(a.w, b.w), lambda x: x[1] <> x[2])) <= 1"
+_PREFIX = "coalesce(list_position(list_transform(list_zip(a.w, b.w[:a.n]), lambda x: x[1] = x[2]), false) - 1, a.n)"
+
+OP6 = rf"""
+WITH l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL)),
+v AS (SELECT doc_id, i, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM l),
+k AS (SELECT *, array_to_string(w, ' ') AS t, len(w) AS n FROM v WHERE len(w) >= 3),
+c AS (SELECT t, any_value(w) AS w, any_value(n) AS n, min(doc_id * 1000000 + i) AS spot FROM k GROUP BY t),
+h AS (SELECT t, m, q, s, CASE s WHEN 0 THEN array_to_string(w[1:q], ' ') ELSE array_to_string(w[n - q + 1:n], ' ') END AS half FROM (SELECT t, w, n, m, m // 2 AS q FROM (SELECT t, w, n, unnest([n, n - 1]) AS m FROM c WHERE n >= 8) WHERE m >= 8), (VALUES (0), (1)) x(s)),
+p AS (SELECT DISTINCT x.t AS x, y.t AS y FROM h x JOIN h y ON x.m = y.m AND x.s = y.s AND x.half = y.half AND x.t <> y.t),
+e AS (SELECT a.spot AS one, b.spot AS two, CASE WHEN a.n = b.n THEN {_SAME} WHEN b.n = a.n + 1 THEN a.w[{_PREFIX} + 1:] = b.w[{_PREFIX} + 2:] ELSE false END AS near FROM p JOIN c a ON a.t = p.x JOIN c b ON b.t = p.y WHERE a.n <= b.n),
+late AS (SELECT DISTINCT greatest(one, two) AS spot FROM e WHERE near),
+gone AS (SELECT doc_id, i FROM k JOIN c USING (t) WHERE c.spot <> doc_id * 1000000 + i OR c.spot IN (SELECT spot FROM late)),
+o AS (SELECT l.doc_id, count(*) AS n_lines, count(g.i) AS n_removed, string_agg(line, chr(10) ORDER BY l.i) FILTER (g.i IS NULL) AS text FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.i = l.i GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, CASE WHEN d.text IS NOT NULL THEN coalesce(o.text, '') END AS text FROM documents d LEFT JOIN o USING (doc_id)
+"""
