@@ -148,6 +148,8 @@ def text_batches(batches, column: str = "text", most: int = 1 << 20):
             buf = np.frombuffer(data, np.uint8)[off[0]:off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
             yield b.slice(i, j - i), buf, off - off[0]
             i = j
+    b = col = part = data = buf = None
+    trim()
 
 
 # ---------------------------------------------------------------- connected components
@@ -174,14 +176,18 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def give_back() -> None:
-    """Return freed memory of this process to the system, after training has held a sample."""
-    gc.collect()
+def trim() -> None:
+    """Return freed memory of this process to the system: a worker's between tasks, the driver's after training."""
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library can
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def give_back() -> None:
+    gc.collect()
+    trim()
+
+
 # ---------------------------------------------------------------- labelled samples for classifiers
 
 
