@@ -264,8 +264,67 @@ def varying(x: Node, constant: set[int]) -> int:
     return total
 
 
-def blocks(top: Node, constant: set[int], strict: bool) -> list[str]:
-    """Text blocks under top in page order. strict: template nodes go too (where nothing less than the whole page holds the article)."""
+#: Elements that hold running text; one that pages share may be a shared sentence.
+_TEXT = {"p", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figcaption"}
+_HEADING = re.compile("h[1-6]")
+
+
+def _rank(x: Node) -> int:
+    """1 to 6 for a heading or what holds just one; else 0."""
+    while not _HEADING.fullmatch(x.tag):
+        if len(nodes(x)) != 1 or any(isinstance(k, str) and k.strip() for k in x.kids):
+            return 0
+        x = nodes(x)[0]
+    return int(x.tag[1])
+
+
+def template(tops: list[Node], constant: set[int]) -> set[int]:
+    """ids of the constant nodes in tops that are template and not shared text of the article.
+
+    A constant node stays if siblings that vary show it as one of theirs: one sibling like it (same tag and label) for
+    an element of running text or with a label, two for others; so do a heading before what varies and inline nodes but
+    those that stand between blocks. If more letters would go than stay, the other pages are near copies and none go.
+    """
+    gone: set[int] = set()
+    left = total = sum(t.size for t in tops)
+    vary = [t for t in tops if id(t) not in constant]
+    if not vary:
+        return gone
+    for t in tops:
+        if id(t) in constant:
+            gone.add(id(t))
+            left -= t.size
+    todo = vary
+    while todo:
+        x = todo.pop()
+        kids = [k for k in nodes(x) if not apart(k)]
+        live = [k for k in kids if id(k) not in constant and k.size]
+        between = any(k.tag in BLOCK for k in kids) and not any(isinstance(k, str) and k.strip() for k in x.kids)
+        below = 0  # 7 where text that stays follows; less under a heading of that rank
+        for k in reversed(kids):
+            heading = _rank(k)
+            if id(k) not in constant:
+                todo.append(k)
+                stays = True
+            elif heading:
+                stays = below > heading
+            elif k.tag in BLOCK:
+                like = sum(y.tag == k.tag and y.label == k.label for y in live)
+                stays = like >= (1 if k.tag in _TEXT or k.label else 2)
+            else:
+                stays = not between
+            if not stays:
+                gone.add(id(k))
+                left -= k.size
+            elif heading:
+                below = min(below or 7, heading)
+            elif k.size:
+                below = 7
+    return gone if 2 * left >= total else set()
+
+
+def blocks(top: Node, gone: set[int]) -> list[str]:
+    """Text blocks under top in page order, without the nodes in gone."""
     out, here = [], []
 
     def flush():
@@ -283,7 +342,7 @@ def blocks(top: Node, constant: set[int], strict: bool) -> list[str]:
         if done:
             flush()
             continue
-        if x is not top and (apart(x) or strict and id(x) in constant):
+        if x is not top and (apart(x) or id(x) in gone):
             if x.tag in BLOCK:
                 flush()
             continue
@@ -303,16 +362,17 @@ def main_text(page: Node, others: list[Node]) -> str:
     constant = constant_nodes(page, others) if others else set()
     tops = region(page, constant)
     whole = tops[0].tag in ("body", "html", "#root")
-    return "\n".join(b for t in tops for b in blocks(t, constant, whole))
+    gone = constant if whole else template(tops, constant)
+    return "\n".join(b for t in tops if whole or id(t) not in gone for b in blocks(t, gone))
 
 
 def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000) -> DataFrame:
     """pages(page_id, url, html) to page_id, url, text.
 
     Each page is aligned with `peers` other pages of its host by simple tree matching. Nodes equal to their partners
-    are template, the others slots. Inside an article or main element all text stays but what an element or label sets
-    apart. Elsewhere the region is the node down to which nearly all varying text goes; in it text stays too, unless it is
-    the whole page, whose template nodes go.
+    are template, the others slots. The region is the article or main element, elsewhere the node down to which nearly all
+    varying text goes. Template nodes in it go, but not shared text among varying text (see template()). Where the region is
+    the whole page, all template nodes go.
 
     Pages move once, to groups of a host: one group up to `group` pages, else as many as the host needs, by a hash of
     page_id and url. A group's peers are its pages with the lowest hashes, so no task depends on a host's size. How

@@ -232,6 +232,21 @@ def test_pages_by_alignment(spark, scratch):
     assert {x.page_id: x.text for x in pages.extract(d, scratch, group=16).collect()} == want
 
 
+def test_pages_align_inside_article_and_main():
+    """Template nodes without telling names go from article, main and content nodes; shared text among varying text stays."""
+    r = random.Random(3)
+    words = lambda n: " ".join(f"v{r.randrange(999)}" for _ in range(n))
+    for left, right in (("<article>", "</article>"), ("<main><div>", "</div></main>"), ("<div>", "</div>")):
+        made = [(words(4), words(30), words(20)) for _ in range(4)]
+        trees = [pages.settle(pages.parse(page(f"<div>Front</div>{left}<div>Get our magazine</div><h1>{h}</h1><p>{a} <b>and</b> on</p><p>Shared line.</p><h2>Why</h2><p>{b}</p><ul><li>More from us</li></ul>{right}<div>Imprint</div>"))) for h, a, b in made]
+        for i, (h, a, b) in enumerate(made):
+            assert pages.main_text(trees[i], trees[:i] + trees[i + 1:]) == f"{h}\n{a} and on\nShared line.\nWhy\n{b}"
+    near = [pages.settle(pages.parse(page(f"<article><h1>{n}</h1><p>One text on both pages.</p></article>"))) for n in "ab"]
+    assert pages.main_text(near[0], near[1:]) == "a\nOne text on both pages."  # near copies are no template
+    head = [pages.settle(pages.parse(page(f"<article><h1>Same title</h1><p>Same start.</p><p>{words(20)}</p><h2>Also read</h2><ul><li>More</li></ul></article>"))) for _ in range(3)]
+    assert pages.main_text(head[0], head[1:]).startswith("Same title\nSame start.\n") and "Also" not in pages.main_text(head[0], head[1:])
+
+
 def test_tree_matching_counts_pairs():
     t = lambda s: pages.settle(pages.parse(s))
     assert pages.matching(t("<div><p>a</p><p>b</p><ul></ul></div>"), t("<div><p>a</p><ul></ul></div>")) == 4
