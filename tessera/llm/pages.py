@@ -366,6 +366,67 @@ def main_text(page: Node, others: list[Node]) -> str:
     return "\n".join(b for t in tops if whole or id(t) not in gone for b in blocks(t, gone))
 
 
+def content(root: Node) -> int:
+    """Key of the page's body, the root's without one: pages equal in it are copies."""
+    todo = [root]
+    while todo:
+        x = todo.pop()
+        if x.tag == "body":
+            return x.key
+        todo += reversed(nodes(x))
+    return root.key
+
+
+def layout(root: Node) -> set[int]:
+    """Hashes of the paths of tags that the page's blocks lie under."""
+    out, todo = set(), [(root, 0)]
+    while todo:
+        x, above = todo.pop()
+        here = hash((above, x.tag))
+        out.add(here)
+        todo += [(k, here) for k in nodes(x) if k.tag in BLOCK]
+    return out
+
+
+def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
+    """main_text of each of a group's pages, whose peers are the first `peers` pages of its layout that are no copies of it.
+
+    Pages are of one layout if at least half of their paths are those of the layout's first page. A page that differs
+    from no other of its layout takes the first of all pages. Trees of `keep` characters of html are kept, others are
+    built again.
+    """
+    seen: dict[str, tuple[int, int]] = {}
+    kept: dict[str, Node] = {}
+    firsts: list[set[int]] = []
+    models: list[dict[int, str]] = []
+    every: dict[int, str] = {}
+    for h in dict.fromkeys(pages):
+        tree = settle(parse(h))
+        if keep >= len(h):
+            kept[h] = tree
+            keep -= len(h)
+        key, own = content(tree), layout(tree)
+        near = [len(own & f) / len(own | f) for f in firsts]
+        at = max(range(len(near)), key=near.__getitem__, default=-1)
+        if at < 0 or near[at] < 0.5:
+            at = len(firsts)
+            firsts.append(own)
+            models.append({})
+        seen[h] = key, at
+        for m in (models[at], every):
+            if len(m) <= peers:
+                m.setdefault(key, h)
+    tree = lambda h: kept[h] if h in kept else settle(parse(h))
+    every_tree = {k: tree(h) for k, h in every.items()}
+    out: dict[str, str] = {}
+    for at, m in enumerate(models):
+        trees = {k: tree(h) for k, h in m.items()} if len(m) > 1 else every_tree
+        for h, (key, own) in seen.items():
+            if own == at:
+                out[h] = main_text(tree(h), [t for k, t in trees.items() if k != key][:peers])
+    return [out[h] for h in pages]
+
+
 def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000) -> DataFrame:
     """pages(page_id, url, html) to page_id, url, text.
 
@@ -375,8 +436,8 @@ def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256
     the whole page, all template nodes go.
 
     Pages move once, to groups of a host: one group up to `group` pages, else as many as the host needs, by a hash of
-    page_id and url. A group's peers are its pages with the lowest hashes, so no task depends on a host's size. How
-    many groups a large host needs is a small table, broadcast if it has at most `most_hosts` rows, else joined.
+    page_id and url. Peers come from the page's group, lowest hashes first (see texts()), so no task depends on a host's
+    size. How many groups a large host needs is a small table, broadcast if it has at most `most_hosts` rows, else joined.
 
     Null html counts as empty and gives "". Null urls form one host. Repeated rows are extracted alike. An empty table
     gives an empty result. Other columns are not read.
@@ -388,9 +449,7 @@ def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256
     p = p.join(large, F.col("host") == F.col("_host"), "left").withColumn("salt", F.pmod(F.col("k"), F.coalesce("groups", F.lit(1))))
 
     def work(own: pd.DataFrame) -> pd.DataFrame:
-        low = own.sort_values(["k", "html"])[["k", "html"]].drop_duplicates("k").head(peers + 1)
-        trees = [(k, settle(parse(h))) for k, h in zip(low["k"], low["html"])]
-        text = [main_text(settle(parse(h)), [t for j, t in trees if j != k][:peers]) for k, h in zip(own["k"], own["html"])]
-        return pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": text})
+        own = own.sort_values(["k", "html"])
+        return pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": texts(list(own["html"]), peers)})
 
     return p.select("page_id", "url", "html", "host", "salt", "k").groupBy("host", "salt").applyInPandas(work, "page_id long, url string, text string")

@@ -247,6 +247,25 @@ def test_pages_align_inside_article_and_main():
     assert pages.main_text(head[0], head[1:]).startswith("Same title\nSame start.\n") and "Also" not in pages.main_text(head[0], head[1:])
 
 
+def test_page_copies_and_layouts(spark, scratch):
+    """Copies under other ids and urls are no peers of each other; each layout of a host is aligned with its own pages."""
+    r = random.Random(4)
+    words = lambda n: " ".join(f"v{r.randrange(999)}" for _ in range(n))
+    flat = lambda t: page(f"<h1>Front</h1><p>{t}</p><p>Imprint</p>")
+    table = lambda t: page(f"<table><tr><th>News</th></tr><tr><td>{t}</td></tr></table><dl><dt>Contact</dt><dd>Phone</dd></dl>")
+    copy, one, two = words(20), words(20), [(i, make, words(20)) for i in range(12) for make in (flat, table)]
+    rows = [(i, f"http://two/{i}", flat(copy).replace("<title>T", f"<title>{i}")) for i in range(2)]
+    rows += [(10 + i, f"http://third/{i}", flat(copy if i % 3 else words(20))) for i in range(30)]
+    rows += [(100 + i, f"http://layouts/{make is flat}/{i}", make(t)) for i, make, t in two]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.url: x.text for x in pages.extract(d, scratch).collect()}
+    assert all(got[f"http://two/{i}"] == f"Front\n{copy}\nImprint" for i in range(2))
+    assert all(got[f"http://third/{i}"] == copy for i in range(30) if i % 3)
+    assert all(got[f"http://layouts/{make is flat}/{i}"] == t for i, make, t in two)
+    h = [x for *_, x in rows]
+    assert pages.texts(h, 3) == pages.texts(h, 3, keep=0)
+
+
 def test_tree_matching_counts_pairs():
     t = lambda s: pages.settle(pages.parse(s))
     assert pages.matching(t("<div><p>a</p><p>b</p><ul></ul></div>"), t("<div><p>a</p><ul></ul></div>")) == 4
