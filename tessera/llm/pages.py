@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,10 +38,10 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|bod
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "label", "key", "size")
+    __slots__ = ("tag", "kids", "parent", "label", "key", "size", "shape", "count")
 
     def __init__(self, tag: str, parent: Node | None, label: str = ""):
-        self.tag, self.parent, self.label, self.kids, self.key, self.size = tag, parent, label, [], None, 0
+        self.tag, self.parent, self.label, self.kids, self.key, self.size, self.shape, self.count = tag, parent, label, [], None, 0, None, 1
 
 
 def parse(html: str | None) -> Node:
@@ -109,7 +110,7 @@ def nodes(x: Node) -> list[Node]:
 
 
 def settle(root: Node) -> Node:
-    """Set each node's key (what must be equal to count as constant: its tag, text and kids) and size (letters)."""
+    """Set each node's key (what must be equal to count as constant: its tag, text and kids), size (letters), shape (tags) and count (nodes)."""
     todo, order = [root], []
     while todo:
         x = todo.pop()
@@ -119,71 +120,133 @@ def settle(root: Node) -> Node:
         parts = [k if isinstance(k, str) else k.key for k in x.kids]
         x.key = hash((x.tag, tuple(_SPACES.sub(" ", p).strip() if isinstance(p, str) else p for p in parts)))
         x.size = sum(len(k) if isinstance(k, str) else k.size for k in x.kids)
+        below = nodes(x)
+        x.shape = hash((x.tag, tuple(k.shape for k in below)))
+        x.count = 1 + sum(k.count for k in below)
     return root
 
 
-DEPTH, TABLE = 150, 40_000
+#: Rows of an alignment table that are kept in between; the others are worked out again from these on the way back.
+STEP = 64
 
 
-def matching(a: Node, b: Node, pairs: list | None = None, depth: int = 0) -> int:
+def matching(a: Node, b: Node, pairs: list | None = None) -> int:
     """Simple tree matching: the most nodes of a and b that pair up in order, level by level; adds the pairs.
 
-    Kids that are equal at both ends pair first, so that only what differs between them goes through the table. A table
-    of over TABLE cells, or a level below DEPTH, pairs kids of equal content in order instead.
+    How many pair up depends on shapes alone (tags and kids), so each pair of shapes is worked out once. Of the best
+    ways to pair kids, one with most kids of equal content is taken. Kids that are equal at both ends pair first, so
+    that only what differs between them goes through the table. Nothing recurses, and a table keeps one row in STEP.
     """
     if a.tag != b.tag:
         return 0
-    got: list = [(a, b)]
-    total, ka, kb = 1, nodes(a), nodes(b)
-    if a.key == b.key:
-        _pair(a, b, got)
-        total = len(got)
-    else:
-        i = 0
-        while i < min(len(ka), len(kb)) and ka[i].key == kb[i].key:
-            total += matching(ka[i], kb[i], got, depth + 1)
-            i += 1
-        j = 0
-        while j < min(len(ka), len(kb)) - i and ka[-1 - j].key == kb[-1 - j].key:
-            total += matching(ka[-1 - j], kb[-1 - j], got, depth + 1)
-            j += 1
-        ka, kb = ka[i:len(ka) - j], kb[i:len(kb) - j]
-        if ka and kb and (depth >= DEPTH or len(ka) * len(kb) > TABLE):
-            where: dict[int, list[int]] = {}
-            for c in range(len(kb) - 1, -1, -1):
-                where.setdefault(kb[c].key, []).append(c)
-            last = -1
-            for x in ka:
-                spots = where.get(x.key, [])
-                while spots and spots[-1] <= last:
-                    spots.pop()
-                if spots:
-                    last = spots.pop()
-                    _pair(x, kb[last], got)
-                    got.append((x, kb[last]))
-            total = len(got)
-        elif ka and kb:
-            w = [[(None, 0)] * len(kb) for _ in ka]
-            best = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-            for r, x in enumerate(ka):
-                for c, y in enumerate(kb):
-                    if x.tag == y.tag:
-                        inner: list = []
-                        w[r][c] = (inner, matching(x, y, inner, depth + 1))
-                    best[r + 1][c + 1] = max(best[r][c + 1], best[r + 1][c], best[r][c] + w[r][c][1])
-            total += best[-1][-1]
-            r, c = len(ka), len(kb)
-            while r and c:
-                if best[r][c] == best[r - 1][c]:
-                    r -= 1
-                elif best[r][c] == best[r][c - 1]:
-                    c -= 1
-                else:
-                    got += w[r - 1][c - 1][0]
-                    r, c = r - 1, c - 1
+    known: dict[tuple[int, int], int] = {}
+    got, todo = [], [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        got.append((x, y))
+        if x.key == y.key:
+            _pair(x, y, got)
+            continue
+        kx, ky, i, j = _ends(nodes(x), nodes(y), "key")
+        todo += zip(kx[:i], ky[:i])
+        todo += zip(kx[len(kx) - j:], ky[len(ky) - j:])
+        todo += _align(kx[i:len(kx) - j], ky[i:len(ky) - j], known)
     if pairs is not None:
         pairs += got
-    return total
+    return len(got)
+
+
+def _ends(ka: list[Node], kb: list[Node], by: str) -> tuple[list[Node], list[Node], int, int]:
+    """The kids and how many are equal at the start and at the end."""
+    n, i, j = min(len(ka), len(kb)), 0, 0
+    while i < n and getattr(ka[i], by) == getattr(kb[i], by):
+        i += 1
+    while j < n - i and getattr(ka[-1 - j], by) == getattr(kb[-1 - j], by):
+        j += 1
+    return ka, kb, i, j
+
+
+def _count(a: Node, b: Node, known: dict[tuple[int, int], int]) -> None:
+    """Fill known: most pairs of nodes, by shapes, for a and b and all below them that may meet."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        if (x.shape, y.shape) in known:
+            todo.pop()
+            continue
+        if x.tag != y.tag or x.shape == y.shape:
+            known[x.shape, y.shape] = x.count if x.tag == y.tag else 0
+            continue
+        ka, kb, i, j = _ends(nodes(x), nodes(y), "shape")
+        ka, kb, same = ka[i:len(ka) - j], kb[i:len(kb) - j], sum(k.count for k in ka[:i]) + sum(k.count for k in ka[len(ka) - j:])
+        left, right = {k.shape: k for k in ka}, {k.shape: k for k in kb}
+        open_ = [(p, q) for s, p in left.items() for t, q in right.items() if (s, t) not in known]
+        if open_:
+            todo += open_
+            continue
+        known[x.shape, y.shape] = 1 + same + (int(_rows(ka, kb, known)[1][-1][-1]) >> 31 if ka and kb else 0)
+
+
+def _rows(ka: list[Node], kb: list[Node], known: dict[tuple[int, int], int]):
+    """(row from the one before, kept rows) of the alignment table: pairs * 2^31 and, to decide ties, pairs of equal keys."""
+    def short(row: list[int], x: Node) -> list[int]:
+        new, best = [0], 0
+        for c, y in enumerate(kb):
+            g = known[x.shape, y.shape]
+            here = row[c] + (g << 31) + (x.key == y.key) if g else 0
+            best = max(best, here, row[c + 1])
+            new.append(best)
+        return new
+
+    shapes = {s: c for c, s in enumerate(dict.fromkeys(k.shape for k in kb))} if len(kb) > 32 else {}
+    at, keys = (np.array([shapes[k.shape] for k in kb]), np.array([k.key for k in kb], np.int64)) if shapes else (None, None)
+    gains: dict[int, np.ndarray] = {}
+
+    def long(row: np.ndarray, x: Node) -> np.ndarray:
+        if x.shape not in gains:
+            gains[x.shape] = np.array([known[x.shape, s] for s in shapes], np.int64) << 31
+        g = gains[x.shape][at]
+        new = row.copy()
+        np.maximum(new[1:], row[:-1] + g + ((keys == x.key) & (g > 0)), out=new[1:])
+        return np.maximum.accumulate(new)
+
+    after, row = (short, [0] * (len(kb) + 1)) if len(kb) <= 32 else (long, np.zeros(len(kb) + 1, np.int64))
+    kept = []
+    for r, x in enumerate(ka):
+        if r % STEP == 0:
+            kept.append(row)
+        row = after(row, x)
+    return after, [*kept, row]
+
+
+def _align(ka: list[Node], kb: list[Node], known: dict[tuple[int, int], int]) -> list[tuple[Node, Node]]:
+    """Pairs of a best alignment of two lists of kids."""
+    out: list[tuple[Node, Node]] = []
+    if not ka or not kb:
+        return out
+    if len(ka) == len(kb) == 1:
+        return [(ka[0], kb[0])] if ka[0].tag == kb[0].tag else out
+    left, right = {k.shape: k for k in ka}, {k.shape: k for k in kb}
+    for x in left.values():
+        for y in right.values():
+            _count(x, y, known)
+    after, kept = _rows(ka, kb, known)
+    c = len(kb)
+    for start in reversed(range(0, len(ka), STEP)):
+        part = ka[start:start + STEP]
+        rows = [kept[start // STEP]]
+        for x in part:
+            rows.append(after(rows[-1], x))
+        r = len(part)
+        while r and c:
+            if rows[r][c] == rows[r - 1][c]:
+                r -= 1
+            elif rows[r][c] == rows[r][c - 1]:
+                c -= 1
+            else:
+                out.append((part[r - 1], kb[c - 1]))
+                r, c = r - 1, c - 1
+    return out
 
 
 def _pair(a: Node, b: Node, got: list) -> None:

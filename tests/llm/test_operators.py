@@ -272,6 +272,37 @@ def test_tree_matching_counts_pairs():
     assert pages.matching(t("<div></div>"), t("<p></p>")) == 1  # only the roots
 
 
+def test_tree_matching_is_the_same_at_any_size(monkeypatch):
+    t = lambda s: pages.settle(pages.parse(s))
+    r = random.Random(7)
+
+    def most(a, b):
+        if a.tag != b.tag:
+            return 0
+        ka, kb = pages.nodes(a), pages.nodes(b)
+        m = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
+        for i, x in enumerate(ka):
+            for j, y in enumerate(kb):
+                m[i + 1][j + 1] = max(m[i][j + 1], m[i + 1][j], m[i][j] + most(x, y))
+        return 1 + m[-1][-1]
+
+    def some(depth):
+        tag = r.choice(["div", "ul", "b"])
+        return f"<{tag}>" + "".join(some(depth - 1) if depth and r.random() < 0.7 else r.choice("ab") for _ in range(r.randrange(5))) + f"</{tag}>"
+
+    for step in (1, 2, 64):
+        monkeypatch.setattr(pages, "STEP", step)
+        for _ in range(100):
+            a, b, pairs = t(some(3)), t(some(3)), []
+            assert pages.matching(a, b, pairs) == most(a, b) == len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs})
+    flat = lambda s, n: t("<body>" + "".join(f"<div><p>{s}{i}</p><i>ad</i></div>" for i in range(n)) + "</body>")
+    a, b, pairs = flat("x", 300), flat("y", 300), []
+    assert pages.matching(a, b, pairs) == 902 and sum(x.tag == "i" and x.key == y.key for x, y in pairs) == 300
+    deep = lambda s: t("<div>" * 400 + f"<p>{s}</p><ul>same</ul><p>{s}</p>")
+    a, b, pairs = deep("x"), deep("y"), []
+    assert pages.matching(a, b, pairs) == 404 and any(x.tag == "p" for x, _ in pairs)
+
+
 # ---------------------------------------------------------------- 5
 
 
