@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,27 +37,46 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), sh
     return s.withColumn("target", F.least("_cap", F.coalesce(F.col("_w") * t, F.col("_cap")))).drop("_w", "_cap", "_rho", "_t")
 
 
-def tilt(histogram: Column, target: Column, steps: int = 60) -> Column:
-    """lambda solving sum(tokens * exp(lambda * x)) = target over array<struct<x, tokens>>: Newton on the convex dual.
+def tilt(histogram: Column, target: Column, most: float, steps: int = 80) -> Column:
+    """lambda solving sum(tokens * min(most, exp(lambda * x))) = target over array<struct<x, tokens>>, x positive.
 
-    A Newton step is cut to 2 so that it can't overshoot exp; without tokens or target it is null (rate 0).
+    Newton on the dual, whose gradient grows with lambda; the bound is part of it, so that what bounded rates lack goes to
+    the others. A step is cut to 2; one that leaves the bracket of the root, and each fourth, halves the bracket instead.
+    Without tokens or target it is null (rate 0).
     """
     def moments(lam: Column) -> Column:
         zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
-        return F.aggregate(histogram, zero, lambda a, c: F.struct((a["g"] + c["tokens"] * F.exp(lam * c["x"])).alias("g"), (a["h"] + c["tokens"] * c["x"] * F.exp(lam * c["x"])).alias("h")))
 
-    def step(lam: Column, _: Column) -> Column:
-        m = moments(lam)
-        return lam - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), F.try_divide(m["g"] - target, m["h"])))
+        def add(a: Column, c: Column) -> Column:
+            rate = F.exp(lam * c["x"])
+            return F.struct((a["g"] + c["tokens"] * F.least(F.lit(float(most)), rate)).alias("g"), (a["h"] + F.when(rate <= most, c["tokens"] * c["x"] * rate).otherwise(0.0)).alias("h"))
+
+        return F.aggregate(histogram, zero, add)
+
+    def state(lam: Column, lo: Column, hi: Column) -> Column:
+        return F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"))
+
+    def step(s: Column, i: Column) -> Column:
+        def move(m: Column) -> Column:
+            over, lam = m["g"] > target, s["lam"]
+            lo, hi = F.when(over, s["lo"]).otherwise(lam), F.when(over, lam).otherwise(s["hi"])
+            newton = F.when(m["h"] > 0, lam - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (m["g"] - target) / m["h"])))
+            inside = (newton < hi) & (lo.isNull() | (newton > lo)) & (i % 4 != 0)
+            there = (F.abs(m["g"] - target) <= 1e-14 * target) | newton.eqNullSafe(lam)
+            return F.when(there, s).otherwise(state(F.when(inside, newton).otherwise(F.coalesce((lo + hi) / 2, lam - 2)), lo, hi))
+
+        return F.transform(F.array(moments(s["lam"])), move)[0]
 
-    return F.when(target > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.lit(0.0), step))
+    high = F.array_max(F.transform(histogram, lambda c: F.lit(math.log(most)) / c["x"]))  # all rates reach the bound there
+    start = state(F.least(F.lit(0.0), high), F.lit(None).cast("double"), high)
+    return F.when(target > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lam"])
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, tilt_by: Column | None = None, group: int = 256) -> DataFrame:
     """How often each document is taken: docs(doc_id, source, text) to doc_id, size, source_size, target, taken, copies, rate.
 
     Relative entropy to one copy a document, weighted by words, is least among the rates that meet each source's
-    target when rate = exp(lambda_source * x); x is tilt_by (positive; 1 unless given, rounded to 3 digits). Words are
+    target when rate = min(most, exp(lambda_source * x)); x is tilt_by (positive; 1 unless given, rounded to 3 digits). Words are
     summed per source and x before any shuffle, and Newton runs on those sums, per source. Rates, at most `most`,
     become whole copies in groups of about `group` documents of a source (a hash of doc_id): from the longest down,
     each gets the floor or ceiling of its rate, whichever brings the words taken nearest to the sum of rates so far, so
@@ -68,7 +89,7 @@ def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.
     rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), x.alias("x")))
     by_x = rows.groupBy("source", "x").agg(F.sum("size").cast("double").alias("tokens"), F.count("*").alias("n"))
     sources = by_x.groupBy("source").agg(F.sum("tokens").cast("long").alias("source_size"), F.sum("n").alias("n_docs"), F.collect_list(F.struct("x", "tokens")).alias("hist"))
-    sources = scratch.save(targets(sources, weights, share, most).withColumn("lam", tilt(F.col("hist"), F.col("target"))).drop("hist"))
+    sources = scratch.save(targets(sources, weights, share, most).withColumn("lam", tilt(F.col("hist"), F.col("target"), most)).drop("hist"))
     sources = sources.withColumnRenamed("source", "_s")
     d = rows.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
     d = d.withColumn("rate", F.least(F.lit(most), F.coalesce(F.exp(F.col("lam") * F.col("x")), F.lit(0.0))))

@@ -115,6 +115,15 @@ def test_mixing_tilts_by_a_feature_and_takes_empty_tables(spark, scratch):
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string"), scratch).collect()] == [0]
 
 
+def test_mixing_meets_the_target_where_tilted_rates_reach_the_bound(spark, scratch):
+    d = spark.createDataFrame([(i, "w " * (1 + i % 9), "s") for i in range(600)], "doc_id long, text string, source string")
+    x = F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(2.0)
+    for share, x in ((1.8, x), (2.0, x), (1.7, 0.05 + F.col("doc_id") % 7), (0.05, 0.05 + F.col("doc_id") % 7)):
+        got = mixing.mix(d, scratch, weights=(1.0,), share=share, tilt_by=x).collect()
+        assert abs(sum(r.rate * r.size for r in got) - got[0].target) < 1e-6 * got[0].target and max(r.rate for r in got) <= 2
+        assert abs(sum(r.taken for r in got) - got[0].target) <= 30
+
+
 # ---------------------------------------------------------------- 2
 
 
