@@ -12,8 +12,9 @@ KINDS = ("assign", "access", "hex", "novel")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-#: A sensitive word, at most 24 other characters of a line, then the string that is measured.
-_NEAR = re.compile(r"(?:passw|passphrase|pwd|secret|token|credential|auth|bearer|api.?key|access.?key|private.?key|signing|webhook|client.?id)[^\n]{0,24}?(?<![A-Za-z0-9+/_.=-])([A-Za-z0-9+/_.=-]{16,})", re.I | re.A)
+#: A sensitive word; the rest of its line and the next line are its context. In it each _TOKEN is measured.
+_WORD = re.compile(r"passw|passphrase|pwd|secret|token|credential|auth|bearer|api.?key|access.?key|private.?key|signing|webhook|client.?id", re.I | re.A)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _HEAD = re.compile(r"passw|passphrase|pwd|secret|token|credential|auth|bearer|key|signing|webhook|client", re.I | re.A)
 
 #: Identifiers and values of ordinary code; a string made of these is no secret.
@@ -34,12 +35,25 @@ def novelty(candidate: str, before: str, after: str, identifiers: str = IDENTIFI
     return 8.0 * (len(make.compress(lead + candidate.encode())) - len(make.compress(lead))) / len(candidate)
 
 
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Spans of all tokens that follow a sensitive word on its line or stand on the next line, each once."""
+    out, done = [], 0
+    for m in _WORD.finditer(text):
+        end = len(text)
+        if (line := text.find("\n", m.end())) >= 0 and (line := text.find("\n", line + 1)) >= 0:
+            end = line
+        if end > done:
+            out += [t.span() for t in _TOKEN.finditer(text, max(done, m.end()), end)]
+            done = end
+    return out
+
+
 def scan(text: str | None, identifiers: str = IDENTIFIERS, least_bits: float = 4.6, around: int = 256) -> list[tuple[int, int, str]]:
     """Spans (start, end, kind) in code points, by start, then kind as in KINDS.
 
-    assign, access and hex are rules. A string of 16 or more token characters within 24 characters after a sensitive
-    word that has letters and digits and costs at least `least_bits` a character beyond its surroundings is novel, if
-    no rule span overlaps it. Null or empty: none.
+    assign, access and hex are rules. A string of 16 or more token characters after a sensitive word on its
+    line, or on the next line, that has letters and digits and costs at least `least_bits` a character beyond its
+    surroundings is novel, if no rule span overlaps it. Letters alone aren't measured: a long word costs as much. Null or empty: none.
     """
     if not text:
         return []
@@ -48,10 +62,9 @@ def scan(text: str | None, identifiers: str = IDENTIFIERS, least_bits: float = 4
     out += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if _HEAD.search(text):
         base = list(out)
-        for m in _NEAR.finditer(text):
-            s, e = m.span(1)
-            word = m[1]
-            if any(a < e and s < b for a, b, _ in base) or word.isalpha() or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
+        for s, e in tokens(text):
+            word = text[s:e]
+            if any(a < e and s < b for a, b, _ in base) or not re.search("[0-9]", word) or not re.search("[A-Za-z]", word):
                 continue
             if novelty(word, text[max(0, s - around):s], text[e:e + around], identifiers) >= least_bits:
                 out.append((s, e, "novel"))

@@ -453,6 +453,16 @@ def test_novelty():
     assert secrets.novelty("kJ8sQ2vXz7Lm4Rt9Wq1Yb6Nc", "seen kJ8sQ2vXz7Lm4Rt9Wq1Yb6Nc before", "") < 2
 
 
+def test_novelty_is_measured_all_over_the_line_and_on_the_next():
+    key, other = "kJ8sQ2vXz7Lm4Rt9Wq1Yb6Nc", "Zp3Hd7uWf5Tg0Ks2Xa9Ve4Jo"
+    found = lambda t: [t[s:e] for s, e, k in secrets.scan(t) if k == "novel"]
+    assert found(f"auth:\n  {key}") == [key] and found(f"auth:\n\n{key}") == []
+    assert found(f"The token that was sent to all the people of the house is {key}") == [key]
+    assert found(f"bearer {key} or {other}") == [key, other]
+    assert found(f"token = 0123456789abcdef0123 {key} token") == [key]
+    assert found("auth responsibilities") == []
+
+
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_queries_give_each_row_once(spark, name):
     import os
