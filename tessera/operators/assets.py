@@ -22,7 +22,7 @@ def content_id(content: Column) -> Column:
 
 def meaningful(width: Column, height: Column) -> Column:
     """Large enough and not a rule or a bar; unknown sizes aren't."""
-    return F.coalesce((width >= 120) & (height >= 80) & (width / height >= 0.1) & (width / height <= 10), F.lit(False))
+    return F.coalesce((width >= 120) & (height >= 80) & F.try_divide(width, height).between(0.1, 10), F.lit(False))
 
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))

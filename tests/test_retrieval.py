@@ -153,3 +153,8 @@ def test_settings_and_stats(spark):
         pass
     empty = spark.createDataFrame([], "file_path string, file_size long, modified long")
     assert stats.knowledge_hash(empty).first().knowledge_hash == "empty"
+
+
+def test_an_image_without_height_is_not_meaningful(spark):
+    d = spark.createDataFrame([(200, 0), (200, 100), (None, 100), (2000, 100)], "w int, h int")
+    assert [r.ok for r in d.select(assets.meaningful(F.col("w"), F.col("h")).alias("ok")).collect()] == [False, True, False, False]
