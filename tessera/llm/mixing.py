@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Features are rounded to 1 / BINS, rates to 1 / GRAIN: the same whatever order sums were added in.
+BINS, GRAIN = 32, 1 << 20
+#: Rows equal in all that counts are told apart in stretches of this many.
+RUN = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -17,94 +21,119 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
-def targets(sources: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+def ordinal(sources: DataFrame, scratch: Scratch) -> DataFrame:
+    """sources with _at: their place by code point of source, null last. Sorted by Spark; what is added up in one task is
+    a count for each partition of that sort."""
+    placed = scratch.save(sources.orderBy(F.col("source").asc_nulls_last()).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part.alias("_p")).count().select("_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_from"))
+    return placed.withColumn("_p", part).join(starts, "_p").withColumn("_at", F.col("_from") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_p", "_id", "_from")
+
+
+def targets(sources: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """(source, source_size) with column target added.
 
     Weights go round the sources by code point, null last. Together they get `share` of all sizes; a target stops at
-    `most` times its source's size, and what is over goes to the others by weight until none is above: the water
-    level t with sum of min(weight * t, cap) = total, found from running sums over sources by cap / weight. One row a
-    source, so its single ordered window is small.
+    `most` times its source's size, and what is over goes to the others by weight until none is above. Each round of
+    that is one sum over the sources; the driver holds four numbers.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last())
-    s = sources.withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int")))
-    s = s.withColumn("_cap", F.col("source_size") * F.lit(most)).withColumn("_rho", F.col("_cap") / F.col("_w"))
-    rank = Window.orderBy("_rho", F.col("source").asc_nulls_last())
-    before, whole = rank.rowsBetween(Window.unboundedPreceding, -1), rank.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    total = F.sum("source_size").over(whole) * F.lit(share)
-    level = (total - F.coalesce(F.sum("_cap").over(before), F.lit(0.0))) / (F.sum("_w").over(whole) - F.coalesce(F.sum("_w").over(before), F.lit(0.0)))
-    s = s.withColumn("_t", F.when(F.col("_rho") >= level * (1 - 1e-12), F.struct(F.row_number().over(rank).alias("n"), level.alias("t"))))
-    t = F.min("_t").over(whole)["t"]  # the first source that isn't full; where all are full, no level holds
-    return s.withColumn("target", F.least("_cap", F.coalesce(F.col("_w") * t, F.col("_cap")))).drop("_w", "_cap", "_rho", "_t")
-
-
-def tilt(histogram: Column, target: Column, most: float, steps: int = 80) -> Column:
-    """lambda solving sum(tokens * min(most, exp(lambda * x))) = target over array<struct<x, tokens>>, x positive.
-
-    Newton on the dual, whose gradient grows with lambda; the bound is part of it, so that what bounded rates lack goes to
-    the others. A step is cut to 2; one that leaves the bracket of the root, and each fourth, halves the bracket instead.
-    Without tokens or target it is null (rate 0).
+    s = ordinal(sources, scratch).withColumn("_w", F.element_at(F.array(*map(F.lit, weights)), (F.col("_at") % len(weights) + 1).cast("int")))
+    s = scratch.save(s.withColumn("_cap", F.col("source_size") * F.lit(most)).drop("_at"))
+    size, weight = s.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+    total, level, known = size * share, size * share / weight if weight else 0.0, -1
+    while True:
+        full = F.col("_cap") / F.col("_w") < F.lit(level * (1 - 1e-12))
+        n, cap, gone = s.where(full).agg(F.count("*"), F.coalesce(F.sum("_cap"), F.lit(0.0)), F.coalesce(F.sum("_w"), F.lit(0.0))).first()
+        if n == known or gone == weight:
+            break
+        known, level = n, (total - cap) / (weight - gone)
+    target = F.col("_cap") if gone == weight else F.least("_cap", F.col("_w") * F.lit(level))
+    return s.withColumn("target", target).drop("_w", "_cap")
+
+
+def balance(sources: DataFrame, bins: DataFrame, scratch: Scratch, most: float, steps: int = 100) -> DataFrame:
+    """sources(source, source_size, target) with lam: sum(tokens * min(most, exp(lam * x))) = target over its bins
+    (source, x, tokens); null where no rate but 0 or `most` will do.
+
+    Newton on the convex dual, all sources at once: a step is one Spark aggregation for each source's gradient and
+    curvature. Rates at the bound are part of the sum, so that what they lack goes to the others. A step is cut to 2;
+    one that leaves the bracket of the root, and each fourth, halves the bracket instead. The state is a table a step.
     """
-    def moments(lam: Column) -> Column:
-        zero = F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("h"))
-
-        def add(a: Column, c: Column) -> Column:
-            rate = F.exp(lam * c["x"])
-            return F.struct((a["g"] + c["tokens"] * F.least(F.lit(float(most)), rate)).alias("g"), (a["h"] + F.when(rate <= most, c["tokens"] * c["x"] * rate).otherwise(0.0)).alias("h"))
-
-        return F.aggregate(histogram, zero, add)
-
-    def state(lam: Column, lo: Column, hi: Column) -> Column:
-        return F.struct(lam.alias("lam"), lo.alias("lo"), hi.alias("hi"))
-
-    def step(s: Column, i: Column) -> Column:
-        def move(m: Column) -> Column:
-            over, lam = m["g"] > target, s["lam"]
-            lo, hi = F.when(over, s["lo"]).otherwise(lam), F.when(over, lam).otherwise(s["hi"])
-            newton = F.when(m["h"] > 0, lam - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (m["g"] - target) / m["h"])))
-            inside = (newton < hi) & (lo.isNull() | (newton > lo)) & (i % 4 != 0)
-            there = (F.abs(m["g"] - target) <= 1e-14 * target) | newton.eqNullSafe(lam)
-            return F.when(there, s).otherwise(state(F.when(inside, newton).otherwise(F.coalesce((lo + hi) / 2, lam - 2)), lo, hi))
-
-        return F.transform(F.array(moments(s["lam"])), move)[0]
-
-    high = F.array_max(F.transform(histogram, lambda c: F.lit(math.log(most)) / c["x"]))  # all rates reach the bound there
-    start = state(F.least(F.lit(0.0), high), F.lit(None).cast("double"), high)
-    return F.when(target > 0, F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)["lam"])
+    top = F.lit(math.log(most))
+    live = (F.col("target") > 0) & (F.col("target") < most * F.col("source_size") * (1 - 1e-12))
+    mean = bins.groupBy("source").agg((F.sum(F.col("tokens") * F.col("x")) / F.sum("tokens")).alias("_mean"), F.min("x").alias("_low"))
+    ends = mean.withColumnRenamed("source", "_s")
+    state = sources.where(live).join(ends, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    state = state.withColumn("hi", top / F.col("_low")).withColumn("lam", F.least("hi", F.log(F.col("target") / F.col("source_size")) / F.col("_mean")))
+    state = state.select("source", "target", "lam", F.lit(None).cast("double").alias("lo"), "hi", F.lit(False).alias("done"))
+    state = scratch.save(state)
+    b = bins.withColumnRenamed("source", "_s")
+    for i in range(1, steps + 1):
+        if state.where("not done").isEmpty():
+            break
+        rate = F.exp(F.col("lam") * F.col("x"))
+        moments = b.join(state.where("not done"), F.col("source").eqNullSafe(F.col("_s"))).groupBy("source", "target", "lam", "lo", "hi").agg(
+            F.sum(F.col("tokens") * F.least(F.lit(float(most)), rate)).alias("g"),
+            F.sum(F.when(rate <= most, F.col("tokens") * F.col("x") * rate).otherwise(0.0)).alias("h"),
+        )
+        over = F.col("g") > F.col("target")
+        m = moments.withColumn("lo", F.when(over, F.col("lo")).otherwise(F.col("lam"))).withColumn("hi", F.when(over, F.col("lam")).otherwise(F.col("hi")))
+        newton = F.when(F.col("h") > 0, F.col("lam") - F.greatest(F.lit(-2.0), F.least(F.lit(2.0), (F.col("g") - F.col("target")) / F.col("h"))))
+        inside = (newton < F.col("hi")) & (F.col("lo").isNull() | (newton > F.col("lo"))) & F.lit(i % 4 != 0)
+        there = (F.abs(F.col("g") - F.col("target")) <= 1e-13 * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-15)
+        to = F.when(there, F.col("lam")).when(inside, newton).otherwise(F.coalesce((F.col("lo") + F.col("hi")) / 2, F.col("lam") - 2))
+        new = m.select("source", "target", to.alias("lam"), "lo", "hi", F.coalesce(there, F.lit(False)).alias("done"))
+        old, state = state, scratch.save(new.unionByName(state.where("done")))
+        scratch.drop(old)
+    solved = state.select(F.col("source").alias("_s"), "lam")
+    return sources.join(solved, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0, tilt_by: Column | None = None, group: int = 256) -> DataFrame:
-    """How often each document is taken: docs(doc_id, source, text) to doc_id, size, source_size, target, taken, copies, rate.
+    """How often each document is taken: docs(doc_id, source, text) to doc_id, source, size, source_size, target, taken, copies, rate.
+
+    A document's rate is min(most, exp(lambda_source * x)), x being tilt_by (positive), or log2(1 + words) unless
+    given, rounded to 1/32. Of all rates up to `most` that meet each source's words, these have the least entropy relative
+    to one copy a document, a document counting size / x times. Words are summed per source and x before any shuffle
+    (the default has at most 2048 x), and Newton runs on those sums (see balance()).
 
-    Relative entropy to one copy a document, weighted by words, is least among the rates that meet each source's
-    target when rate = min(most, exp(lambda_source * x)); x is tilt_by (positive; 1 unless given, rounded to 3 digits). Words are
-    summed per source and x before any shuffle, and Newton runs on those sums, per source. Rates, at most `most`,
-    become whole copies in groups of about `group` documents of a source (a hash of doc_id): from the longest down,
-    each gets the floor or ceiling of its rate, whichever brings the words taken nearest to the sum of rates so far, so
-    a group is off by less than a short document.
+    Rates become whole copies in groups of about `group` documents of a source, by a hash of doc_id and text: from the
+    longest down, each gets the floor or ceiling of its rate, whichever brings the words taken nearest to the sum of
+    rates so far, so a group is off by less than a short document. Rows equal in doc_id, source and text are one entry
+    of a group with a number, however many there are.
 
-    Null text or no words: size 0, taken 0. A null source is a source. Repeated doc_ids are separate rows. An empty
-    table gives an empty result. Reruns agree: nothing is random.
+    Null text or no words: size 0, taken 0. A null source is a source. Null and repeated doc_ids are separate rows. An
+    empty table gives an empty result. Reruns agree: nothing is random.
     """
-    x = F.round(tilt_by, 3).cast("double") if tilt_by is not None else F.lit(1.0)
-    rows = scratch.save(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), x.alias("x")))
-    by_x = rows.groupBy("source", "x").agg(F.sum("size").cast("double").alias("tokens"), F.count("*").alias("n"))
-    sources = by_x.groupBy("source").agg(F.sum("tokens").cast("long").alias("source_size"), F.sum("n").alias("n_docs"), F.collect_list(F.struct("x", "tokens")).alias("hist"))
-    sources = scratch.save(targets(sources, weights, share, most).withColumn("lam", tilt(F.col("hist"), F.col("target"), most)).drop("hist"))
-    sources = sources.withColumnRenamed("source", "_s")
-    d = rows.join(sources, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    d = d.withColumn("rate", F.least(F.lit(most), F.coalesce(F.exp(F.col("lam") * F.col("x")), F.lit(0.0))))
-    d = d.withColumn("rate", F.when(F.abs(F.col("rate") - F.round("rate")) < 1e-9, F.round("rate")).otherwise(F.col("rate")))
-    spread = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long")
-    d = d.withColumn("_g", F.pmod(spread, F.ceil(F.col("n_docs") / F.lit(group))))
-    g = d.groupBy("source", "_g", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), "doc_id", "rate"))).alias("rows"))
-    zero = F.struct(F.lit(0.0).alias("due"), F.lit(0).cast("long").alias("got"), F.expr("cast(array() as array<int>)").alias("k"))
+    size = word_count(F.col("text"))
+    x = F.round((tilt_by if tilt_by is not None else F.log2(size + F.lit(1))) * BINS) / BINS
+    key = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", "source", size.alias("size"), x.cast("double").alias("x"), key.alias("key"))
+    rows = scratch.save(rows.groupBy("source", "key", "doc_id", "size", "x").agg(F.count("*").alias("c")))
+    bins = scratch.save(rows.groupBy("source", "x").agg(F.sum(F.col("size") * F.col("c")).alias("tokens"), F.count("*").alias("n")))
+    sources = scratch.save(bins.groupBy("source").agg(F.sum("tokens").alias("source_size"), F.sum("n").alias("n_docs")))
+    sources = targets(sources, scratch, weights, share, most)
+    sources = scratch.save(balance(sources, bins.where("tokens > 0"), scratch, most))
+    d = rows.join(sources.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+    rate = F.when(F.col("lam").isNotNull(), F.least(F.lit(float(most)), F.round(F.exp(F.col("lam") * F.col("x")) * GRAIN) / GRAIN)).when(F.col("target") > 0, F.lit(float(most))).otherwise(0.0)
+    spread = F.conv(F.substring("key", 1, 8), 16, 10).cast("long")
+    d = d.withColumn("rate", rate).withColumn("_g", F.pmod(spread, F.ceil(F.col("n_docs") / F.lit(group))))
+    g = d.groupBy("source", "_g", "source_size", "target").agg(F.sort_array(F.collect_list(F.struct((-F.col("size")).alias("neg"), "key", "doc_id", "rate", "c"))).alias("rows"))
+    zero = F.struct(F.lit(0.0).alias("due"), F.lit(0.0).alias("got"), F.expr("cast(array() as array<bigint>)").alias("k"))
 
     def take(a: Column, r: Column) -> Column:
-        size, due = -r["neg"], a["due"] - r["neg"] * r["rate"]
-        k = F.when(size == 0, F.lit(0)).otherwise(F.greatest(F.floor(r["rate"]), F.least(F.ceil(r["rate"]), F.round(F.try_divide(due - a["got"], size))))).cast("int")
-        return F.struct(due.alias("due"), (a["got"] + k * size).alias("got"), F.concat(a["k"], F.array(k)).alias("k"))
+        words, due = -r["neg"], a["due"] - r["neg"] * r["rate"] * r["c"]
+        near = F.floor(F.try_divide(due - a["got"], words) + 0.5)
+        k = F.when(words == 0, F.lit(0)).otherwise(F.greatest(F.floor(r["rate"]) * r["c"], F.least(F.ceil(r["rate"]) * r["c"], near))).cast("long")
+        return F.struct(due.alias("due"), (a["got"] + k * words).alias("got"), F.concat(a["k"], F.array(k)).alias("k"))
 
     g = g.withColumn("k", F.aggregate("rows", zero, take)["k"])
-    out = g.select("source_size", "target", F.explode(F.arrays_zip("rows", "k")).alias("r"))
-    size = -F.col("r.rows.neg")
-    return out.select(F.col("r.rows.doc_id").alias("doc_id"), size.alias("size"), "source_size", "target", (size * F.col("r.k")).alias("taken"), F.col("r.k").alias("copies"), F.col("r.rows.rate").alias("rate"))
+    out = g.select("source", "source_size", "target", F.explode(F.arrays_zip("rows", "k")).alias("r"))
+    out = scratch.save(out.select("r.rows.doc_id", "source", (-F.col("r.rows.neg")).alias("size"), "source_size", "target", "r.rows.rate", "r.rows.c", "r.k"))
+    many = out.where(F.col("c") > RUN).withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / RUN)))).repartition("doc_id", "_run")
+    many = many.withColumn("_j", F.explode(F.sequence(F.col("_run") * RUN, F.least(F.col("_run") * RUN + (RUN - 1), F.col("c") - 1)))).drop("_run")
+    few = out.where(F.col("c") <= RUN).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    copies = (F.floor(F.col("k") / F.col("c")) + F.when(F.col("_j") < F.col("k") % F.col("c"), 1).otherwise(0)).cast("int")
+    out = few.unionByName(many).withColumn("copies", copies)
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "rate")

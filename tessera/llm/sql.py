@@ -4,17 +4,22 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _COMPONENTS = "{0} AS (SELECT a AS x, b AS y FROM {1} UNION ALL SELECT b, a FROM {1}), reach(x, y) AS (SELECT x, y FROM {0} UNION SELECT r.x, e.y FROM reach r JOIN {0} e ON e.x = r.y), comp AS (SELECT x, least(x, min(y)) AS c FROM reach GROUP BY x)"
 
 OP1 = f"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS key FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n FROM d GROUP BY source),
 o AS (SELECT *, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1) % 3 + 1] AS w, 2.0::DOUBLE * source_size AS cap FROM s),
 r AS (SELECT *, row_number() OVER (ORDER BY cap / w, encode(source) NULLS LAST) AS k, sum(source_size) OVER () * 1.5::DOUBLE AS total FROM o),
 l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
 t AS (SELECT arg_min(level, k) AS level FROM l WHERE cap / w >= level * (1 - 1e-12)),
-q AS (SELECT source, source_size, n, least(cap, coalesce(o.w * t.level, cap)) AS target FROM o, t),
-x AS (SELECT doc_id, size, source_size, target, coalesce(d.source, chr(1)) AS s, CASE WHEN source_size = 0 THEN 0.0 WHEN abs(target / source_size - round(target / source_size)) < 1e-9 THEN round(target / source_size) ELSE target / source_size END AS rate, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % ceil(n / 256)::BIGINT AS g FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-y AS (SELECT *, row_number() OVER (PARTITION BY s, g ORDER BY size DESC, doc_id) AS k FROM x),
+q AS (SELECT source, source_size, n, cap, least(cap, coalesce(o.w * t.level, cap))::DOUBLE AS target FROM o, t),
+b AS (SELECT source, round(log2(1 + size) * 32) / 32 AS x, sum(size)::DOUBLE AS tokens FROM d WHERE size > 0 GROUP BY ALL),
+h AS (SELECT q.source, target, list({{'x': x, 'tokens': tokens}}) AS hist FROM q JOIN b ON q.source IS NOT DISTINCT FROM b.source WHERE target < cap * (1 - 1e-12) GROUP BY ALL),
+e AS (SELECT source, target, hist, -64.0::DOUBLE AS lo, 64.0::DOUBLE AS hi, 0 AS i FROM h
+UNION ALL SELECT source, target, hist, CASE WHEN g > target THEN lo ELSE (lo + hi) / 2 END, CASE WHEN g > target THEN (lo + hi) / 2 ELSE hi END, i + 1 FROM (SELECT *, list_sum(list_transform(hist, lambda c: c.tokens * least(2.0::DOUBLE, exp((lo + hi) / 2 * c.x)))) AS g FROM e WHERE i < 64)),
+x AS (SELECT doc_id, size, source_size, q.target, key, coalesce(d.source, chr(1)) AS s, CASE WHEN q.target = 0 THEN 0.0 WHEN e.lo IS NULL THEN 2.0 ELSE least(2.0, round(exp((lo + hi) / 2 * round(log2(1 + size) * 32) / 32) * 1048576) / 1048576) END::DOUBLE AS rate, ('0x' || substr(key, 1, 8))::BIGINT % ceil(n / 256)::BIGINT AS g
+FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source AND e.i = 64),
+y AS (SELECT *, row_number() OVER (PARTITION BY s, g ORDER BY size DESC, key) AS k FROM x),
 z AS (SELECT s, g, 0::BIGINT AS k, 0.0::DOUBLE AS due, 0::BIGINT AS got, NULL::BIGINT AS doc_id, 0::BIGINT AS taken FROM y WHERE k = 1
-UNION ALL SELECT y.s, y.g, y.k, z.due + y.size * y.rate, z.got + m.c * y.size, y.doc_id, m.c * y.size FROM z JOIN y ON y.s = z.s AND y.g = z.g AND y.k = z.k + 1, LATERAL (SELECT CASE WHEN y.size = 0 THEN 0 ELSE greatest(floor(y.rate), least(ceil(y.rate), round((z.due + y.size * y.rate - z.got) / y.size))) END::BIGINT AS c) m)
+UNION ALL SELECT y.s, y.g, y.k, z.due + y.size * y.rate, z.got + m.c * y.size, y.doc_id, m.c * y.size FROM z JOIN y ON y.s = z.s AND y.g = z.g AND y.k = z.k + 1, LATERAL (SELECT CASE WHEN y.size = 0 THEN 0 ELSE greatest(floor(y.rate), least(ceil(y.rate), floor((z.due + y.size * y.rate - z.got) / y.size + 0.5))) END::BIGINT AS c) m)
 SELECT x.doc_id, x.size, x.source_size, x.target, z.taken FROM x JOIN z ON z.doc_id = x.doc_id
 """
 

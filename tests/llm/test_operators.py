@@ -1,7 +1,9 @@
 """Each operator against brute force or held-out truth, and on nulls, empties, ties, repeats, clashing columns."""
 
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,24 +108,74 @@ def water(size):
         full |= over
 
 
+def plain_rates(sizes, target, x, most=2.0):
+    """The same dual by bisection, in Python: {document: rate}."""
+    low, high = -64.0, 64.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        if sum(n * min(most, math.exp(mid * x[i])) for i, n in sizes.items()) > target:
+            high = mid
+        else:
+            low = mid
+    return {i: min(most, math.exp(low * x[i])) for i in sizes}
+
+
 def test_mixing_tilts_by_a_feature_and_takes_empty_tables(spark, scratch):
     d = spark.createDataFrame([(i, "w " * (1 + i % 9), "s") for i in range(600)], "doc_id long, text string, source string")
     got = mixing.mix(d, scratch, weights=(1.0,), share=0.8, tilt_by=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(2.0)).collect()
     rates = {r.doc_id % 2: r.rate for r in got}
-    assert abs(rates[0] ** 2 - rates[1]) < 1e-6 and abs(sum(r.taken for r in got) - got[0].target) <= 10
+    assert abs(rates[0] ** 2 - rates[1]) < 1e-5 and abs(sum(r.taken for r in got) - got[0].target) <= 10
     assert mixing.mix(d.limit(0), scratch).count() == 0
     assert [r.taken for r in mixing.mix(spark.createDataFrame([(1, None, None)], "doc_id long, text string, source string"), scratch).collect()] == [0]
 
 
+def test_mixing_rates_are_those_of_a_plain_dual_solver(spark, scratch):
+    """By default rates follow a document's length, so they differ within a source; sources above and below their size."""
+    r = random.Random(12)
+    rows = [(i, " ".join(["w"] * int(math.exp(r.random() * 7))), f"s{i % 3}") for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d, scratch, weights=(9.0, 4.0, 2.0), share=1.2).collect()
+    sides = set()
+    for s in ("s0", "s1", "s2"):
+        own = [g for g in got if g.source == s]
+        sizes = {g.doc_id: g.size for g in own}
+        sides.add(own[0].target > sum(sizes.values()))
+        want = plain_rates(sizes, own[0].target, {i: round(math.log2(1 + n) * 32) / 32 for i, n in sizes.items()})
+        assert all(abs(g.rate - want[g.doc_id]) < 1e-5 for g in own) and (len({g.rate for g in own}) > 20 or own[0].target == 2 * own[0].source_size)
+        assert abs(sum(g.rate * g.size for g in own) - own[0].target) < 1e-5 * own[0].target and abs(sum(g.taken for g in own) - own[0].target) <= 40
+    assert sides == {True, False}
+
+
 def test_mixing_meets_the_target_where_tilted_rates_reach_the_bound(spark, scratch):
     d = spark.createDataFrame([(i, "w " * (1 + i % 9), "s") for i in range(600)], "doc_id long, text string, source string")
     x = F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(2.0)
-    for share, x in ((1.8, x), (2.0, x), (1.7, 0.05 + F.col("doc_id") % 7), (0.05, 0.05 + F.col("doc_id") % 7)):
+    for share, x in ((1.8, x), (2.0, x), (1.7, 0.0625 + F.col("doc_id") % 7), (0.05, 0.0625 + F.col("doc_id") % 7)):
         got = mixing.mix(d, scratch, weights=(1.0,), share=share, tilt_by=x).collect()
-        assert abs(sum(r.rate * r.size for r in got) - got[0].target) < 1e-6 * got[0].target and max(r.rate for r in got) <= 2
+        assert abs(sum(r.rate * r.size for r in got) - got[0].target) < 2e-5 * got[0].target and max(r.rate for r in got) <= 2
         assert abs(sum(r.taken for r in got) - got[0].target) <= 30
 
 
+def test_mixing_takes_many_equal_rows_and_long_texts(spark, scratch):
+    """Equal rows of one source without an id are one entry of a group, told apart in stretches."""
+    rows = [(None, "a b c", "s")] * 9001 + [(i, "d e", "s") for i in range(50)] + [(77, "w " * 30000, "s"), (78, "w " * 90000, "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(d, scratch, weights=(1.0,), share=1.3).collect()
+    assert Counter((r.doc_id, r.source, r.size) for r in got) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    for s in ("s", "t"):
+        own = [r for r in got if r.source == s]
+        assert all(r.taken <= 2 * r.size for r in own)
+    own = [r for r in got if r.source == "s"]
+    assert abs(sum(r.taken for r in own) - own[0].target) <= 10 and len({r.copies for r in own if r.doc_id is None}) == 2
+
+
+def test_many_sources_get_weights_by_code_point(spark, scratch):
+    names = ["é", "a", "Z", "\U0001F600", "\uffee", None, "", "b"] + [f"n{i}" for i in range(60)]
+    d = spark.createDataFrame([(i, "w " * (1 + i % 5), s) for i, s in enumerate(names)], "doc_id long, text string, source string")
+    got = {r.source: r.target for r in mixing.mix(d, scratch).collect()}
+    want = water({s: 1 + i % 5 for i, s in enumerate(names)})
+    assert all(abs(got[s] - want[s]) < 1e-9 for s in names)
+
+
 # ---------------------------------------------------------------- 2
 
 
