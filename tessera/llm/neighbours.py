@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
+#: Width of a cell on a line, in distances of a pair at the threshold, and how many vectors a cell should hold by chance.
+WIDTH, HELD = 8.0, 256
+
 
 def calibrate(cosine: float, lines: int, window: float, recall: float) -> tuple[float, int]:
     """(half width, least count): a pair at the threshold shares this many of `lines` windows with probability `recall`.
@@ -30,29 +36,70 @@ def calibrate(cosine: float, lines: int, window: float, recall: float) -> tuple[
     return window * distance, least
 
 
-def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision and which rows have one: null, zero, non-finite or odd-sized vectors don't."""
-    n, sizes = len(vectors), vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    dim = int(np.bincount(sizes).argmax()) if n else 0
-    ok = (sizes == dim) & bool(dim)
-    flat = vectors.filter(pa.array(ok)).flatten()
-    missing = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(1) if dim and len(flat) else np.zeros(int(ok.sum()), bool)
-    values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, max(dim, 1))
-    with np.errstate(all="ignore"):
-        top = np.abs(values).max(1, initial=0.0)
-        good = ~missing & np.isfinite(values).all(1) & (top > 0)
-        values = np.where(good[:, None], values, 0.0) / np.where(good, top, 1.0)[:, None]
-        values /= np.where(good, np.sqrt(np.einsum("ij,ij->i", values, values)), 1.0)[:, None]
-    out = np.zeros((n, dim))
-    at = np.flatnonzero(ok)
-    out[at], ok[at] = values, good
-    return out, ok
+def same_cell(distance: float, width: float) -> float:
+    """Probability that two points this far apart share a cell of a Gaussian line cut at random places."""
+    r = width / distance
+    return math.erf(r / math.sqrt(2)) - math.sqrt(2 / math.pi) / r * (1 - math.exp(-r * r / 2))
+
+
+@dataclass
+class Cells:
+    """Tables of cells: a cell of a table is a stretch on each of its `lines` lines."""
+
+    tables: int
+    lines: int
+    width: float
+
+    def codes(self, v: np.ndarray) -> np.ndarray:
+        """(vector, table) to cell, as a hash of table, dimension and stretches."""
+        r = np.random.RandomState(5)
+        out = np.empty((len(v), self.tables), np.int64)
+        odd = r.randint(1, 1 << 62, self.lines + 1, dtype=np.int64) * 2 + 1
+        for t in range(self.tables):
+            a, b = r.standard_normal((v.shape[1], self.lines)), r.uniform(0, self.width, self.lines)
+            with np.errstate(over="ignore"):
+                out[:, t] = np.floor((v @ a + b) / self.width).astype(np.int64) @ odd[:-1] + odd[-1] * (t * 65536 + v.shape[1])
+        return out
 
 
+def plan(n: int, cosine: float, recall: float, apart: float = math.sqrt(2)) -> Cells:
+    """Tables for n vectors: enough lines that vectors `apart` share a cell with no more than HELD by chance, and enough
+    tables that a pair at the threshold shares one of them with probability `recall`."""
+    distance = math.sqrt(2 - 2 * cosine)
+    width = WIDTH * distance
+    lines = max(0, math.ceil(math.log(max(n, 1) / HELD) / -math.log(same_cell(apart, width))))
+    share = same_cell(distance, width) ** lines
+    return Cells(1 if share == 1 else math.ceil(math.log(1 - recall) / math.log(1 - share)), lines, width)
+
+
+def unit(vectors: pa.Array) -> list[bytes | None]:
+    """Unit vectors in double precision as bytes; None for null, empty, zero and non-finite ones. Lengths may differ."""
+    sizes = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    out: list[bytes | None] = [None] * len(vectors)
+    for dim in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == dim)
+        flat = vectors.take(pa.array(at)).flatten()
+        missing = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, dim).any(1)
+        values = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        with np.errstate(all="ignore"):
+            top = np.abs(values).max(1)
+            good = np.flatnonzero(~missing & np.isfinite(values).all(1) & (top > 0))
+            values = values[good] / top[good][:, None]
+            values /= np.sqrt(np.einsum("ij,ij->i", values, values))[:, None]
+        for i, x in zip(at[good].tolist(), values):
+            out[i] = x.tobytes()
+    return out
+
+
+@functools.lru_cache(maxsize=8)
 def gaussian(dim: int, lines: int, seed: int = 11) -> np.ndarray:
     return np.random.RandomState(seed).standard_normal((dim, lines))
 
 
+def stack(v: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)
+
+
 def collide(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray, half: int, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) of x and y that collide in `least` windows or more and whose cosine holds. p, r: projections in steps."""
     count = np.zeros((len(x), len(y)), np.uint8)
@@ -66,56 +113,93 @@ def collide(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray, half: in
     return i[good], j[good]
 
 
-def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int = 24, window: float = 1.58, recall: float = 0.9995, rows: int = 4096) -> DataFrame:
-    """vectors(vec_id, embedding array<float or double>) to vec_id, n_links, component_id, kept: classes linked by cosine.
+def met(x: np.ndarray, left: np.ndarray, right: np.ndarray, p: np.ndarray, half: int, reach: int, least: int, cosine: float):
+    """Blocks of linked pairs (i, j) of x, i in left and j in right, each pair once if left is right.
 
-    All vectors are projected on `lines` Gaussian lines and put in order of the first; the order is cut into runs of
-    about `rows`. A task meets two runs: for every vector of the one it counts, line by line, who of the other lies in
-    the window around its projection, and takes the cosine of pairs with the calibrated count. Runs further apart than
-    what a pair at the threshold reaches on the first line with a probability of 0.9997 don't meet. Equal vectors are
-    one. A task holds two runs whatever the data, and returns links a vector and a spanning forest, never pairs.
-
-    The work is that of the method: each vector's windows hold a share of all vectors, so counting grows with the
-    square of the distinct vectors.
+    Both sides are sorted on the first line. A block of queries meets the stretch of the other side that lies within
+    reach of it there, and counts collisions on all lines.
+    """
+    same = left is right
+    left = left[np.argsort(p[left, 0], kind="stable")]
+    right = left if same else right[np.argsort(p[right, 0], kind="stable")]
+    line = p[right, 0].astype(np.int32)
+    for s in range(0, len(left), 256):
+        own = left[s:s + 256]
+        first, last = int(p[own[0], 0]) - reach, int(p[own[-1], 0]) + reach
+        a, b = (s if same else int(np.searchsorted(line, first))), int(np.searchsorted(line, last, "right"))
+        for c in range(a, b, 1024):
+            other = right[c:min(b, c + 1024)]
+            i, j = collide(x[own], x[other], p[own], p[other], half, least, cosine)
+            if same:
+                later = j + c > i + s
+                i, j = i[later], j[later]
+            if len(i):
+                yield own[i], other[j]
+
+
+def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int = 24, window: float = 1.58, recall: float = 0.9995, rows: int = 2048) -> DataFrame:
+    """vectors(vec_id, embedding array<float or double>) to vec_id, n_links, component_id, kept: classes linked by cosine.
 
-    Vectors that are null, zero, of another length than most of their batch, or hold null or non-finite components
-    have no links and are their own class. n_links counts rows, equal vectors too. Repeated vec_ids are separate rows
-    of one id. An empty table gives an empty result. Other columns are not read.
+    Vectors meet in cells: in each of some tables, those that share a stretch on each of the table's Gaussian lines
+    (see plan(): the numbers follow from recall and the number of vectors, so that a vector meets about HELD others a
+    table where nothing is alike). Where they meet, every vector is the centre of a window on each of `lines` further lines;
+    collisions are counted and pairs with the calibrated count get their cosine taken. A pair belongs to the first
+    table in which it shares a cell. With probability `recall` each, a pair at the threshold shares a cell and has the count;
+    closer pairs more often.
+
+    Small cells are dealt to tasks of about `rows` vectors; a cell of more is cut into blocks, which meet two at a time.
+    So a task is bounded whatever the data; it returns links a vector and a spanning forest, never pairs. Equal vectors
+    are one. Work grows with n * tables where nothing is alike, and with the square of a group of near copies only,
+    since n_links counts its pairs.
+
+    Vectors link with those of their length only. Null, empty and zero vectors and those with null or non-finite
+    components have no links and are their own class. n_links counts rows, equal vectors too. component_id is the
+    smallest vec_id of the class that is not null; kept is null-safe. Repeated and null vec_ids are separate rows. An
+    empty table gives an empty result. Other columns are not read.
     """
     half, least = calibrate(cosine, lines, window, recall)
     step = half / 400  # projections of unit vectors then fit int16
+    reach = math.ceil(4.5 * math.sqrt(2 - 2 * cosine) / step)
+
+    def units(batches):
+        for b in batches:
+            for s in range(0, b.num_rows, 4096):
+                own = b.slice(s, 4096)
+                yield pa.record_batch([own.column("vec_id"), pa.array(unit(own.column("embedding")), pa.binary())], ["vec_id", "v"])
+
+    flat = scratch.save(vectors.select("vec_id", "embedding").mapInArrow(units, "vec_id long, v binary").select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("node")))
+    unique = scratch.save(flat.where("v is not null").groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("low"), F.count("*").alias("copies")))
+    cells = plan(unique.count(), cosine, recall)
 
-    def project(batches):
+    def place(batches):
         for b in batches:
             for s in range(0, b.num_rows, 4096):
                 own = b.slice(s, 4096)
-                v, ok = unit(own.column("embedding"))
-                p = v @ gaussian(v.shape[1], 1)[:, 0] if v.shape[1] else np.zeros(len(v))
-                yield pa.record_batch([own.column("vec_id"), pa.array([x.tobytes() if k else None for x, k in zip(v, ok)], pa.binary()), pa.array(p, mask=~ok)], ["vec_id", "v", "p"])
-
-    flat = scratch.save(vectors.select("vec_id", "embedding").mapInArrow(project, "vec_id long, v binary, p double"))
-    unique = scratch.save(flat.where("v is not null and vec_id is not null").groupBy("v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.min("p").alias("p")))
-    cuts = max(1, round(unique.count() / rows))
-    ends = sorted(set(unique.approxQuantile("p", [i / cuts for i in range(1, cuts)], 0.2 / cuts))) if cuts > 1 else []
-    reach = 3.6 * math.sqrt(2 - 2 * cosine)
-    bounds = [-math.inf, *ends, math.inf]
-    last = [max(j for j in range(len(ends) + 1) if bounds[j] - bounds[i + 1] <= reach) for i in range(len(ends) + 1)]
-    first = [min(i for i in range(len(last)) if last[i] >= j) for j in range(len(last))]
-    array = lambda x, kind: F.expr(f"array({', '.join(str(y) for y in x)})").cast(f"array<{kind}>")
-    run = F.size(F.filter(array([f"{e!r}D" for e in ends], "double"), lambda e: e <= F.col("p")))
-    run = unique.select("node", "v", "copies", run.alias("run"))
-    met = run.withColumn("other", F.explode(F.sequence(F.get(array(first, "int"), F.col("run")), F.get(array(last, "int"), F.col("run")))))
-    met = met.withColumn("i", F.least("run", "other")).withColumn("j", F.greatest("run", "other")).drop("other")
+                node, v = own.column("node").to_numpy(), own.column("v")
+                dims = pc.binary_length(v).to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims):
+                    at = np.flatnonzero(dims == dim)
+                    codes = cells.codes(stack(v.take(pa.array(at)).to_pylist()))
+                    yield pa.record_batch([pa.array(codes.T.ravel()), pa.array(np.repeat(np.arange(cells.tables, dtype=np.int32), len(at))), pa.array(np.tile(node[at], cells.tables))], ["cell", "t", "node"])
+
+    placed = scratch.save(unique.select("node", "v").mapInArrow(place, "cell long, t int, node long"))
+    held = scratch.save(placed.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"))
+    packs = max(1, round((held.where(F.col("c") <= rows).agg(F.sum("c")).first()[0] or 0) / rows))
+    small, parts = F.col("c") <= rows, F.ceil(F.col("c") / rows).cast("int")
+    to = placed.join(held, "cell").select("node", F.struct("cell", "t", F.when(small, 1).otherwise(parts).alias("parts")).alias("to"))
+    wide = unique.select("node", "v", "copies").join(to.groupBy("node").agg(F.collect_list("to").alias("to")), "node")
+    wide = wide.select("node", "v", "copies", F.explode("to").alias("to")).select("node", "v", "copies", "to.*").withColumn("block", F.pmod(F.col("node"), F.col("parts")).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.col("cell"))
+    wide = wide.select("node", "v", "copies", "cell", "t", "block", (F.col("parts") > 1).alias("cut"), pack.alias("pack"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def work(key, own):
-        node = own.column("node").to_numpy()
-        copies = own.column("copies").to_numpy()
-        v = np.stack([np.frombuffer(x, np.float64) for x in own.column("v").to_pylist()])
-        p = np.round(np.clip(v @ gaussian(v.shape[1], lines) / step, -12000, 12000)).astype(np.int16)
-        at = own.column("run").to_numpy()
-        left, right = np.flatnonzero(at == key[0].as_py()), np.flatnonzero(at == key[1].as_py())
-        links = np.zeros(len(node), np.int64)
-        parent = list(range(len(node)))
+        node, copies = own.column("node").to_numpy(), own.column("copies").to_numpy()
+        cell, block, t = own.column("cell").to_numpy(), own.column("block").to_numpy(), own.column("t").to_numpy()
+        v = own.column("v").combine_chunks()
+        who, one, spot = np.unique(node, return_index=True, return_inverse=True)
+        many = copies[one]
+        links, parent = np.zeros(len(who), np.int64), list(range(len(who)))
 
         def root(x):
             while parent[x] != x:
@@ -123,27 +207,44 @@ def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int
                 x = parent[x]
             return x
 
-        same = key[0].as_py() == key[1].as_py()
-        for a in range(0, len(left), 512):
-            for b in range(a if same else 0, len(right), 512):
-                l, r = left[a:a + 512], right[b:b + 512]
-                i, j = collide(v[l], v[r], p[l], p[r], 400, least, cosine)
-                i, j = l[i], r[j]
-                if same:
-                    i, j = i[i < j], j[i < j]
-                links += np.bincount(i, weights=copies[j], minlength=len(node)).astype(np.int64) + np.bincount(j, weights=copies[i], minlength=len(node)).astype(np.int64)
-                for x, y in zip(i.tolist(), j.tolist()):
-                    x, y = root(x), root(y)
-                    if x != y:
-                        parent[max(x, y)] = min(x, y)
-        up = np.array([root(x) for x in range(len(node))])
-        some = np.flatnonzero((links > 0) | (up != np.arange(len(node))))
-        return pa.table({"node": node[some], "links": links[some], "to": node[up[some]]})
-
-    found = scratch.save(met.groupBy("i", "j").applyInArrow(work, "node long, links long, to long"))
+        label = np.arange(len(who))
+        order = np.argsort(cell, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(cell[order])) + 1, len(order))
+        for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
+            at = order[a:b]
+            if len(at) < 2:
+                continue
+            x = stack(v.take(pa.array(at)).to_pylist())
+            p = np.round(np.clip(x @ gaussian(x.shape[1], lines) / step, -12000, 12000)).astype(np.int16)
+            left = np.arange(len(at))
+            right = left
+            if key[1].as_py() and key[2].as_py() != key[3].as_py():
+                left, right = np.flatnonzero(block[at] == key[2].as_py()), np.flatnonzero(block[at] == key[3].as_py())
+            codes = None
+            for i, j in met(x, left, right, p, 400, reach, least, cosine):
+                if codes is None:
+                    codes = cells.codes(x)
+                for before in range(int(t[at[0]])):
+                    new = codes[i, before] != codes[j, before]
+                    i, j = i[new], j[new]
+                i, j = spot[at[i]], spot[at[j]]
+                links += np.bincount(i, weights=many[j], minlength=len(who)).astype(np.int64) + np.bincount(j, weights=many[i], minlength=len(who)).astype(np.int64)
+                new = label[i] != label[j]
+                if new.any():
+                    for s, e in zip(i[new].tolist(), j[new].tolist()):
+                        s, e = root(s), root(e)
+                        if s != e:
+                            parent[max(s, e)] = min(s, e)
+                    label = np.array([root(s) for s in range(len(who))])
+        some = np.flatnonzero(links)
+        return pa.table({"node": who[some], "links": links[some], "to": who[label[some]]})
+
+    found = scratch.save(wide.groupBy("pack", "cut", "i", "j").applyInArrow(work, "node long, links long, to long"))
     classes = components(found.select(F.col("node").alias("u"), F.col("to").alias("v")), scratch)
-    out = unique.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
-    out = out.select("v", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
-    out = flat.select("vec_id", "v").join(out, "v", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    out = unique.select("node", "low", "copies").join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(classes, "node", "left")
+    out = scratch.save(out.select("node", "low", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")))
+    low = out.groupBy("component").agg(F.min("low").alias("component_id"))
+    out = out.join(low, "component").select("node", "n_links", "component_id")
+    out = flat.select("vec_id", "node").join(out, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -386,6 +386,41 @@ def test_neighbours(spark, scratch):
     assert neighbours.link(d.limit(0), scratch).count() == 0
 
 
+def test_neighbours_of_mixed_lengths_and_null_ids(spark, scratch):
+    """Lengths that never meet in a batch; ids that are null count as links and are never a class's smallest id."""
+    one = [(9, [1.0, 0.0]), (None, [2.0, 0.0]), (3, [1.0, 0.0, 0.0]), (8, [1.0, 0.01, 0.0]), (None, [0.0, 1.0]), (None, [0.0, 5.0])]
+    parts = [spark.createDataFrame([x], "vec_id long, embedding array<double>") for x in one]
+    d = parts[0]
+    for p in parts[1:]:
+        d = d.unionByName(p)
+    got = sorted((tuple(r) for r in neighbours.link(d, scratch).collect()), key=str)
+    assert got == sorted([(9, 1, 9, True), (None, 1, 9, False), (3, 1, 3, True), (8, 1, 3, False), (None, 1, None, True), (None, 1, None, True)], key=str)
+
+
+def test_neighbours_find_pairs_at_the_threshold_and_prune(spark, scratch):
+    """Recall on pairs just above the threshold among many vectors, and how many pairs share a cell."""
+    import numpy as np
+
+    r = np.random.RandomState(3)
+    x = r.standard_normal((12000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    y = r.standard_normal((400, 32))
+    y -= (y * x[:400]).sum(1)[:, None] * x[:400]
+    y /= np.linalg.norm(y, axis=1)[:, None]
+    v = np.concatenate([x, 0.9505 * x[:400] + math.sqrt(1 - 0.9505**2) * y])
+    d = spark.createDataFrame([(i, [float(z) for z in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {z.vec_id: z.n_links for z in neighbours.link(d, scratch, rows=512).where("n_links > 0").collect()}
+    both = v @ v.T >= 0.95
+    want = {i: int(n) - 1 for i, n in enumerate(both.sum(1)) if n > 1}
+    assert sum(found.values()) >= 0.995 * sum(want.values()) and all(found[i] <= want[i] for i in found)
+    codes = neighbours.plan(len(v), 0.95, 0.9995).codes(v)
+    pairs = sum(int((n * (n - 1) // 2).sum()) for n in (np.unique(codes[:, t], return_counts=True)[1] for t in range(codes.shape[1])))
+    assert pairs < 0.25 * len(v) * (len(v) - 1) / 2
+    big, small = neighbours.plan(10**8, 0.95, 0.9995), neighbours.plan(10**4, 0.95, 0.9995)
+    chance = lambda c, n: n * c.tables * neighbours.same_cell(math.sqrt(2), c.width) ** c.lines
+    assert chance(big, 10**8) < 10 * chance(small, 10**4)  # pairs a vector grow far slower than the 10000 times as many vectors
+
+
 def test_calibration():
     half, least = neighbours.calibrate(0.95, 24, 1.58, 0.9995)
     assert 0 < least < 24 and abs(half - 1.58 * 0.1**0.5) < 1e-9
