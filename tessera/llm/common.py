@@ -10,7 +10,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -191,19 +191,22 @@ def give_back() -> None:
 # ---------------------------------------------------------------- labelled samples for classifiers
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None) -> list[tuple[str, int]]:
-    """(text, 0 or 1) of at most `most` labelled documents a class, the same at every run: the lowest hashes of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, where=None, most_chars: int = 16_000_000) -> list[tuple[str, int]]:
+    """(text, 0 or 1) of labelled documents, the same at every run: of each class those with the lowest hashes of doc_id,
+    at most `most` and at most most_chars / 2 characters together; texts over most_chars / 32 are not learned from.
 
-    A label that is null is left out; of several labels of a document the largest counts. Only the sample's texts,
-    bounded by `most`, reach the driver.
+    A label that is null is left out; of several labels of a document the largest counts, of several texts of a doc_id
+    the least. So what reaches the driver is bounded in rows and characters, whatever the tables hold.
     """
     rows = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1))
     rows = rows.where(where) if where is not None else rows
     rows = rows.groupBy("doc_id").agg(F.max(label).alias("_y"))
     picked = [rows.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")  # 2 * most ids at most
-    return [(r["text"], r["_y"]) for r in texts.select(F.xxhash64("doc_id").alias("k"), "doc_id", "text", "_y").orderBy("k", "doc_id", "text").collect()]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= most_chars // 32).join(F.broadcast(ids), "doc_id")  # 2 * most ids at most
+    one = texts.groupBy("doc_id", "_y").agg(F.min("text").alias("text")).withColumn("k", F.xxhash64("doc_id"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("_y").orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return [(r["text"], r["_y"]) for r in one.withColumn("_upto", upto).where(F.col("_upto") <= most_chars // 2).select("k", "doc_id", "text", "_y").orderBy("k", "doc_id").collect()]
 
 
 def as_batch(texts: list[str]) -> pa.RecordBatch:

@@ -86,7 +86,7 @@ def fit(sample: list[tuple[str, int]], dim: int = 8, epochs: int = 12, rate: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 1500, where=None, **options) -> Model:
-    """Fit on at most `most` labelled documents of each class (the sample's only bound)."""
+    """Fit on at most `most` labelled documents of each class, bounded in characters too (see labelled())."""
     model = fit(labelled(docs, labels, "quality", most, where), **options)
     give_back()
     return model

@@ -128,7 +128,7 @@ def fit(sample: list[tuple[str, int]], grades: int = 3, least_z: float = 3.0, st
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = 4000, **options) -> Model:
-    """Fit on at most `most` labelled documents of each class (the sample's only bound)."""
+    """Fit on at most `most` labelled documents of each class, bounded in characters too (see labelled())."""
     model = fit(labelled(docs, labels, "toxic", most), **options)
     give_back()
     return model
