@@ -38,10 +38,10 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|bod
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "label", "key", "size", "shape", "count")
+    __slots__ = ("tag", "kids", "parent", "label", "key", "size", "shape", "count", "path")
 
     def __init__(self, tag: str, parent: Node | None, label: str = ""):
-        self.tag, self.parent, self.label, self.kids, self.key, self.size, self.shape, self.count = tag, parent, label, [], None, 0, None, 1
+        self.tag, self.parent, self.label, self.kids, self.key, self.size, self.shape, self.count, self.path = tag, parent, label, [], None, 0, None, 1, 0
 
 
 def parse(html: str | None) -> Node:
@@ -110,11 +110,13 @@ def nodes(x: Node) -> list[Node]:
 
 
 def settle(root: Node) -> Node:
-    """Set each node's key (what must be equal to count as constant: its tag, text and kids), size (letters), shape (tags) and count (nodes)."""
+    """Set each node's key (what must be equal to count as constant: its tag, text and kids), size (letters), shape (tags), count (nodes)
+    and path (tags from the root)."""
     todo, order = [root], []
     while todo:
         x = todo.pop()
         order.append(x)
+        x.path = hash((x.parent.path if x.parent else 0, x.tag))
         todo += nodes(x)
     for x in reversed(order):
         parts = [k if isinstance(k, str) else k.key for k in x.kids]
@@ -258,16 +260,39 @@ def _pair(a: Node, b: Node, got: list) -> None:
             todo.append(p)
 
 
-def constant_nodes(page: Node, others: list[Node]) -> set[int]:
-    """ids of the page's nodes that pair with a node of equal content on at least half of the other pages."""
-    votes: dict[int, int] = {}
+class Votes:
+    """On how many distinct pages of a layout each content stands at each path."""
+
+    def __init__(self):
+        self.pages, self.count = 0, {}
+
+    def add(self, root: Node) -> None:
+        self.pages += 1
+        seen, todo = set(), [root]
+        while todo:
+            x = todo.pop()
+            seen.add((x.path, x.key))
+            todo += nodes(x)
+        for k in seen:
+            self.count[k] = self.count.get(k, 0) + 1
+
+    def most(self, x: Node) -> bool:
+        return 2 * (self.count.get((x.path, x.key), 1) - 1) >= self.pages - 1
+
+
+def constant_nodes(page: Node, others: list[Node], votes: Votes | None = None) -> set[int]:
+    """ids of the page's nodes that alignment pairs with a node of equal content and that most pages share: half of the
+    other pages of the layout by its votes, without votes half of those that the page is aligned with."""
+    paired: dict[int, int] = {}
+    at: dict[int, Node] = {}
     for o in others:
         pairs: list = []
         matching(page, o, pairs)
         for x, y in pairs:
             if x.key == y.key:
-                votes[id(x)] = votes.get(id(x), 0) + 1
-    return {k for k, v in votes.items() if 2 * v >= len(others)}
+                paired[id(x)] = paired.get(id(x), 0) + 1
+                at[id(x)] = x
+    return {k for k, v in paired.items() if (votes.most(at[k]) if votes else 2 * v >= len(others))}
 
 
 def apart(x: Node) -> bool:
@@ -285,34 +310,67 @@ def _inside(x: Node) -> bool:
     return bool(_open(x, "article") or _open(x, "main"))
 
 
+#: How many letters elsewhere one varying letter of an article or main element outweighs.
+SAID = 4
+
+
 def region(root: Node, constant: set[int]) -> list[Node]:
-    """The nodes that hold the article: article elements, else main, else the slot with most varying text."""
-    found: dict[str, list[Node]] = {"article": [], "main": []}
-    todo, scores, best = [root], {}, (0, None)
-    order = []
+    """The nodes that hold the article: the way down from the body that follows where text varies.
+
+    From a node it goes on to the child with three quarters of the varying text, counting SAID times in an article or
+    main element. Where no child has as much, article elements among the children that have a quarter together are it, else
+    the node. Elements and labels that set a node apart are not gone into. Where nothing varies (no other page, or only
+    copies), text counts as varying.
+    """
+    body, todo = root, [root]
     while todo:
         x = todo.pop()
-        order.append(x)
-        if apart(x):
-            continue
-        if x.tag == "article" and not _open(x.parent, "article"):
-            found["article"].append(x)
-        elif x.tag == "main" or "main" in x.label.split():
-            found["main"].append(x)
+        if x.tag == "body":
+            body = x
+            break
         todo += reversed(nodes(x))
-    if found["article"]:
-        return found["article"]
-    if found["main"]:
-        return found["main"][:1]
-    body = next((x for x in order if x.tag == "body"), root)
+    if not varying(body, constant):
+        constant = set()
+
+    def said(x: Node) -> int:
+        n, todo = varying(x, constant), [x]
+        while n and todo:  # an article or main element below counts for the node above it too
+            y = todo.pop()
+            if y.tag in ("article", "main") or "main" in y.label.split():
+                n += (SAID - 1) * varying(y, constant)
+                continue
+            todo += [k for k in nodes(y) if not apart(k) and id(k) not in constant]
+        return n
+
     inside = body
-    while True:  # down to the deepest node that still holds nearly all varying text
-        live = [(varying(k, constant), k) for k in nodes(inside) if not apart(k) and k.tag in BLOCK]
-        total = varying(inside, constant)
+    while inside.tag != "article":
+        live = [(said(k), k) for k in nodes(inside) if not apart(k) and id(k) not in constant and k.tag in BLOCK]
+        total = sum(n for n, _ in live) + sum(len(k.strip()) for k in inside.kids if isinstance(k, str)) + sum(varying(k, constant) for k in nodes(inside) if k.tag not in BLOCK and not apart(k) and id(k) not in constant)
         top = max(live, key=lambda p: p[0], default=(0, None))
-        if top[1] is None or total == 0 or top[0] < 0.75 * total or top[1].tag in ("p", "li", "td") and not _CONTENT.search(top[1].label):
-            return [inside]
-        inside = top[1]
+        if top[1] is not None and total and top[0] >= 0.75 * total:
+            if top[1].tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") and not _CONTENT.search(top[1].label):
+                break
+            inside = top[1]
+            continue
+        told = [k for k in _articles(inside) if id(k) not in constant and varying(k, constant)]
+        if told and SAID * sum(varying(k, constant) for k in told) >= 0.25 * total:
+            return told
+        break
+    return [inside]
+
+
+def _articles(x: Node) -> list[Node]:
+    """Outermost article elements below x that nothing sets apart, in page order."""
+    out, todo = [], list(reversed(nodes(x)))
+    while todo:
+        y = todo.pop()
+        if apart(y):
+            continue
+        if y.tag == "article":
+            out.append(y)
+        else:
+            todo += reversed(nodes(y))
+    return out
 
 
 def varying(x: Node, constant: set[int]) -> int:
@@ -420,9 +478,9 @@ def blocks(top: Node, gone: set[int]) -> list[str]:
     return out
 
 
-def main_text(page: Node, others: list[Node]) -> str:
+def main_text(page: Node, others: list[Node], votes: Votes | None = None) -> str:
     """Text of an article page, given trees of other pages of its host."""
-    constant = constant_nodes(page, others) if others else set()
+    constant = constant_nodes(page, others, votes) if others else set()
     tops = region(page, constant)
     whole = tops[0].tag in ("body", "html", "#root")
     gone = constant if whole else template(tops, constant)
@@ -441,18 +499,18 @@ def content(root: Node) -> int:
 
 
 def layout(root: Node) -> set[int]:
-    """Hashes of the paths of tags that the page's blocks lie under."""
-    out, todo = set(), [(root, 0)]
+    """Paths of tags that the page's blocks lie under."""
+    out, todo = set(), [root]
     while todo:
-        x, above = todo.pop()
-        here = hash((above, x.tag))
-        out.add(here)
-        todo += [(k, here) for k in nodes(x) if k.tag in BLOCK]
+        x = todo.pop()
+        out.add(x.path)
+        todo += [k for k in nodes(x) if k.tag in BLOCK]
     return out
 
 
 def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
-    """main_text of each of a group's pages, whose peers are the first `peers` pages of its layout that are no copies of it.
+    """main_text of each of a group's pages, aligned with the first `peers` pages of its layout that are no copies of it;
+    all distinct pages of the layout in the group vote on what is constant.
 
     Pages are of one layout if at least half of their paths are those of the layout's first page. A page that differs
     from no other of its layout takes the first of all pages. Trees of `keep` characters of html are kept, others are
@@ -462,6 +520,8 @@ def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
     kept: dict[str, Node] = {}
     firsts: list[set[int]] = []
     models: list[dict[int, str]] = []
+    votes: list[Votes] = []
+    known: list[set[int]] = []
     every: dict[int, str] = {}
     for h in dict.fromkeys(pages):
         tree = settle(parse(h))
@@ -475,7 +535,12 @@ def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
             at = len(firsts)
             firsts.append(own)
             models.append({})
+            votes.append(Votes())
+            known.append(set())
         seen[h] = key, at
+        if key not in known[at]:
+            known[at].add(key)
+            votes[at].add(tree)
         for m in (models[at], every):
             if len(m) <= peers:
                 m.setdefault(key, h)
@@ -486,27 +551,30 @@ def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
         trees = {k: tree(h) for k, h in m.items()} if len(m) > 1 else every_tree
         for h, (key, own) in seen.items():
             if own == at:
-                out[h] = main_text(tree(h), [t for k, t in trees.items() if k != key][:peers])
+                out[h] = main_text(tree(h), [t for k, t in trees.items() if k != key][:peers], votes[at] if len(m) > 1 else None)
     return [out[h] for h in pages]
 
 
-def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256, most_hosts: int = 200_000, rows: int = 1024) -> DataFrame:
     """pages(page_id, url, html) to page_id, url, text.
 
-    Each page is aligned with `peers` other pages of its host by simple tree matching. Nodes equal to their partners
-    are template, the others slots. The region is the article or main element, elsewhere the node down to which nearly all
-    varying text goes. Template nodes in it go, but not shared text among varying text (see template()). Where the region is
-    the whole page, all template nodes go.
+    Pages of a host are aligned with each other by simple tree matching: each with the first `peers` pages of its layout,
+    and all distinct pages of its layout vote. Nodes that pair with an equal node and that most pages share are template, the
+    others slots. Where text varies leads to the article (see region()): article and main elements and labels add to
+    that evidence, they don't replace it. Template nodes in it go, but not shared text among varying text (see template()).
+    Where the region is the whole page, all template nodes go.
 
     Pages move once, to groups of a host: one group up to `group` pages, else as many as the host needs, by a hash of
-    page_id and url. Peers come from the page's group, lowest hashes first (see texts()), so no task depends on a host's
-    size. How many groups a large host needs is a small table, broadcast if it has at most `most_hosts` rows, else joined.
+    page_id and url, in partitions of about `rows` pages; so neither a group nor a task grows with a host or the table.
+    How many groups a large host needs is a small table, broadcast if it has at most `most_hosts` rows, else joined.
 
     Null html counts as empty and gives "". Null urls form one host. Repeated rows are extracted alike. An empty table
     gives an empty result. Other columns are not read.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    large = scratch.save(pages.select(host.alias("_host")).groupBy("_host").agg(F.ceil(F.count("*") / group).alias("groups")).where("groups > 1"))
+    hosts = scratch.save(pages.select(host.alias("_host")).groupBy("_host").agg(F.count("*").alias("n")))
+    parts = max(1, -(-(hosts.agg(F.sum("n")).first()[0] or 0) // rows))
+    large = hosts.where(F.col("n") > group).select("_host", F.ceil(F.col("n") / group).alias("groups"))
     large = F.broadcast(large) if large.count() <= most_hosts else large
     p = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("k"))
     p = p.join(large, F.col("host") == F.col("_host"), "left").withColumn("salt", F.pmod(F.col("k"), F.coalesce("groups", F.lit(1))))
@@ -515,4 +583,5 @@ def extract(pages: DataFrame, scratch: Scratch, peers: int = 3, group: int = 256
         own = own.sort_values(["k", "html"])
         return pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": texts(list(own["html"]), peers)})
 
-    return p.select("page_id", "url", "html", "host", "salt", "k").groupBy("host", "salt").applyInPandas(work, "page_id long, url string, text string")
+    p = p.select("page_id", "url", "html", "host", "salt", "k").repartition(parts, "host", "salt")
+    return p.groupBy("host", "salt").applyInPandas(work, "page_id long, url string, text string")
