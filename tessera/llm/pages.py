@@ -38,10 +38,10 @@ _CONTENT = re.compile(r"(?:^|[\s_-])(?:article|post|entry|content|story|main|bod
 
 
 class Node:
-    __slots__ = ("tag", "kids", "parent", "label", "key", "size", "shape", "count", "path")
+    __slots__ = ("tag", "kids", "parent", "label", "key", "size", "shape", "count", "path", "off", "text")
 
     def __init__(self, tag: str, parent: Node | None, label: str = ""):
-        self.tag, self.parent, self.label, self.kids, self.key, self.size, self.shape, self.count, self.path = tag, parent, label, [], None, 0, None, 1, 0
+        self.tag, self.parent, self.label, self.kids, self.key, self.size, self.shape, self.count, self.path, self.off, self.text = tag, parent, label, [], None, 0, None, 1, 0, False, 0
 
 
 def parse(html: str | None) -> Node:
@@ -110,13 +110,14 @@ def nodes(x: Node) -> list[Node]:
 
 
 def settle(root: Node) -> Node:
-    """Set each node's key (what must be equal to count as constant: its tag, text and kids), size (letters), shape (tags), count (nodes)
-    and path (tags from the root)."""
+    """Set each node's key (what must be equal to count as constant: its tag, text and kids), size (letters), shape (tags), count (nodes),
+    path (tags from the root), off (is it set apart?) and text (letters that nothing below sets apart)."""
     todo, order = [root], []
     while todo:
         x = todo.pop()
         order.append(x)
         x.path = hash((x.parent.path if x.parent else 0, x.tag))
+        x.off = apart(x)
         todo += nodes(x)
     for x in reversed(order):
         parts = [k if isinstance(k, str) else k.key for k in x.kids]
@@ -125,6 +126,7 @@ def settle(root: Node) -> Node:
         below = nodes(x)
         x.shape = hash((x.tag, tuple(k.shape for k in below)))
         x.count = 1 + sum(k.count for k in below)
+        x.text = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(k.text for k in below if not k.off)
     return root
 
 
@@ -146,8 +148,8 @@ def matching(a: Node, b: Node, pairs: list | None = None) -> int:
     while todo:
         x, y = todo.pop()
         got.append((x, y))
-        if x.key == y.key:
-            _pair(x, y, got)
+        if x.key == y.key or x.shape == y.shape:  # where all nodes can pair, all do
+            todo += zip(nodes(x), nodes(y))
             continue
         kx, ky, i, j = _ends(nodes(x), nodes(y), "key")
         todo += zip(kx[:i], ky[:i])
@@ -251,15 +253,6 @@ def _align(ka: list[Node], kb: list[Node], known: dict[tuple[int, int], int]) ->
     return out
 
 
-def _pair(a: Node, b: Node, got: list) -> None:
-    todo = [(a, b)]
-    while todo:
-        x, y = todo.pop()
-        for p in zip(nodes(x), nodes(y)):
-            got.append(p)
-            todo.append(p)
-
-
 class Votes:
     """On how many distinct pages of a layout each content stands at each path."""
 
@@ -280,14 +273,42 @@ class Votes:
         return 2 * (self.count.get((x.path, x.key), 1) - 1) >= self.pages - 1
 
 
-def constant_nodes(page: Node, others: list[Node], votes: Votes | None = None) -> set[int]:
+class Slots:
+    """The wrapper of a layout: a tree of its first page, and how many letters pages have at each of its nodes."""
+
+    def __init__(self, base: Node):
+        self.base, self.sums = base, {}
+
+    def pair(self, page: Node) -> list[tuple[Node, Node]]:
+        pairs: list = []
+        matching(page, self.base, pairs)
+        return pairs
+
+    def add(self, pairs: list[tuple[Node, Node]]) -> None:
+        for x, y in pairs:
+            n, t = self.sums.get(id(y), (0, 0))
+            self.sums[id(y)] = n + 1, t + x.text
+
+    def means(self, pairs: list[tuple[Node, Node]]) -> dict[int, float]:
+        """For ids of a page's nodes the mean of the letters that pages have in their slot."""
+        out = {}
+        for x, y in pairs:
+            n, t = self.sums[id(y)]
+            out[id(x)] = t / n
+        return out
+
+
+def constant_nodes(page: Node, others: list[Node], votes: Votes | None = None, known: dict[int, list] | None = None) -> set[int]:
     """ids of the page's nodes that alignment pairs with a node of equal content and that most pages share: half of the
-    other pages of the layout by its votes, without votes half of those that the page is aligned with."""
+    other pages of the layout by its votes, without votes half of those that the page is aligned with. known: pairs with
+    some of the others, by id."""
     paired: dict[int, int] = {}
     at: dict[int, Node] = {}
     for o in others:
-        pairs: list = []
-        matching(page, o, pairs)
+        pairs = (known or {}).get(id(o))
+        if pairs is None:
+            pairs = []
+            matching(page, o, pairs)
         for x, y in pairs:
             if x.key == y.key:
                 paired[id(x)] = paired.get(id(x), 0) + 1
@@ -310,17 +331,17 @@ def _inside(x: Node) -> bool:
     return bool(_open(x, "article") or _open(x, "main"))
 
 
-#: How many letters elsewhere one varying letter of an article or main element outweighs.
+#: How many letters elsewhere one letter of an article or main element outweighs.
 SAID = 4
 
 
-def region(root: Node, constant: set[int]) -> list[Node]:
-    """The nodes that hold the article: the way down from the body that follows where text varies.
+def region(root: Node, constant: set[int], means: dict[int, float] | None = None) -> list[Node]:
+    """The nodes that hold the article: the way down from the body that goes where text varies.
 
-    From a node it goes on to the child with three quarters of the varying text, counting SAID times in an article or
-    main element. Where no child has as much, article elements among the children that have a quarter together are it, else
-    the node. Elements and labels that set a node apart are not gone into. Where nothing varies (no other page, or only
-    copies), text counts as varying.
+    A node counts by the letters that the layout's pages have in its slot on average (means), without them by its own
+    letters; constant nodes and what is set apart don't count, article and main elements count SAID times. The way
+    goes on to the child with three quarters of it. Where no child has as much, article elements below that have a
+    quarter together are it, else the node. Where nothing varies (no other page, or only copies), all text counts.
     """
     body, todo = root, [root]
     while todo:
@@ -332,28 +353,31 @@ def region(root: Node, constant: set[int]) -> list[Node]:
     if not varying(body, constant):
         constant = set()
 
-    def said(x: Node) -> int:
-        n, todo = varying(x, constant), [x]
+    def amount(x: Node) -> float:
+        return max((means or {}).get(id(x), 0), 1) if means and id(x) in means and varying(x, constant) else varying(x, constant)
+
+    def said(x: Node) -> float:
+        n, todo = amount(x), [x]
         while n and todo:  # an article or main element below counts for the node above it too
             y = todo.pop()
             if y.tag in ("article", "main") or "main" in y.label.split():
-                n += (SAID - 1) * varying(y, constant)
+                n += (SAID - 1) * amount(y)
                 continue
-            todo += [k for k in nodes(y) if not apart(k) and id(k) not in constant]
+            todo += [k for k in nodes(y) if not k.off and id(k) not in constant]
         return n
 
     inside = body
     while inside.tag != "article":
-        live = [(said(k), k) for k in nodes(inside) if not apart(k) and id(k) not in constant and k.tag in BLOCK]
-        total = sum(n for n, _ in live) + sum(len(k.strip()) for k in inside.kids if isinstance(k, str)) + sum(varying(k, constant) for k in nodes(inside) if k.tag not in BLOCK and not apart(k) and id(k) not in constant)
-        top = max(live, key=lambda p: p[0], default=(0, None))
+        live = [(said(k), k) for k in nodes(inside) if not k.off and id(k) not in constant]
+        total = sum(n for n, _ in live) + sum(len(k.strip()) for k in inside.kids if isinstance(k, str))
+        top = max((p for p in live if p[1].tag in BLOCK), key=lambda p: p[0], default=(0, None))
         if top[1] is not None and total and top[0] >= 0.75 * total:
-            if top[1].tag in ("p", "li", "td", "h1", "h2", "h3", "h4", "h5", "h6") and not _CONTENT.search(top[1].label):
+            if (top[1].tag in ("p", "li", "td") or _HEADING.fullmatch(top[1].tag)) and not _CONTENT.search(top[1].label):
                 break
             inside = top[1]
             continue
         told = [k for k in _articles(inside) if id(k) not in constant and varying(k, constant)]
-        if told and SAID * sum(varying(k, constant) for k in told) >= 0.25 * total:
+        if told and SAID * sum(map(amount, told)) >= 0.25 * total:
             return told
         break
     return [inside]
@@ -364,7 +388,7 @@ def _articles(x: Node) -> list[Node]:
     out, todo = [], list(reversed(nodes(x)))
     while todo:
         y = todo.pop()
-        if apart(y):
+        if y.off:
             continue
         if y.tag == "article":
             out.append(y)
@@ -378,7 +402,7 @@ def varying(x: Node, constant: set[int]) -> int:
     total, todo = 0, [x]
     while todo:
         y = todo.pop()
-        if id(y) in constant or y is not x and apart(y):
+        if id(y) in constant or y is not x and y.off:
             continue
         total += sum(len(k.strip()) for k in y.kids if isinstance(k, str))
         todo += nodes(y)
@@ -418,7 +442,7 @@ def template(tops: list[Node], constant: set[int]) -> set[int]:
     todo = vary
     while todo:
         x = todo.pop()
-        kids = [k for k in nodes(x) if not apart(k)]
+        kids = [k for k in nodes(x) if not k.off]
         live = [k for k in kids if id(k) not in constant and k.size]
         between = any(k.tag in BLOCK for k in kids) and not any(isinstance(k, str) and k.strip() for k in x.kids)
         below = 0  # 7 where text that stays follows; less under a heading of that rank
@@ -463,7 +487,7 @@ def blocks(top: Node, gone: set[int]) -> list[str]:
         if done:
             flush()
             continue
-        if x is not top and (apart(x) or id(x) in gone):
+        if x is not top and (x.off or id(x) in gone):
             if x.tag in BLOCK:
                 flush()
             continue
@@ -478,10 +502,14 @@ def blocks(top: Node, gone: set[int]) -> list[str]:
     return out
 
 
-def main_text(page: Node, others: list[Node], votes: Votes | None = None) -> str:
-    """Text of an article page, given trees of other pages of its host."""
-    constant = constant_nodes(page, others, votes) if others else set()
-    tops = region(page, constant)
+def main_text(page: Node, others: list[Node], votes: Votes | None = None, slots: Slots | None = None, pairs: list | None = None) -> str:
+    """Text of an article page, given settled trees of other pages of its host, and its layout's votes and slots."""
+    known, means = {}, None
+    if slots:
+        pairs = slots.pair(page) if pairs is None else pairs
+        known, means = {id(slots.base): pairs}, slots.means(pairs)
+    constant = constant_nodes(page, others, votes, known) if others else set()
+    tops = region(page, constant, means)
     whole = tops[0].tag in ("body", "html", "#root")
     gone = constant if whole else template(tops, constant)
     return "\n".join(b for t in tops if whole or id(t) not in gone for b in blocks(t, gone))
@@ -510,24 +538,22 @@ def layout(root: Node) -> set[int]:
 
 def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
     """main_text of each of a group's pages, aligned with the first `peers` pages of its layout that are no copies of it;
-    all distinct pages of the layout in the group vote on what is constant.
+    all distinct pages of the layout in the group vote on what is constant and tell how much text a slot has.
 
     Pages are of one layout if at least half of their paths are those of the layout's first page. A page that differs
     from no other of its layout takes the first of all pages. Trees of `keep` characters of html are kept, others are
     built again.
     """
     seen: dict[str, tuple[int, int]] = {}
-    kept: dict[str, Node] = {}
+    kept: dict[str, tuple[Node, list]] = {}
     firsts: list[set[int]] = []
     models: list[dict[int, str]] = []
     votes: list[Votes] = []
+    slots: list[Slots] = []
     known: list[set[int]] = []
     every: dict[int, str] = {}
     for h in dict.fromkeys(pages):
         tree = settle(parse(h))
-        if keep >= len(h):
-            kept[h] = tree
-            keep -= len(h)
         key, own = content(tree), layout(tree)
         near = [len(own & f) / len(own | f) for f in firsts]
         at = max(range(len(near)), key=near.__getitem__, default=-1)
@@ -536,22 +562,32 @@ def texts(pages: list[str], peers: int, keep: int = 1 << 22) -> list[str]:
             firsts.append(own)
             models.append({})
             votes.append(Votes())
+            slots.append(Slots(tree))
             known.append(set())
         seen[h] = key, at
+        pairs = slots[at].pair(tree)
         if key not in known[at]:
             known[at].add(key)
             votes[at].add(tree)
+            slots[at].add(pairs)
+        if keep >= len(h):
+            kept[h] = tree, pairs
+            keep -= len(h)
         for m in (models[at], every):
             if len(m) <= peers:
                 m.setdefault(key, h)
-    tree = lambda h: kept[h] if h in kept else settle(parse(h))
-    every_tree = {k: tree(h) for k, h in every.items()}
+
+    def built(h: str, at: int) -> tuple[Node, list | None]:
+        return kept[h] if h in kept else (slots[at].base, None) if models[at] and h == next(iter(models[at].values())) else (settle(parse(h)), None)
+
+    every_tree = {k: built(h, seen[h][1])[0] for k, h in every.items()}
     out: dict[str, str] = {}
     for at, m in enumerate(models):
-        trees = {k: tree(h) for k, h in m.items()} if len(m) > 1 else every_tree
+        trees = {k: built(h, at)[0] for k, h in m.items()} if len(m) > 1 else every_tree
         for h, (key, own) in seen.items():
             if own == at:
-                out[h] = main_text(tree(h), [t for k, t in trees.items() if k != key][:peers], votes[at] if len(m) > 1 else None)
+                tree, pairs = built(h, at)
+                out[h] = main_text(tree, [t for k, t in trees.items() if k != key][:peers], votes[at] if len(m) > 1 else None, slots[at] if len(m) > 1 else None, pairs)
     return [out[h] for h in pages]
 
 

@@ -318,6 +318,37 @@ def test_pages_align_inside_article_and_main():
     assert pages.main_text(head[0], head[1:]).startswith("Same title\nSame start.\n") and "Also" not in pages.main_text(head[0], head[1:])
 
 
+def test_pages_by_what_slots_hold():
+    """Everything varies and no element or label tells: what the slots of the layout hold shows the article, also on pages
+    where it is shorter than the rest. Without other pages these pages come out wrong."""
+    r = random.Random(6)
+    words = lambda n: " ".join(f"v{r.randrange(999)}" for _ in range(n))
+    html, want = [], []
+    for i in range(60):
+        head, body = words(4), [words(r.randrange(20, 60)) for _ in range(r.randrange(1, 7))] if i % 6 else [words(2)]
+        links, ad = "".join(f"<li><a href='/'>{words(1)}</a></li>" for _ in range(6)), words(9)
+        html.append(page(f"<div><ul>{links}</ul></div><div>{ad}</div><div><h1>{head}</h1>" + "".join(f"<p>{b}</p>" for b in body) + f"</div><div>{words(12)}</div>"))
+        want.append("\n".join([head, *body]))
+    assert pages.texts(html, 3) == want
+    alone = [pages.main_text(pages.settle(pages.parse(h)), []) for h in html]
+    assert sum(a != w for a, w in zip(alone, want)) >= 10
+
+
+def test_driver_pages_without_their_telling_names(spark):
+    """The driver's pages as they are, and with article, nav, footer and class names taken away: the same texts."""
+    import os
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no driver tables")
+    by: dict = {}
+    for x in spark.read.parquet(f"{FOLDER}/pages.parquet").collect():
+        by.setdefault(x.url.split("/")[2], []).append(x.html)
+    strip = lambda h: re.sub(r"<(/?)(article|nav|footer)\b[^>]*>", r"<\1div>", h).replace(' class="ad"', "")
+    several = [v for v in by.values() if len(set(v)) >= 4]
+    same = [a == b for v in several for a, b in zip(pages.texts(v, 3), pages.texts([strip(h) for h in v], 3))]
+    assert sum(same) >= 0.97 * len(same)
+
+
 def test_page_copies_and_layouts(spark, scratch):
     """Copies under other ids and urls are no peers of each other; each layout of a host is aligned with its own pages."""
     r = random.Random(4)
