@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, grams, mix, text_batches, word_hashes
@@ -15,6 +15,8 @@ from .common import Scratch, components, grams, mix, text_batches, word_hashes
 #: Cells of the sketch of n-gram frequencies: 4 MB as counters, 1 MB as levels, at every size of the corpus.
 SKETCH_BITS = 20
 SKETCH_BLOCKS = 64
+#: n-grams of a block of whole sets: two make a task, a megabyte each, so a family's texts go out once for each TILE of it.
+TILE = 1 << 17
 
 
 def shingle_sets(buf: np.ndarray, cuts: np.ndarray, k: int):
@@ -31,11 +33,11 @@ def shingle_sets(buf: np.ndarray, cuts: np.ndarray, k: int):
             yield words[:0]
 
 
-def overlap(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a)) if len(b) else 0
+def overlaps(rows: np.ndarray, starts: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of several sets, one after the other in rows, with a sorted one."""
+    at = np.searchsorted(column, rows)
+    at[at == len(column)] = 0
+    return np.add.reduceat((column[at] == rows).astype(np.int64), starts)
 
 
 def lists(docs: DataFrame, k: int, scratch: Scratch):
@@ -80,6 +82,13 @@ def least_shared(n: np.ndarray) -> np.ndarray:
     return np.where(n < 20, 1, np.where(n < 60, 2, 3))
 
 
+def needed(per_cent: int) -> Column:
+    """How many n-grams the prefixes of sets of na and nb have to share at least, for the pair to link: those of the least
+    overlap less what can lie beyond the prefix that ends first, which is at most what its set has left."""
+    rest = [F.greatest(F.lit(0), F.ceil(F.col(n) * per_cent / 100) - F.when(F.col(n) < 20, 1).when(F.col(n) < 60, 2).otherwise(3)) for n in ("na", "nb")]
+    return F.greatest(F.lit(1), F.ceil((F.col("na") + F.col("nb")) * per_cent / (100 + per_cent)) - F.greatest(*rest))
+
+
 def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int = 64) -> tuple[DataFrame, DataFrame]:
     """(row, n, node) of every row and components (node, component) of links between nodes.
 
@@ -89,11 +98,11 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
     pair can still gain is bounded by what its sets have beyond the block; pairs that can't reach the overlap that
     their two sizes ask for are dropped, the rest is multiplied out in full.
 
-    1. In each column every node meets the column's least node. Links found make components.
+    1. In each column every node meets the column's least node; their overlaps add up. Links found make components.
     2. Pairs of nodes of different components remain (others can't change a component), so of a column or family only
        nodes outside its largest component look for partners: n copies that link cost about n pairs, not n**2. Nodes
-       with the same least node in their columns are a family. In a family of over `block` nodes, blocks of rows meet
-       whole, in tasks of two blocks; all other pairs meet in the columns.
+       with the same least node in their columns are a family. In a family of over `block` nodes, blocks of about
+       TILE n-grams meet whole, in tasks of two blocks; all other pairs meet in the columns.
     """
     rows, levels = lists(docs, k, scratch)
 
@@ -119,16 +128,20 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
     shared = scratch.save(entries.join(columns, "h").groupBy("h", "node", "n", "pivot").count().drop("count"))
     scratch.release()
     nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("row").alias("row"))
-    pairs = shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na")).distinct()
+    met = shared.where("node <> pivot").groupBy("node", "pivot", "n").agg(F.count("*").alias("c"))
+    # a column whose least node comes before the pivot may hold the pivot too, one whose least node comes after can't
+    upto = F.sum("c").over(Window.partitionBy("node").orderBy("pivot").rowsBetween(Window.unboundedPreceding, 0))
+    met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), upto.alias("c"))
     sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = pairs.join(sizes, "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent).select("a", "b")
+    pairs = met.join(sizes, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.col("c") >= needed(per_cent))).select("a", "b")
     edges = scratch.save(multiply(pairs, nodes, docs, scratch, k, per_cent))
     labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.release()
 
     own = shared.groupBy("node", "n").agg(F.min("pivot").alias("family")).join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    sizes = own.groupBy("family", "label").count().groupBy("family").agg(F.sum("count").alias("size"), F.max_by("count", F.struct("count", "label")).alias("most"), F.max_by("label", F.struct("count", "label")).alias("main"))
-    sizes = scratch.save(sizes.where((F.col("size") > block) & (F.col("size") > F.col("most"))).select("family", F.ceil(F.col("size") / block).alias("all"), F.ceil((F.col("size") - F.col("most")) / block).alias("some"), "main"))
+    sizes = own.groupBy("family", "label").agg(F.count("*").alias("count"), F.sum("n").alias("grams")).groupBy("family").agg(F.sum("count").alias("size"), F.sum("grams").alias("grams"), F.max(F.struct("count", "label", F.col("grams").alias("own"))).alias("main"))
+    sizes = sizes.where((F.col("size") > block) & (F.col("size") > F.col("main.count")))
+    sizes = scratch.save(sizes.select("family", F.ceil(F.col("grams") / TILE).alias("all"), F.ceil((F.col("grams") - F.col("main.own")) / TILE).alias("some"), F.col("main.label").alias("main")))
     own = scratch.save(own.join(sizes, "family", "left"))
     tiles = _tiles(own.where("all is not null"), nodes, docs, k, per_cent)
 
@@ -138,11 +151,8 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
     right = s.join(by.select("h"), "h", "left_semi").select("h", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("other"), F.col("family").alias("fb"))
     cond = (F.col("label") != F.col("other")) & ((F.col("other") == F.col("largest")) | (F.col("a") < F.col("b"))) & (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent)
     cond = cond & F.coalesce(F.col("fa") != F.col("fb"), F.lit(True))
-    # n-grams beyond the prefix that ends first are at most those that its set has left
-    rest = [F.greatest(F.lit(0), F.ceil(F.col(n) * per_cent / 100) - F.when(F.col(n) < 20, 1).when(F.col(n) < 60, 2).otherwise(3)) for n in ("na", "nb")]
-    need = F.greatest(F.lit(1), F.ceil((F.col("na") + F.col("nb")) * per_cent / (100 + per_cent)) - F.greatest(*rest))
     met = left.join(right, "h").where(cond).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb"))
-    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= need).select("a", "b")
+    pairs = met.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c")).where(F.col("c") >= needed(per_cent)).select("a", "b")
     more = scratch.save(multiply(scratch.save(pairs), nodes, docs, scratch, k, per_cent).unionByName(tiles))
     scratch.release()
     if not more.isEmpty():
@@ -152,30 +162,61 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
 
 def product(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) between sets left and right (places in `sets`): overlaps of all of them as a product of incidence
-    matrices, over blocks of the columns that more than one set has."""
+    matrices. Columns that many of both sides have are multiplied as dense blocks, others entry by entry."""
     size = np.array([len(s) for s in sets], np.int64)
-    row = np.repeat(np.arange(len(sets)), size)
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((len(left), len(right)), np.float32)
-    for c in range(0, int(column.max()) + 1 if len(column) else 0, 4096):
-        a, b = np.searchsorted(column, [c, c + 4096])
-        m = np.zeros((len(sets), 4096), np.float32)
-        m[row[a:b], column[a:b] - c] = 1
-        both += m[left] @ m[right].T
-    i, j = np.nonzero(both * 100 >= (size[left][:, None] + size[right][None, :] - both) * per_cent)
+    both = np.zeros(len(left) * len(right), np.float32)
+    names = [np.concatenate([sets[i] for i in side]) if len(side) else np.zeros(0, np.uint64) for side in (left, right)]
+    rows = [np.repeat(np.arange(len(side)), size[side]) for side in (left, right)]
+    shared = np.intersect1d(*names)
+    entries = []
+    for name, row in zip(names, rows):
+        column = np.searchsorted(shared, name)
+        column[column == len(shared)] = 0
+        keep = shared[column] == name if len(shared) else np.zeros(len(name), bool)
+        column, row = column[keep], row[keep]
+        order = np.argsort(column, kind="stable")
+        entries.append((column[order], row[order]))
+    (lc, lr), (rc, rr) = entries
+    n, m = np.bincount(lc, minlength=len(shared)), np.bincount(rc, minlength=len(shared))
+    heavy = n * m > 1024
+    dense, start = np.flatnonzero(heavy), np.concatenate([[0], np.cumsum(m)])
+    place = np.cumsum(heavy) - 1
+    for c in range(0, len(dense), 2048):
+        width = min(2048, len(dense) - c)
+        part = []
+        for column, row, side in ((lc, lr, left), (rc, rr, right)):
+            a, b = np.searchsorted(column, [dense[c], dense[c + width - 1] + 1])
+            own = heavy[column[a:b]]
+            x = np.zeros((len(side), width), np.float32)
+            x[row[a:b][own], place[column[a:b][own]] - c] = 1
+            part.append(x)
+        both += (part[0] @ part[1].T).ravel()
+    lc, lr = lc[~heavy[lc]], lr[~heavy[lc]]
+    times = m[lc]
+    upto = np.concatenate([[0], np.cumsum(times)])
+    a = 0
+    while a < len(lc):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + (1 << 21), "right")) - 1)
+        t = times[a:b]
+        at = np.repeat(start[lc[a:b]] - (upto[a:b] - upto[a]), t) + np.arange(t.sum())
+        both += np.bincount(np.repeat(lr[a:b], t) * len(right) + rr[at], minlength=len(both)).astype(np.float32)
+        a = b
+    both = both.reshape(len(left), len(right))
+    i, j = np.nonzero((both > 0) & (both * 100 >= (size[left][:, None] + size[right][None, :] - both) * per_cent))
     return left[i], right[j]
 
 
-def _tiles(own: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
-    """Links (a, b) within families, from own(node, label, family, all, some, main): nodes outside the family's main
-    component, in `some` blocks, by all of its nodes, in `all` blocks; a task holds two blocks' sets."""
+def deal(own: DataFrame) -> DataFrame:
+    """(node, label, family, i, j, first) from own(node, label, family, all, some, main): in which tasks of two blocks of
+    its family a node's text is needed, `some` blocks of nodes outside the family's main component by `all` of all nodes."""
     one = own.where("label <> main").select("node", "label", "family", F.lit(True).alias("first"), F.pmod(F.xxhash64("node"), F.col("some")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("all") - 1)).alias("j"))
     two = own.select("node", "label", "family", F.lit(False).alias("first"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("some") - 1)).alias("i"), F.pmod(F.xxhash64("node"), F.col("all")).alias("j"))
-    needs = one.unionByName(two).groupBy("node").agg(F.collect_list(F.struct("family", "i", "j", "first", "label")).alias("to")).join(nodes.select("node", "row"), "node")
+    return one.unionByName(two)
+
+
+def _tiles(own: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, per_cent: int) -> DataFrame:
+    """Links (a, b) within families, from own as in deal(); a task holds two blocks' sets."""
+    needs = deal(own).groupBy("node").agg(F.collect_list(F.struct("family", "i", "j", "first", "label")).alias("to")).join(nodes.select("node", "row"), "node")
     texts = docs.select("row", "text").join(needs, "row").dropDuplicates(["row"]).select("node", "text", F.explode("to").alias("t")).select("t.*", "node", "text")
 
     def work(key, own):
@@ -204,19 +245,20 @@ def multiply(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     texts = texts.select(F.explode("to").alias("t"), "text").select("t.block", "t.node", "text")
 
     def work(key, left, right):
-        own, text = left, right
         sets: dict[int, np.ndarray] = {}
-        nodes_, i = text.column("node").to_pylist(), 0
-        for part, buf, cuts in text_batches(text.select(["node", "text"]).to_batches()):
+        names, i = right.column("node").to_pylist(), 0
+        for _, buf, cuts in text_batches(right.select(["text"]).to_batches()):
             for s in shingle_sets(buf, cuts, k):
-                sets[nodes_[i]] = s
+                sets[names[i]] = s
                 i += 1
-        a, b = own.column("a").to_pylist(), own.column("b").to_pylist()
-        keep = []
-        for x, y in zip(a, b):
-            both = overlap(sets[x], sets[y])
-            keep.append(both * 100 >= (len(sets[x]) + len(sets[y]) - both) * per_cent)
-        return own.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
+        keep = np.zeros(len(a), bool)
+        for y in np.unique(b):  # rows of a times the row b
+            at = np.flatnonzero(b == y)
+            size = np.array([len(sets[x]) for x in a[at].tolist()], np.int64)
+            both = overlaps(np.concatenate([sets[x] for x in a[at].tolist()]), np.cumsum(size) - size, sets[int(y)])
+            keep[at] = both * 100 >= (size + len(sets[int(y)]) - both) * per_cent
+        return left.select(["a", "b"]).filter(pa.array(keep))
 
     return pairs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(work, "a long, b long")
 

@@ -203,6 +203,33 @@ def test_ngram_join_on_a_large_group_of_near_copies(spark, scratch):
     assert got == brute.ngram_classes(rows, 4, 85)
 
 
+def test_product_is_that_of_sets():
+    import numpy as np
+
+    r = np.random.RandomState(1)
+    for top, n in ((60, 40), (4000, 300), (30, 8)):
+        common = r.randint(0, top, 20).astype(np.uint64)
+        sets = [np.unique(np.concatenate([common[: r.randint(1, 20)], r.randint(0, top, r.randint(1, 60)).astype(np.uint64)])) for _ in range(n)]
+        left, right = np.arange(0, n, 2), np.arange(0, n, 3)
+        got = set(zip(*(x.tolist() for x in ngram_join.product(sets, left, right, 40))))
+        want = {(i, j) for i in left.tolist() for j in right.tolist() if (b := len(set(sets[i].tolist()) & set(sets[j].tolist()))) * 100 >= 40 * (len(sets[i]) + len(sets[j]) - b)}
+        assert got == want and len(want) >= len(set(left.tolist()) & set(right.tolist()))
+    assert len(ngram_join.product([], np.arange(0), np.arange(0), 80)[0]) == 0
+
+
+def test_ngram_join_of_unlinked_documents_with_shared_sentences(spark, scratch):
+    """2000 documents of template sentences and words of their own link with none; a family's texts go out once a block."""
+    r = random.Random(15)
+    shared = [" ".join(f"t{r.randrange(50)}" for _ in range(14)) for _ in range(6)]
+    rows = {i: " ".join([*r.sample(shared, 4), *(f"u{r.randrange(10**6)}" for _ in range(40))]) for i in range(2000)}
+    got = ngram_join.link(frame(spark, rows.items()), scratch, 4, 85).collect()
+    assert all(x.component_id == x.doc_id for x in got) and len(got) == 2000
+    grams = sum(x.n_shingles for x in got)
+    blocks = -(-grams // ngram_join.TILE)
+    own = spark.range(2000).select(F.col("id").alias("node"), F.col("id").alias("label"), F.lit(1).alias("family"), F.lit(blocks).cast("long").alias("all"), F.lit(blocks).cast("long").alias("some"), F.lit(-1).cast("long").alias("main"))
+    assert ngram_join.deal(own).count() == 2 * 2000 * blocks and blocks <= 2
+
+
 def test_ngram_join_edges(spark, scratch):
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (9, None), (9, None), (4, "")]
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.link(frame(spark, rows), scratch).collect()), key=str)
