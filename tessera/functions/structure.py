@@ -9,6 +9,8 @@ _OCR_OPEN, _OCR_CLOSE = re.compile(r"^\*\[Image OCR\]\*\s*$"), re.compile(r"^\*\
 _MATH, _TABLE = re.compile(r"^\s*\$\$\s*$"), re.compile(r"^\s*\|.*\|\s*$")
 _LIST = re.compile(r"^(\s*(?:\*|-|\+|\d+[.)])\s+)(.*)")
 _CJK = "\u4e00-\u9fff"
+_HAS_CJK, _STARTS_CJK = re.compile(f"[{_CJK}]"), re.compile(f"[{_CJK}]{{2,}}")
+_HEADING = re.compile(r"(#{1,6})\s+(.*)", re.A)
 
 
 def opener(line: str) -> str | None:
@@ -24,6 +26,19 @@ def closes(line: str, fence: str) -> bool:
     return bool(m) and m[1][0] == fence[0] and len(m[1]) >= len(fence)
 
 
+def sections(text: str) -> list[dict]:
+    """header_path, line_start, text of the heading sections of a text that aren't blank, as markdown.sections() has them."""
+    lines, stack, out = text.splitlines(), [], []
+    heads = [(i, m) for i, x in enumerate(lines) if x.startswith("#") and (m := _HEADING.fullmatch(x))]
+    for (i, m), end in zip([(-1, None), *heads], [*(i for i, _ in heads), len(lines)]):
+        if m:
+            stack = [h for h in stack if h[0] < len(m[1])] + [(len(m[1]), m[2].strip())]
+        body = "\n".join(lines[i + 1:end])
+        if body.strip():
+            out.append({"header_path": "/" + "".join(f"{t}/" for _, t in stack), "line_start": i + 1, "text": body})
+    return out
+
+
 def blocks(lines: list[str]) -> list[dict]:
     """Typed blocks: type, text, start and end (half-open, with the marks), code_language, fence_char, fence_len.
 
@@ -202,6 +217,8 @@ def fence_flags(lines: list[str]) -> list[bool]:
 
 def bare_cjk(text: str) -> bool:
     """Is there an ideograph outside of quotes and comments?"""
+    if not _HAS_CJK.search(text):
+        return False
     literal = r"\"(?:\\.|[^\"\\])*(?:\"|\\?$)|'(?:\\.|[^'\\])*(?:'|\\?$)|/\*.*?(?:\*/|$)|(?:#|//).*$"
     return bool(re.search(f"[{_CJK}]", re.sub(literal, " ", text, flags=re.S)))
 
@@ -233,7 +250,13 @@ CODE_SIGNS_ANY_CASE = (r"^(?:void|int|char|float|double|long|static|const|virtua
 _NEVER = re.compile("|".join(f"(?:{p})" for p in NOT_CODE))
 _CODE = re.compile("|".join(f"(?:{p})" for p in (*CODE_WORDS, *CODE_SIGNS)))
 _CODE_ANY_CASE = re.compile("|".join(f"(?:{p})" for p in (*SQL_WORDS, *CODE_SIGNS_ANY_CASE)), re.I)
-_HAS_CJK = re.compile(f"[{_CJK}]")
+#: Every sign of code has one of these characters or words; a line without any needs no further look.
+_MARK = re.compile(r"[=<>&:{}\[\](/\\@|;$#]|\d\.\d")
+_WORDS = re.compile(r"\w+")
+_KEYWORDS = frozenset(
+    "def class function if for while import from return export sudo docker git apt yum npm yarn pip conda curl wget ssh scp rsync "
+    "select insert update delete where join having limit union into order group values set".split()
+)
 _SYNTAX = re.compile(r"^(?:!\[.*\]\(.*\)|\[[^\]]+\]\([^)]+\)|#{2,6}\s+|[-*+]\s+|\d+[.)]\s+|\|(?:.*\|)?$|>)")
 
 
@@ -244,7 +267,9 @@ def cjk_share(s: str) -> float:
 def code_like(line: str) -> bool:
     """Does a line look like code, configuration, markup or a shell session?"""
     s = line.lstrip()
-    if not s or paired_marker(s) or bare_cjk(s) or _NEVER.search(s):
+    if not s or not _MARK.search(s) and _KEYWORDS.isdisjoint(_WORDS.findall(s.lower())):
+        return False
+    if paired_marker(s) or bare_cjk(s) or _NEVER.search(s):
         return False
     if _CODE.search(s) or _CODE_ANY_CASE.search(s):
         return True
@@ -257,6 +282,7 @@ def code_like(line: str) -> bool:
     )
 
 
+# What ends a run of code, what stays in it, and what may stand before a line that does.
 _LEAVES = re.compile(rf"^#{{2,6}}\s+|^[-*+]\s+|^\d+[.)]\s+|^\|(?:.*\|)?$|^```|^!\[.*\]\(.*\)|^\[[^\]]+\]\([^)]+\)|^[{_CJK}]{{2,}}")
 _STAYS = re.compile(r"[(){}\"';=<>\[\]]|^#\s+|^//|^/\*")
 _SQL_BEFORE = re.compile(r"\b(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)\b")
@@ -290,7 +316,7 @@ def wrap_code(lines: list[str], flags: list[bool]) -> tuple[list[str], list[bool
         elif run and continues(line, lines[i - 1] if kinds[-1] == "code" else None):
             kinds.append("code")
         else:
-            run = not re.match(rf"[{_CJK}]{{2,}}", s) and code_like(s) and not _SYNTAX.match(s) and (cjk_share(s) <= 0.4 or bool(re.search(r"[(){}\"';=<>\[\]|&]", s)))
+            run = not _STARTS_CJK.match(s) and code_like(s) and not _SYNTAX.match(s) and (cjk_share(s) <= 0.4 or bool(re.search(r"[(){}\"';=<>\[\]|&]", s)))
             kinds.append("code" if run else "text")
         if in_ocr and s == "*[End OCR]*":
             in_ocr = False

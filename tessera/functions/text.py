@@ -112,9 +112,8 @@ def sanitize_utf8(c: Column) -> Column:
 
 def hybrid_tokens(c: Column, segments: Column | None = None) -> Column:
     """Segmenter tokens, if given, and then runs of ASCII letters, digits and _; those of one character go."""
-    words = F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]+"), F.lit(0))
-    words = F.concat(segments, words) if segments is not None else words
-    return F.filter(F.transform(words, lambda t: F.trim(t)), lambda t: F.length(t) > 1)
+    words = F.regexp_extract_all(c, F.lit("[A-Za-z0-9_]{2,}"), F.lit(0))
+    return words if segments is None else F.concat(F.filter(F.transform(segments, lambda t: F.trim(t)), lambda t: F.length(t) > 1), words)
 
 
 def cjk_bigrams(c: Column) -> Column:

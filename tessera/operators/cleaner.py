@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,15 +36,19 @@ def wrap_code(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else one(t))
 
 
+def clean_file(text: str, name: str | None) -> str:
+    """A file's text repaired, with the stem of its name as title where it has none."""
+    return S.clean(text, None if name is None else name.rsplit(".", 1)[0])
+
+
 def clean(docs: DataFrame, stem: str | None = "file_name") -> DataFrame:
     """docs with cleaned: the repaired text, with the file's stem as title where it has none."""
-    def run(frames):
-        for f in frames:
-            stems = f[stem].map(lambda n: None if n is None else n.rsplit(".", 1)[0]) if stem else [None] * len(f)
-            f["cleaned"] = [None if t is None else S.clean(t, n) for t, n in zip(f["text"], stems)]
-            yield f
+    def run(batches):
+        for b in batches:
+            names = b.column(stem).to_pylist() if stem else [None] * b.num_rows
+            yield b.append_column("cleaned", pa.array([None if t is None else clean_file(t, n) for t, n in zip(b.column("text").to_pylist(), names)], pa.string()))
 
-    return docs.mapInPandas(run, _with(docs, "cleaned string"))
+    return docs.mapInArrow(run, _with(docs, "cleaned string"))
 
 
 def _with(df: DataFrame, column: str) -> str:

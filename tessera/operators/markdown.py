@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,20 +13,24 @@ from ..settings import Settings
 from ..sources.io import CHUNK_SCHEMA
 
 
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+
+
 def split_lines(text: Column) -> Column:
     """Lines as other tools count them: a line end at the very end opens no further line."""
     lines = F.split(text, r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85  ]", -1)
     return F.when(F.element_at(lines, -1) == "", F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines)
 
 
-def section_array(text: Column) -> Column:
-    """array<struct<start, end, parts>> of a document's sections, blank ones too.
+def section_array(lines: Column) -> Column:
+    """array<struct<start, end, parts>> of the sections of a document's lines, blank ones too.
 
     A heading closes those of its level and below; its own line is in no section. Before the first heading there are no
-    parts. The stack is a fold over the document's headings only, on the row itself.
+    parts. The stack is a fold over the document's headings only, on the row itself; patterns see only lines that begin
+    with #.
     """
-    lines = split_lines(text)
-    heads = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.length(F.regexp_extract(x, HEADING, 1)).alias("level"), F.regexp_replace(F.regexp_extract(x, HEADING, 2), r"(?U)^\s+|\s+$", "").alias("title"))), lambda h: h["level"] > 0)
+    marked = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("x"))), lambda h: h["x"].startswith("#"))
+    heads = F.filter(F.transform(marked, lambda h: F.struct(h["at"].alias("at"), F.length(F.regexp_extract(h["x"], HEADING, 1)).alias("level"), F.regexp_replace(F.regexp_extract(h["x"], HEADING, 2), r"(?U)^\s+|\s+$", "").alias("title"))), lambda h: h["level"] > 0)
     none = F.expr("cast(array() as array<struct<level: int, title: string>>)")
     start = F.struct(none.alias("stack"), F.expr("array(named_struct('start', 0, 'parts', cast(array() as array<string>)))").alias("out"))
 
@@ -45,11 +50,14 @@ def header_path(parts: Column) -> Column:
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """All columns but text, and header_path, header_parts, line_start, line_end, text of each section that isn't blank."""
+    """All columns but text, and header_path, header_parts, line_start, line_end, text of each section that isn't blank.
+    A document's lines are made once."""
     others = [c for c in docs.columns if c != "text"]
-    d = docs.select(*others, split_lines(F.col("text")).alias("_lines"), F.explode(section_array(F.col("text"))).alias("_s")).where("_s.end > _s.start")
-    body = F.array_join(F.slice("_lines", F.col("_s.start") + 1, F.col("_s.end") - F.col("_s.start")), "\n")
-    d = d.select(*others, header_path(F.col("_s.parts")).alias("header_path"), F.col("_s.parts").alias("header_parts"), F.col("_s.start").alias("line_start"), F.col("_s.end").alias("line_end"), body.alias("text"))
+    d = docs.select(*others, split_lines(F.col("text")).alias("_lines"))
+    body = lambda s: F.array_join(F.slice("_lines", s["start"] + 1, s["end"] - s["start"]), "\n")
+    d = d.select(*others, "_lines", section_array(F.col("_lines")).alias("_s"))
+    d = d.select(*others, F.explode(F.transform(F.filter("_s", lambda s: s["end"] > s["start"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["parts"].alias("parts"), body(s).alias("body")))).alias("_s"))
+    d = d.select(*others, header_path(F.col("_s.parts")).alias("header_path"), F.col("_s.parts").alias("header_parts"), F.col("_s.start").alias("line_start"), F.col("_s.end").alias("line_end"), F.col("_s.body").alias("text"))
     return d.where(F.col("text").rlike(r"(?U)\S"))
 
 
@@ -119,24 +127,24 @@ def chunk_rows(sections: list[dict], settings: Settings, handlers: dict) -> list
     return S.merge(out, size)
 
 
-def chunks(docs: DataFrame, settings: Settings = Settings(), handlers: dict | None = None) -> DataFrame:
+def chunks(docs: DataFrame, settings: Settings = Settings(), handlers: dict | None = None, before=None) -> DataFrame:
     """docs(file_path, file_name, file_size, text) to chunks: sections, blocks, splits and merges of a document in one
-    narrow map, since none of them looks beyond the document. chunk_id: file_path#number. handlers: splitters by type."""
+    narrow Arrow map, since none of them looks beyond the document. chunk_id: file_path#number. handlers: splitters by
+    type; before: a function of (text, file_name) that is applied first, cleaning for example."""
     handlers = {**S.HANDLERS, **(handlers or {})}
-    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-    text = F.coalesce("text", F.lit(""))
-    d = docs.select("file_path", "file_name", "file_size", split_lines(text).alias("lines"), F.transform(section_array(text), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), header_path(s["parts"]).alias("path"))).alias("parts"))
-
-    def run(frames):
-        for f in frames:
-            rows = []
-            for r in f.to_dict("records"):
-                found = [{"text": t, "line_start": int(s["start"]), "header_path": s["path"]} for s in r["parts"] if (t := "\n".join(r["lines"][s["start"]:s["end"]])).strip()]
-                for k, c in enumerate(chunk_rows(found, settings, handlers)):
-                    rows.append({**c, "text": c["text"].strip(), "chunk_id": f"{r['file_path']}#{k}", "file_path": r["file_path"], "file_name": r["file_name"], "file_size": r["file_size"]})
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-
-    return d.mapInPandas(run, CHUNK_SCHEMA)
+    schema = pa.schema([(n, _ARROW[t]) for n, t in (c.split(" ", 1) for c in CHUNK_SCHEMA.split(", "))])
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                own, rows = b.slice(i, 256), []
+                for path, name, size, text in zip(*(own.column(c).to_pylist() for c in ("file_path", "file_name", "file_size", "text"))):
+                    text = before(text, name) if before and text is not None else text
+                    for k, c in enumerate(chunk_rows(S.sections(text or ""), settings, handlers)):
+                        rows.append({**c, "text": c["text"].strip(), "chunk_id": f"{path}#{k}", "file_path": path, "file_name": name, "file_size": size})
+                yield pa.record_batch([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+    return docs.select("file_path", "file_name", "file_size", "text").mapInArrow(run, CHUNK_SCHEMA)
 
 
 def with_links(nodes: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import cleaner, markdown, retrieval, rules
 from ..settings import Settings
@@ -11,10 +10,9 @@ from ..sources import io
 
 
 def chunk_table(docs: DataFrame, settings: Settings = Settings(), clean: bool = True) -> DataFrame:
-    """docs(file_path, file_name, file_size, text) to enriched chunks: one narrow chain, no shuffle."""
-    if clean:
-        docs = cleaner.clean(docs.select("file_path", "file_name", "file_size", "text")).withColumn("text", F.col("cleaned")).drop("cleaned")
-    return rules.enrich(markdown.chunks(docs, settings))
+    """docs(file_path, file_name, file_size, text) to enriched chunks: one narrow chain, no shuffle; texts are cleaned and cut
+    in the same Arrow map."""
+    return rules.enrich(markdown.chunks(docs, settings, before=cleaner.clean_file if clean else None))
 
 
 def build(spark: SparkSession, folder: str, out: str, settings: Settings = Settings(), embedder=retrieval.embed) -> DataFrame:
