@@ -7,8 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from .functions import routing, text as X
-from .operators import answer_cache, assets, cite, cleaner, lexicon, markdown, retrieval, rules, stats
+from .functions import prompts, routing, text as X
+from .functions import structure as S
+from .operators import answer_cache, assets, cite, cleaner, convert, lexicon, markdown, retrieval, rules, stats
 from .plans import build
 from .sources import io
 from .sources.views import CACHE, KB, LINES, cache, kb, sections_sql, table
@@ -108,22 +109,65 @@ def c13(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(cleaner.list_spacing(lines), "\n").alias("out"))
 
 
-@query("c1_clean")
-def c1(spark, sf_dir):
-    return cleaner.clean(kb(spark, sf_dir)).select("file_path", "cleaned")
+_LETTER = r"\p{L}\p{N}_"
 
 
-@query("c5_wrap_code")
-def c5(spark, sf_dir):
-    return kb(spark, sf_dir).select("file_path", cleaner.wrap_code(F.col("text")).alias("out"))
+def _re2(pattern: str) -> str:
+    r"""A pattern of ours for DuckDB: its \w and \b know ASCII only."""
+    pattern = pattern.replace(r"[\w", f"[{_LETTER}").replace(r"\w", f"[{_LETTER}]").replace(r"\bclass)\b", rf"\bclass)(?:$|[^{_LETTER}])").replace(r"\b", rf"(?:^|[^{_LETTER}])")
+    return pattern.replace("'", "''")
 
 
-@query("c6_code_like")
+def _any(patterns, flags: str = "") -> str:
+    return f"regexp_matches(s, '{flags}" + "|".join(f"(?:{_re2(p)})" for p in patterns) + "')"
+
+
+_PAIR = "(instr(s, '{0}') > 0 AND instr(substr(s, instr(s, '{0}') + 2), '{0}') > 0 AND substr(s, instr(s, '{0}') + 2, 1) <> ' ' AND substr(s, instr(s, '{0}') + instr(substr(s, instr(s, '{0}') + 2), '{0}'), 1) <> ' ')"
+_LIKE = (
+    f"(s <> '' AND NOT {_PAIR.format('**')} AND NOT {_PAIR.format('==')} AND NOT {_any(S.NOT_CODE)} AND ({_any((*S.CODE_WORDS, *S.CODE_SIGNS))} OR {_any((*S.SQL_WORDS, *S.CODE_SIGNS_ANY_CASE), '(?i)')} "
+    + f"OR regexp_matches(s, '^[{_LETTER}]+\\s*=\\s*.+') OR len(regexp_extract_all(s, '\\S+')) <= 5 AND regexp_matches(s, '^[{_LETTER}]+\\s*:\\s*\\S+') OR length(s) - length(translate(s, '{{}}', '')) >= 2 "
+    + r"OR regexp_matches(s, ';\s*$') AND NOT ends_with(s, ';;') AND " + _any((r"[=()]|\b(?:if|for|while|return|def|class)\b".replace(r"class)\b", r"class)"),)) + "))"
+)
+
+
+# the view has no ideographs, so the SQL leaves their rules out
+@query("c6_code_like", f"WITH {KB}, {LINES} SELECT file_path, n::INT AS n, line FROM (SELECT *, ltrim(line) AS s FROM l) WHERE {_LIKE}")
 def c6(spark, sf_dir):
     lines = kb(spark, sf_dir).select("file_path", F.posexplode(markdown.split_lines(F.col("text"))).alias("n", "line"))
     return lines.withColumn("code", cleaner.code_like(F.col("line"))).where("code").select("file_path", "n", "line")
 
 
+_SYNTAX = r"regexp_matches(s, '^!\[.*\]\(.*\)|^\[[^\]]+\]\([^)]+\)|^#{2,6}\s+|^[-*+]\s+|^\d+[.)]\s+|^\|(.*\|)?$|^>')"
+_LEAVES = r"regexp_matches(s, '^#{2,6}\s+|^[-*+]\s+|^\d+[.)]\s+|^\|(?:.*\|)?$|^```|^!\[.*\]\(.*\)|^\[[^\]]+\]\([^)]+\)')"
+_STAYS = r"""regexp_matches(s, '[(){}"'';=<>\[\]]|^#\s+|^//|^/\*')"""
+_SQL_BEFORE = r"regexp_matches(upper(lag(line) OVER (PARTITION BY file_path ORDER BY n)), '(?:^|[^\p{L}\p{N}_])(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)(?:$|[^\p{L}\p{N}_])')"
+#: Lines of a view, each with run (is it in a run of code?), the run before and after it, and fenced.
+_RUNS = (
+    "fl AS (SELECT file_path, n, line, ltrim(line) AS s, coalesce(count(CASE WHEN regexp_matches(line, '^[ \\t]{0,3}```') THEN 1 END) OVER (PARTITION BY file_path ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced FROM l), "
+    f"sg AS (SELECT *, {_LIKE} AND NOT {_SYNTAX} AS starts, s = '' OR NOT {_PAIR.format('**')} AND NOT {_PAIR.format('==')} AND NOT {_LEAVES} AND ({_STAYS} OR coalesce({_SQL_BEFORE}, false)) AS goes FROM fl), "
+    "rn AS (SELECT file_path, n, line, fenced, NOT fenced AND starts AS run FROM sg WHERE n = 0 UNION ALL SELECT sg.file_path, sg.n, sg.line, sg.fenced, NOT sg.fenced AND (rn.run AND goes OR starts) FROM rn JOIN sg ON sg.file_path = rn.file_path AND sg.n = rn.n + 1), "
+    "ru AS (SELECT *, coalesce(lag(run) OVER w, false) AS before, coalesce(lead(run) OVER w, false) AS after FROM rn WINDOW w AS (PARTITION BY file_path ORDER BY n)), "
+    f"ol AS (SELECT file_path, n, 0 AS k, '```' AS line, false AS code FROM ru WHERE run AND NOT before UNION ALL SELECT file_path, n, 1, CASE WHEN run OR fenced THEN {_UNESCAPE.format('line')} ELSE line END, run OR fenced FROM ru UNION ALL SELECT file_path, n, 2, '```', false FROM ru WHERE run AND NOT after)"
+)
+
+
+@query("c5_wrap_code", f"WITH RECURSIVE {KB}, {LINES}, {_RUNS} SELECT file_path, string_agg(line, chr(10) ORDER BY n, k) AS out FROM ol GROUP BY file_path")
+def c5(spark, sf_dir):
+    return kb(spark, sf_dir).select("file_path", cleaner.wrap_code(F.col("text")).alias("out"))
+
+
+# all files of the view have a title, so the SQL puts none in front
+@query(
+    "c1_clean",
+    f"WITH RECURSIVE {KB}, kn AS (SELECT file_path, {_NORM.format('text')} AS text FROM kb), {LINES.replace('FROM kb', 'FROM kn')}, {_RUNS}, "
+    "rs AS (SELECT file_path, n, k, code, regexp_replace(line, '\\s+$', '') AS line FROM ol), sp AS (SELECT *, lag(line, 1, '') OVER (PARTITION BY file_path ORDER BY n, k) AS p FROM rs), "
+    f"jo AS (SELECT file_path, string_agg(CASE WHEN NOT code AND regexp_matches(line, {_ITEM}) AND p <> '' AND NOT regexp_matches(p, {_ITEM}) THEN chr(10) || line ELSE line END, chr(10) ORDER BY n, k) AS t FROM sp GROUP BY file_path) "
+    "SELECT file_path, " + _TRIM.format("regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g')") + " || chr(10) AS cleaned FROM jo",
+)
+def c1(spark, sf_dir):
+    return cleaner.clean(kb(spark, sf_dir)).select("file_path", "cleaned")
+
+
 column("c9_bare_cjk", "kb", "file_path", cleaner.bare_cjk, "regexp_matches(regexp_replace(text, '(?s)\"[^\"]*\"|''[^'']*(''|$)|#[^\\n]*', ' ', 'g'), '[一-鿿]')")
 
 _IMAGES = "concat('![', lang, '](img', chr(92), 'a.png) ', text, ' ![x](http://h/y.png)')"
@@ -215,17 +259,22 @@ def p2(spark, sf_dir):
     return stats.length_stats(markdown.sections(kb(spark, sf_dir))).select(F.col("min_length").cast("long").alias("min_length"), F.col("max_length").cast("long").alias("max_length"), "n")
 
 
-_BLOCKS = "b AS (SELECT file_path, header_path, line_start, string_split(text, chr(10)) AS a FROM s), x AS (SELECT file_path, header_path, line_start, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS i FROM b), y AS (SELECT *, CASE WHEN header_path LIKE '%/Facts/' THEN 'table' WHEN header_path LIKE '%/Code/' THEN 'code' ELSE 'text' END AS type FROM x), z AS (SELECT file_path, header_path, type, min(line_start + i) AS line_start, max(line_start + i) + 1 AS line_end FROM y WHERE regexp_matches(line, '\\S') GROUP BY file_path, header_path, type)"
+_PARTS = (
+    "b2 AS (SELECT *, string_split(text, chr(10)) AS a FROM s), x2 AS (SELECT file_path, header_path, line_start, line_end, unnest(a) AS line, unnest(range(len(a)::BIGINT)) AS i FROM b2), "
+    "y2 AS (SELECT *, CASE WHEN header_path LIKE '%/Facts/' THEN 'table' WHEN header_path LIKE '%/Code/' THEN 'code' ELSE 'text' END AS type FROM x2), "
+    "f2 AS (SELECT file_path, header_path, type, min(i) AS f, max(i) AS m FROM y2 WHERE regexp_matches(line, '\\S') GROUP BY ALL), "
+    "bl AS (SELECT file_path, header_path, type, string_agg(line, chr(10) ORDER BY i) FILTER (i >= f + (type = 'code')::INT AND (type = 'text' OR i <= m - (type = 'code')::INT)) AS text, min(line_start + f)::INT AS line_start, min(CASE type WHEN 'text' THEN line_end ELSE line_start + m + 1 END)::INT AS line_end, CASE WHEN type = 'code' THEN 'json' END AS code_language FROM y2 JOIN f2 USING (file_path, header_path, type) GROUP BY ALL)"
+)
 
 
-@query("p3_blocks")
+@query("p3_blocks", sections_sql(f", {_PARTS} SELECT * FROM bl").replace(" , b2", ", b2"))
 def p3(spark, sf_dir):
     return markdown.blocks(markdown.sections(kb(spark, sf_dir)))
 
 
-@query("p3_structured_blocks", sections_sql(f", {_BLOCKS} SELECT file_path, header_path, type, line_start, line_end FROM z WHERE type <> 'text'").replace(" , b AS", ", b AS"))
+@query("p3_structured_blocks", sections_sql(f", {_PARTS} SELECT file_path, header_path, type, line_start::BIGINT AS line_start, line_end::BIGINT AS line_end FROM bl WHERE type <> 'text'").replace(" , b2", ", b2"))
 def p3_structured(spark, sf_dir):
-    b = markdown.blocks(markdown.sections(kb(spark, sf_dir))).where("type in ('table', 'code') and header_path rlike '/(Facts|Code)/$'")
+    b = markdown.blocks(markdown.sections(kb(spark, sf_dir))).where("type <> 'text'")
     return b.select("file_path", "header_path", "type", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
@@ -237,48 +286,95 @@ _PACK = (
 )
 
 
-@query("p4_text_nodes", sections_sql(_PACK).replace("WITH ", "WITH RECURSIVE ", 1))
+#: tn: text packed to nodes; bl: blocks as they are; pc: what the splitters make of all nodes.
+_TN = _PACK.replace("SELECT file_path, header_path, string_agg(line, chr(10) ORDER BY i) AS text,", ", tn AS (SELECT file_path, header_path, string_agg(line, chr(10) ORDER BY i) AS text,") + f"), {_PARTS}"
+_PC = (
+    _TN + ", pc AS (SELECT *, 'text' AS type FROM tn UNION ALL SELECT file_path, header_path, '【表格 第 1-2 行，共 2 行】' || chr(10) || chr(10) || text, line_start + 2, line_end, type FROM bl WHERE type = 'table' "
+    "UNION ALL SELECT file_path, header_path, '```json' || chr(10) || text || chr(10) || '```', line_start, line_end, type FROM bl WHERE type = 'code')"
+)
+
+
+def _tree(rest: str) -> str:
+    return sections_sql(rest).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _all_nodes(spark, sf_dir):
+    return markdown.text_nodes(markdown.sections(kb(spark, sf_dir)))
+
+
+_PLACE = ("cast(line_start as long) as line_start", "cast(line_end as long) as line_end")
+
+
+@query("p4_text_nodes", _tree(_TN + " SELECT file_path, header_path, 'text' AS type, text, line_start, line_end FROM tn UNION ALL SELECT file_path, header_path, type, text, line_start, line_end FROM bl WHERE type <> 'text'"))
 def p4(spark, sf_dir):
-    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir))).where("type = 'text' and not header_path rlike '/(Facts|Code)/$'")
-    return n.select("file_path", "header_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    return _all_nodes(spark, sf_dir).selectExpr("file_path", "header_path", "type", "text", *_PLACE)
 
 
-@query("k2_text_split", sections_sql(_PACK).replace("WITH ", "WITH RECURSIVE ", 1))
+@query("k2_text_split", _tree(_PC + " SELECT file_path, header_path, type, text, line_start, line_end FROM pc"))
 def k2(spark, sf_dir):
-    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir))).where("type = 'text' and not header_path rlike '/(Facts|Code)/$'")
-    return markdown.split_nodes(n).select("file_path", "header_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    return markdown.split_nodes(_all_nodes(spark, sf_dir)).selectExpr("file_path", "header_path", "type", "text", *_PLACE)
 
 
 def _pieces(spark, sf_dir, kind):
-    nodes = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)).where(F.col("header_path").rlike(f"/{'Facts' if kind == 'table' else 'Code'}/$")))
-    return markdown.split_nodes(nodes.where(F.col("type") == kind)).select("file_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+    return markdown.split_nodes(_all_nodes(spark, sf_dir).where(F.col("type") == kind)).selectExpr("file_path", "text", *_PLACE)
 
 
-@query("k3_table_split", sections_sql("SELECT file_path, '【表格 第 1-2 行，共 2 行】' || chr(10) || chr(10) || trim(text, chr(10)) AS text, line_start + 3 AS line_start, line_start + 5 AS line_end FROM s WHERE header_path LIKE '%/Facts/'"))
+@query("k3_table_split", _tree(_PC + " SELECT file_path, text, line_start, line_end FROM pc WHERE type = 'table'"))
 def k3(spark, sf_dir):
     return _pieces(spark, sf_dir, "table")
 
 
-@query("k4_code_split", sections_sql("SELECT file_path, trim(text, chr(10)) AS text, line_start + 1 AS line_start, line_start + 4 AS line_end FROM s WHERE header_path LIKE '%/Code/'"))
+@query("k4_code_split", _tree(_PC + " SELECT file_path, text, line_start, line_end FROM pc WHERE type = 'code'"))
 def k4(spark, sf_dir):
     return _pieces(spark, sf_dir, "code")
 
 
-@query("k7_merge")
-def k7(spark, sf_dir):
-    n = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)))
-    return markdown.merge_nodes(n).select("file_path", "header_path", "line_start", "line_end", "merged_chunks", F.array_join("block_types", "|").alias("block_types"), "text")
+@query("k1_pass_through", _tree(_PC + " SELECT type, count(*) AS n, sum(length(text))::BIGINT AS size FROM (SELECT type, text FROM pc WHERE type <> 'table' UNION ALL SELECT type, text FROM bl WHERE type = 'table') GROUP BY type"))
+def k1(spark, sf_dir):
+    """A caller's handler for a type takes the place of the splitter; here tables pass."""
+    pieces = markdown.split_nodes(_all_nodes(spark, sf_dir), handlers={"table": lambda n, size: [n]})
+    return pieces.groupBy("type").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("size"))
 
 
-@query("k1_pass_through", sections_sql("SELECT header_path, count(*) AS n FROM s WHERE header_path LIKE '%/Facts/' GROUP BY header_path"))
-def k1(spark, sf_dir):
-    nodes = markdown.text_nodes(markdown.sections(kb(spark, sf_dir)).where("header_path like '%/Facts/'"))
-    return markdown.split_nodes(nodes, handlers={"table": lambda n, size: [n]}).groupBy("header_path").agg(F.count("*").alias("n"))
+def _large(spark, sf_dir, kind):
+    """A file for each user with a table or a block of code of all their events, and its pieces."""
+    e = F.col("e")
+    row = F.concat(F.lit("| "), e["id"].cast("string"), F.lit(" | "), e["type"], F.lit(" |")) if kind == "table" else F.concat(F.lit("select "), e["id"].cast("string"), F.lit(" -- "), e["type"])
+    t = table(spark, sf_dir, "events").select("user_id", F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type")).alias("e"))
+    t = t.select("user_id", "e.id", row.alias("line")).groupBy("user_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "line"))), lambda x: x["line"]), "\n").alias("lines"))
+    head, tail = ("# G\n\n| event | type |\n|--|--|\n", "") if kind == "table" else ("# G\n\n```sql\n", "\n```")
+    docs = t.select(F.col("user_id").cast("string").alias("file_path"), F.concat(F.lit(head), "lines", F.lit(tail)).alias("text"))
+    pieces = markdown.split_nodes(markdown.text_nodes(markdown.sections(docs)).where(F.col("type") == kind))
+    return pieces.select("file_path", "text", F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+def _greedy(row: str, base: int, most: int) -> str:
+    """Rows of a user's events in order, and which piece each is in: a piece ends before the row that would bring it over."""
+    return (
+        f"e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n, {row} AS line FROM events), "
+        f"z AS (SELECT user_id, k, n, line, {base} + 1 + length(line) AS have, 1::BIGINT AS piece FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, e.n, e.line, CASE WHEN z.have + 1 + length(e.line) > {most} THEN {base} ELSE z.have END + 1 + length(e.line), z.piece + (z.have + 1 + length(e.line) > {most})::INT FROM z JOIN e ON e.user_id = z.user_id AND e.k = z.k + 1), "
+        "g AS (SELECT user_id, piece, min(n) AS n, min(k) AS a, max(k) AS b, string_agg(line, chr(10) ORDER BY k) AS body FROM z GROUP BY user_id, piece)"
+    )
 
 
-@query("p5_node_stats")
+@query("k3_row_split", "WITH RECURSIVE " + _greedy("'| ' || event_id || ' | ' || event_type || ' |'", 24, 1300) + " SELECT user_id::VARCHAR AS file_path, '【表格 第 ' || a || '-' || b || ' 行，共 ' || n || ' 行】' || chr(10) || chr(10) || '| event | type |' || chr(10) || '|--|--|' || chr(10) || body AS text, 3 + a AS line_start, 4 + b AS line_end FROM g")
+def k3_rows(spark, sf_dir):
+    return _large(spark, sf_dir, "table")
+
+
+@query("k4_line_split", "WITH RECURSIVE " + _greedy("'select ' || event_id || ' -- ' || event_type", 0, 1000) + ", w AS (SELECT user_id, min(n) AS n, sum(length(line) + 1) - 1 AS size, string_agg(line, chr(10) ORDER BY k) AS body FROM z GROUP BY user_id) SELECT g.user_id::VARCHAR AS file_path, '【代码块 第 ' || a || '-' || b || ' 行，共 ' || n || ' 行】' || chr(10) || '```sql' || chr(10) || g.body || chr(10) || '```' AS text, 2 + a AS line_start, 3 + b AS line_end FROM g JOIN (SELECT user_id FROM w WHERE size > 1500) USING (user_id) UNION ALL SELECT user_id::VARCHAR, '```sql' || chr(10) || body || chr(10) || '```', 2, n + 4 FROM w WHERE size <= 1500")
+def k4_lines(spark, sf_dir):
+    return _large(spark, sf_dir, "code")
+
+
+@query("k7_merge")
+def k7(spark, sf_dir):
+    return markdown.merge_nodes(_all_nodes(spark, sf_dir)).select("file_path", "header_path", "line_start", "line_end", "merged_chunks", F.array_join("block_types", "|").alias("block_types"), "text")
+
+
+@query("p5_node_stats", _tree(_TN + " SELECT min(length(text))::INT AS min_length, max(length(text))::INT AS max_length, count(*) AS n FROM (SELECT text FROM tn UNION ALL SELECT text FROM bl WHERE type <> 'text')"))
 def p5(spark, sf_dir):
-    return stats.length_stats(markdown.text_nodes(markdown.sections(kb(spark, sf_dir))))
+    return stats.length_stats(_all_nodes(spark, sf_dir))
 
 
 @query("k6_wrap_sections", sections_sql("SELECT file_path, '[SECTION]' || chr(10) || replace(trim(header_path, '/'), '/', ' > ') || chr(10) || chr(10) || '[CONTENT]' || chr(10) || text AS out FROM s"))
@@ -366,11 +462,16 @@ def a3(spark, sf_dir):
     return stats.length_stats(table(spark, sf_dir, "documents"))
 
 
-@query("a8_knowledge_hash", "WITH o AS (SELECT substr(md5(doc_id::varchar), 1, 3) AS b, md5(string_agg(l, chr(10) ORDER BY encode(l))) AS h FROM (SELECT doc_id, doc_id || ':' || source || ':' || n_chars AS l FROM documents) GROUP BY 1) SELECT md5(string_agg(h, chr(10) ORDER BY b)) AS knowledge_hash FROM o")
+@query("a8_knowledge_hash", "SELECT coalesce(md5(string_agg(doc_id || ':' || source || ':' || n_chars, chr(10) ORDER BY encode(doc_id::varchar))), 'empty') AS knowledge_hash FROM documents")
 def a8(spark, sf_dir):
     return stats.knowledge_hash(table(spark, sf_dir, "documents"), ("doc_id", "source", "n_chars"))
 
 
+@query("a8_blocked_hash", "WITH o AS (SELECT substr(md5(doc_id::varchar), 1, 3) AS b, md5(string_agg(l, chr(10) ORDER BY encode(l))) AS h FROM (SELECT doc_id, doc_id || ':' || source || ':' || n_chars AS l FROM documents) GROUP BY 1) SELECT md5(string_agg(h, chr(10) ORDER BY b)) AS knowledge_hash FROM o")
+def a8_blocked(spark, sf_dir):
+    return stats.blocked_hash(table(spark, sf_dir, "documents"), ("doc_id", "source", "n_chars"))
+
+
 @query("a6_usage_totals", "SELECT conv_id AS question_id, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS rewrite_prompt, 0::BIGINT AS rewrite_completion, 0::BIGINT AS answer_prompt, sum(CASE WHEN role <> 'user' THEN length(text) // 2 ELSE 0 END)::BIGINT AS answer_completion, sum(CASE WHEN role = 'user' THEN length(text) ELSE 0 END)::BIGINT AS total_prompt, sum(CASE WHEN role <> 'user' THEN length(text) // 2 ELSE 0 END)::BIGINT AS total_completion FROM conversations GROUP BY conv_id")
 def a6(spark, sf_dir):
     user = F.col("role") == "user"
@@ -512,9 +613,10 @@ def r11(spark, sf_dir):
     return retrieval.context(_bm25(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))
 
 
-@query("r12_embed")
+@query("r12_embed", "WITH w AS (SELECT doc_id, md5(unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'))) AS h FROM documents), v AS (SELECT doc_id, (('0x' || substr(h, 1, 8))::BIGINT % 64)::INT AS dim, sum(CASE WHEN substr(h, 9, 1) >= '8' THEN -1 ELSE 1 END)::DOUBLE AS x FROM w GROUP BY ALL), n AS (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS norm FROM v) SELECT doc_id, dim, round((x / greatest(norm, 1e-12))::FLOAT::DOUBLE, 3) AS value FROM n WHERE x <> 0")
 def r12(spark, sf_dir):
-    return retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.transform("embedding", lambda x: F.round(x, 4).cast("string")), ",").alias("embedding"))
+    e = retrieval.embed(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.posexplode("embedding").alias("dim", "x"))
+    return e.where("x <> 0").select("doc_id", "dim", F.round(F.col("x").cast("double"), 3).alias("value"))
 
 
 @query("term_df", f"WITH {_TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
@@ -544,6 +646,22 @@ def d1(spark, sf_dir):
     return m.select("question_id", F.array_join(item, " ").alias("matches"))
 
 
+_OVERLAP = "concat('Is ', p_brand, ' ', p_type, ' a ', p_type, ' or ', p_brand)"
+
+
+@query("d2_longest_first", "SELECT p_partkey AS question_id, lower(p_brand || ' ' || p_type) || ':3 ' || lower(p_type) || ':' || (length(p_brand || p_type) + 7) AS matches FROM part")
+def d2(spark, sf_dir):
+    """Keys that lie within other keys: brand and type, and both of them together. A key that is no plain word (Brand#1)
+    counts at its first place only, which the longer key has taken."""
+    p = table(spark, sf_dir, "part")
+    keys = [F.col("p_brand"), F.col("p_type"), F.concat_ws(" ", "p_brand", "p_type")]
+    lines = p.select(F.explode(F.array(*[F.concat_ws("\t", k, F.lit("x")) for k in keys])).alias("value"), F.col("p_partkey").alias("seq"))
+    d = io.dictionary(lines).groupBy("key").agg(F.min("seq").alias("seq"))
+    m = lexicon.match(p.select(F.col("p_partkey").alias("question_id"), F.expr(_OVERLAP).alias("text")), d)
+    item = F.transform(F.array_sort(F.transform("matches", lambda x: F.struct(x["start"].alias("start"), x["key"].alias("key")))), lambda x: F.concat(x["key"], F.lit(":"), x["start"].cast("string")))
+    return m.select("question_id", F.array_join(item, " ").alias("matches"))
+
+
 @query("d3_coverage", "SELECT p_partkey AS question_id, round((length(p_brand) + length(p_type))::DOUBLE / length(p_brand || ' is it ' || p_type), 6) AS coverage, (length(p_brand) + length(p_type))::DOUBLE / length(p_brand || ' is it ' || p_type) >= 0.5 AS hit FROM part")
 def d3(spark, sf_dir):
     q, d = _lexicon(spark, sf_dir)
@@ -612,9 +730,9 @@ def q7(spark, sf_dir):
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id").select("vec_id", F.round(X.cosine(F.col("embedding"), F.col("b")), 6).alias("score"))
 
 
-@query("q8_cache_lookup", f"WITH {CACHE}, r AS (SELECT * FROM cache WHERE knowledge_hash = 'h1' ORDER BY id DESC LIMIT 1000), q AS (SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 'intro' ELSE 'steps' END AS p FROM embeddings WHERE vec_id % 50 < 2), s AS (SELECT query_id, id, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM q JOIN r ON r.presentation_intent = q.p), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS b FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5 AND b >= 0.3")
+@query("q8_cache_lookup", f"WITH {CACHE}, r AS (SELECT * FROM cache WHERE knowledge_hash = 'h1' ORDER BY id DESC LIMIT 1000), q AS (SELECT vec_id AS query_id, embedding, CASE WHEN vec_id % 2 = 0 THEN 'intro' ELSE 'steps' END AS p FROM embeddings), s AS (SELECT query_id, id, round(list_cosine_similarity(r.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score FROM q JOIN r ON r.presentation_intent = q.p), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id DESC)::INT AS rank, max(score) OVER (PARTITION BY query_id) AS b FROM s) SELECT query_id, id, score, rank FROM k WHERE rank <= 5 AND b >= 0.3")
 def q8(spark, sf_dir):
-    q = table(spark, sf_dir, "embeddings").where("vec_id % 50 < 2").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, "intro").otherwise("steps").alias("presentation_intent"))
+    q = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding", F.when(F.col("vec_id") % 2 == 0, "intro").otherwise("steps").alias("presentation_intent"))
     return answer_cache.lookup(cache(spark, sf_dir), q, "h1", threshold=0.3)
 
 
@@ -688,9 +806,10 @@ def f4(spark, sf_dir):
     return cite.reference_lines(_cited(spark, sf_dir))
 
 
-@query("a5_cited_files", f"WITH {_CITED} SELECT query_id, file_path, min(file_name) AS file_name, min(rank) AS rank, string_agg(line_start || '-' || line_end, ',' ORDER BY rank) AS hits FROM ci GROUP BY query_id, file_path")
+@query("a5_cited_files", f"WITH {_CITED} SELECT query_id, file_name, arg_min(lang || '/' || file_path, rank) AS file_path, min(rank) AS rank, string_agg(line_start || '-' || line_end, ',' ORDER BY rank) AS hits FROM ci GROUP BY query_id, file_name")
 def a5(spark, sf_dir):
-    return cite.files(_cited(spark, sf_dir)).withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start"].cast("string"), h["end"].cast("string"))), ","))
+    nodes = _cited(spark, sf_dir).withColumn("file_path", F.concat_ws("/", F.col("block_types")[0], "file_path"))
+    return cite.files(nodes).withColumn("hits", F.array_join(F.transform("hits", lambda h: F.concat_ws("-", h["start"].cast("string"), h["end"].cast("string"))), ","))
 
 
 @query("a12_numbered_files", f"WITH {_CITED}, f AS (SELECT query_id, file_path, min(rank) AS first FROM ci GROUP BY query_id, file_path) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first, file_path)::INT AS number FROM f")
@@ -739,9 +858,9 @@ def o2(spark, sf_dir):
     return assets.new_names(i).select(F.col("seq").alias("doc_id"), "new_path")
 
 
-@query("o3_meaningful", "SELECT doc_id, n_chars >= 120 AND doc_id % 300 >= 80 AND n_chars::DOUBLE / (doc_id % 300) BETWEEN 0.1 AND 10 AS ok FROM documents WHERE doc_id % 300 > 0")
+@query("o3_meaningful", "SELECT doc_id, n_chars >= 120 AND doc_id % 300 >= 80 AND coalesce(n_chars::DOUBLE / nullif(doc_id % 300, 0) BETWEEN 0.1 AND 10, false) AS ok FROM documents")
 def o3(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 300 > 0")
+    d = table(spark, sf_dir, "documents")
     return d.select("doc_id", assets.meaningful(F.col("n_chars"), F.col("doc_id") % 300).alias("ok"))
 
 
@@ -778,6 +897,16 @@ def a9(spark, sf_dir):
     return assets.run_counters(_captioned(spark, sf_dir))
 
 
+@query("v2_markdown")
+def v2(spark, sf_dir):
+    return convert.markdown(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown")
+
+
+@query("x3_prompt", "SELECT conv_id, turn, 'Q: ' || text || ' {' || role || '}' AS prompt FROM conversations")
+def x3(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", prompts.fill("Q: {question} {{{who}}}", question=F.col("text"), who=F.col("role")).alias("prompt"))
+
+
 @query("v3_safe_links", "SELECT page_id, url FROM pages UNION ALL SELECT page_id, 'http://h:<p>' || page_id FROM pages")
 def v3(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

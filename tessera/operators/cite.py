@@ -46,9 +46,10 @@ def reference_lines(nodes: DataFrame) -> DataFrame:
 
 
 def files(nodes: DataFrame) -> DataFrame:
-    """query_id, file_path, file_name, first rank and hits: one row a cited file (by path, so equal names stay apart)."""
+    """query_id, file_name, file_path, first rank and hits: one row a cited file by its name; the path is that of the best
+    ranked node of the name."""
     hits = F.transform(F.sort_array(F.collect_list(F.struct("rank", "line_start", "line_end"))), lambda x: F.struct(x["line_start"].alias("start"), x["line_end"].alias("end")))
-    return nodes.groupBy("query_id", "file_path").agg(F.min("file_name").alias("file_name"), F.min("rank").alias("rank"), hits.alias("hits"))
+    return nodes.groupBy("query_id", "file_name").agg(F.min_by("file_path", F.struct("rank", "file_path")).alias("file_path"), F.min("rank").alias("rank"), hits.alias("hits"))
 
 
 def numbered_files(nodes: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +28,28 @@ def length_stats(nodes: DataFrame) -> DataFrame:
     return nodes.agg(F.min(n).alias("min_length"), F.max(n).alias("max_length"), F.count("*").alias("n"))
 
 
-def knowledge_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified"), digits: int = 3) -> DataFrame:
-    """One hash of a collection's files: of their sorted lines path:size:time, hashed by 16**digits blocks of the path first, so
-    that no task sees all lines. Without files: "empty"."""
+def knowledge_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified")) -> DataFrame:
+    """md5 of a collection's lines path:size:time in order of path (by its parts), joined by line ends. Without files: "empty".
+
+    Lines are sorted by Spark; one task then streams over them, since such a hash is sequential, and holds one batch.
+    """
+    line = F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
+    lines = files.select(F.split(F.col(parts[0]).cast("string"), "/").alias("path"), line.alias("l"))
+
+    def run(batches):
+        h, n = hashlib.md5(usedforsecurity=False), 0
+        for b in batches:
+            for x in b.column("l"):
+                h.update(("\n" * (n > 0) + x.as_py()).encode())
+                n += 1
+        yield pa.record_batch([pa.array([h.hexdigest() if n else "empty"])], ["knowledge_hash"])
+
+    return lines.orderBy("path", "l").coalesce(1).select("l").mapInArrow(run, "knowledge_hash string")
+
+
+def blocked_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified"), digits: int = 3) -> DataFrame:
+    """A hash of the same lines that no task computes alone: of their sorted blocks, by 16**digits hashes of the path. It tells
+    collections apart as knowledge_hash() does, with another value. Without files: "empty"."""
     line = F.concat_ws(":", *[F.col(p).cast("string") for p in parts])
     each = files.select(line.alias("l"), F.substring(F.md5(F.col(parts[0]).cast("string")), 1, digits).alias("b"))
     own = each.groupBy("b").agg(F.md5(F.array_join(F.sort_array(F.collect_list("l")), "\n")).alias("h"))
