@@ -42,9 +42,9 @@ def knowledge_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "fil
             for x in b.column("l"):
                 h.update(("\n" * (n > 0) + x.as_py()).encode())
                 n += 1
-        yield pa.record_batch([pa.array([h.hexdigest() if n else "empty"])], ["knowledge_hash"])
+        yield pa.record_batch([pa.array([h.hexdigest()] if n else [], pa.string())], ["h"])
 
-    return lines.orderBy("path", "l").coalesce(1).select("l").mapInArrow(run, "knowledge_hash string")
+    return lines.orderBy("path", "l").coalesce(1).select("l").mapInArrow(run, "h string").agg(F.coalesce(F.max("h"), F.lit("empty")).alias("knowledge_hash"))
 
 
 def blocked_hash(files: DataFrame, parts: tuple[str, ...] = ("file_path", "file_size", "modified"), digits: int = 3) -> DataFrame:

@@ -14,9 +14,10 @@ CHUNK_SCHEMA = (
 
 
 def markdown(spark: SparkSession, folder: str) -> DataFrame:
-    """One row a *.md file below folder: file_path, file_name, file_size, modified, text. A folder without any gives no rows."""
+    """One row a *.md file below folder: file_path, file_name, file_size, modified, text. Files of no bytes and
+    folders without any give no rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(folder)
-    return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), F.make_valid_utf8(F.decode("content", "UTF-8")).alias("text"))
+    return files.select(F.col("path").alias("file_path"), F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def office_files(spark: SparkSession, folder: str) -> DataFrame:
