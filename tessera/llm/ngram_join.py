@@ -123,17 +123,17 @@ def links(docs: DataFrame, scratch: Scratch, k: int, per_cent: int, block: int =
                 yield pa.record_batch([pa.array(np.concatenate(h).view(np.int64)), pa.array(np.concatenate(node)), pa.array(np.concatenate(size))], ["h", "node", "n"])
 
     entries = docs.select("text").mapInArrow(prefix, "h long, node long, n int")
-    columns = scratch.save(entries.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("h", F.col("low").alias("pivot")))
+    columns = entries.groupBy("h").agg(F.min(F.struct("node", "n")).alias("low"), F.max("node").alias("high")).where("low.node <> high")
+    columns = scratch.save(columns.select("h", F.col("low.node").alias("pivot"), F.col("low.n").alias("pivot_n")))
     # columns of one node are out; equal sets are one entry
-    shared = scratch.save(entries.join(columns, "h").groupBy("h", "node", "n", "pivot").count().drop("count"))
+    shared = scratch.save(entries.join(columns, "h").groupBy("h", "node", "n", "pivot", "pivot_n").count().drop("count"))
     scratch.release()
-    nodes = rows.where("n > 0").groupBy("node", "n").agg(F.min("row").alias("row"))
-    met = shared.where("node <> pivot").groupBy("node", "pivot", "n").agg(F.count("*").alias("c"))
+    nodes = scratch.save(rows.where("n > 0").groupBy("node", "n").agg(F.min("row").alias("row")))
+    met = shared.where("node <> pivot").groupBy("node", "n", "pivot", "pivot_n").agg(F.count("*").alias("c"))
     # a column whose least node comes before the pivot may hold the pivot too, one whose least node comes after can't
     upto = F.sum("c").over(Window.partitionBy("node").orderBy("pivot").rowsBetween(Window.unboundedPreceding, 0))
-    met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), upto.alias("c"))
-    sizes = nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"))
-    pairs = met.join(sizes, "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.col("c") >= needed(per_cent))).select("a", "b")
+    met = met.select(F.col("node").alias("a"), F.col("pivot").alias("b"), F.col("n").alias("na"), F.col("pivot_n").alias("nb"), upto.alias("c"))
+    pairs = scratch.save(met.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * per_cent) & (F.col("c") >= needed(per_cent))).select("a", "b"))
     edges = scratch.save(multiply(pairs, nodes, docs, scratch, k, per_cent))
     labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     scratch.release()
@@ -238,7 +238,7 @@ def multiply(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     Pairs are dealt to blocks of rows: those of one b, at most `block` or so together. A block gets its texts once
     each; a task holds one block's sets.
     """
-    pairs = scratch.save(_blocks(pairs, block))
+    pairs = scratch.save(_blocks(pairs, scratch, block))
     needs = pairs.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
     rows = needs.join(nodes.select("node", "row"), "node")
     texts = docs.select("row", "text").join(rows.groupBy("row").agg(F.collect_set(F.struct("block", "node")).alias("to")), "row").dropDuplicates(["row"])
@@ -263,9 +263,10 @@ def multiply(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, scratch: Scrat
     return pairs.groupBy("block").cogroup(texts.groupBy("block")).applyInArrow(work, "a long, b long")
 
 
-def _blocks(pairs: DataFrame, block: int) -> DataFrame:
-    """Pairs of one b in ceil(pairs / block) blocks by a hash of a."""
-    count = pairs.groupBy("b").agg(F.ceil(F.count("*") / block).alias("parts"))
+def _blocks(pairs: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """Pairs of one b in ceil(pairs / block) blocks by a hash of a. The counts are written first, so that Spark can split
+    the join where one b has many."""
+    count = scratch.save(pairs.groupBy("b").agg(F.ceil(F.count("*") / block).alias("parts")))
     return pairs.join(count, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.col("parts"))).alias("block"))
 
 
