@@ -127,6 +127,7 @@ def settle(root: Node) -> Node:
         x.shape = hash((x.tag, tuple(k.shape for k in below)))
         x.count = 1 + sum(k.count for k in below)
         x.text = sum(len(k.strip()) for k in x.kids if isinstance(k, str)) + sum(k.text for k in below if not k.off)
+        x.parent = None  # a tree without cycles is freed where its last use ends
     return root
 
 
