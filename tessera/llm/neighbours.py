@@ -96,21 +96,26 @@ def gaussian(dim: int, lines: int, seed: int = 11) -> np.ndarray:
     return np.random.RandomState(seed).standard_normal((dim, lines))
 
 
-def stack(v: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(v), np.float64).reshape(len(v), -1)
+def stack(v: pa.BinaryArray) -> np.ndarray:
+    """Vectors of one length as rows of a matrix."""
+    at = np.frombuffer(v.buffers()[1], np.int32)[v.offset:v.offset + len(v) + 1]
+    return np.frombuffer(v.buffers()[2], np.uint8)[at[0]:at[-1]].view(np.float64).reshape(len(v), -1)
 
 
-def collide(x: np.ndarray, y: np.ndarray, p: np.ndarray, r: np.ndarray, half: int, least: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of x and y that collide in `least` windows or more and whose cosine holds. p, r: projections in steps."""
-    count = np.zeros((len(x), len(y)), np.uint8)
-    for k in range(p.shape[1]):
-        count += (p[:, k, None] - r[None, :, k] + np.int16(half)).view(np.uint16) <= np.uint16(2 * half)
-    i, j = np.nonzero(count >= least)
-    if len(i) * 8 > count.size:
-        good = (x @ y.T)[i, j] >= cosine
-    else:
-        good = np.concatenate([np.einsum("ij,ij->i", x[i[s:s + 65536]], y[j[s:s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
-    return i[good], j[good]
+def collisions(p: np.ndarray, r: np.ndarray, half: int) -> np.ndarray:
+    """In how many windows of half width `half` around p[..., i, :] the points r[..., j, :] lie, for all i and j."""
+    shape = (*p.shape[:-1], r.shape[-2])
+    count, gap, hit = np.zeros(shape, np.uint8), np.empty(shape, np.int16), np.empty(shape, bool)
+    p, low = np.ascontiguousarray(np.moveaxis(p, -1, 0)), np.ascontiguousarray(np.moveaxis(r, -1, 0)) - np.int16(half)
+    for k in range(len(p)):  # a gap below the window wraps round to a large number
+        np.subtract(p[k][..., :, None], low[k][..., None, :], out=gap)
+        np.less_equal(gap.view(np.uint16), np.uint16(2 * half), out=hit)
+        np.add(count, hit.view(np.uint8), out=count)
+    return count
+
+
+def near(x: np.ndarray, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
+    return np.concatenate([np.einsum("ij,ij->i", x[i[s:s + 65536]], x[j[s:s + 65536]]) for s in range(0, len(i), 65536)] or [np.zeros(0)]) >= cosine
 
 
 def met(x: np.ndarray, left: np.ndarray, right: np.ndarray, p: np.ndarray, half: int, reach: int, least: int, cosine: float):
@@ -123,18 +128,41 @@ def met(x: np.ndarray, left: np.ndarray, right: np.ndarray, p: np.ndarray, half:
     left = left[np.argsort(p[left, 0], kind="stable")]
     right = left if same else right[np.argsort(p[right, 0], kind="stable")]
     line = p[right, 0].astype(np.int32)
-    for s in range(0, len(left), 256):
-        own = left[s:s + 256]
-        first, last = int(p[own[0], 0]) - reach, int(p[own[-1], 0]) + reach
-        a, b = (s if same else int(np.searchsorted(line, first))), int(np.searchsorted(line, last, "right"))
-        for c in range(a, b, 1024):
-            other = right[c:min(b, c + 1024)]
-            i, j = collide(x[own], x[other], p[own], p[other], half, least, cosine)
+    for s in range(0, len(left), 128):
+        own = left[s:s + 128]
+        a, b = (s if same else int(np.searchsorted(line, int(p[own[0], 0]) - reach))), int(np.searchsorted(line, int(p[own[-1], 0]) + reach, "right"))
+        for c in range(a, b, 512):
+            other = right[c:min(b, c + 512)]
+            i, j = np.nonzero(collisions(p[own], p[other], half) >= least)
             if same:
                 later = j + c > i + s
                 i, j = i[later], j[later]
+            if len(i) * 8 > len(own) * len(other):
+                good = (x[own] @ x[other].T)[i, j] >= cosine
+                i, j = own[i[good]], other[j[good]]
+            else:
+                i, j = own[i], other[j]
+                good = near(x, i, j, cosine)
+                i, j = i[good], j[good]
             if len(i):
-                yield own[i], other[j]
+                yield i, j
+
+
+def within(x: np.ndarray, order: np.ndarray, starts: np.ndarray, sizes: np.ndarray, p: np.ndarray, half: int, reach: int, least: int, cosine: float, most: int = 64):
+    """Blocks of linked pairs of x within cells order[start:start + size]; small cells of one size at a time, as one array."""
+    for start, size in zip(starts[sizes > most].tolist(), sizes[sizes > most].tolist()):
+        own = order[start:start + size]
+        yield from met(x, own, own, p, half, reach, least, cosine)
+    for size in np.unique(sizes[(sizes > 1) & (sizes <= most)]).tolist():
+        own, step = starts[sizes == size], max(1, (1 << 18) // (size * size))
+        later = np.triu(np.ones((size, size), bool), 1)
+        for c in range(0, len(own), step):
+            rows = order[own[c:c + step, None] + np.arange(size)]
+            k, i, j = np.nonzero((collisions(p[rows], p[rows], half) >= least) & later)
+            i, j = rows[k, i], rows[k, j]
+            good = near(x, i, j, cosine)
+            if good.any():
+                yield i[good], j[good]
 
 
 def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int = 24, window: float = 1.58, recall: float = 0.9995, rows: int = 2048) -> DataFrame:
@@ -147,7 +175,8 @@ def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int
     table in which it shares a cell. With probability `recall` each, a pair at the threshold shares a cell and has the count;
     closer pairs more often.
 
-    Small cells are dealt to tasks of about `rows` vectors; a cell of more is cut into blocks, which meet two at a time.
+    Vectors go to the cells' tasks in one shuffle. Small cells are dealt to tasks of about `rows` vectors; a cell of
+    more is cut into blocks, which meet two at a time.
     So a task is bounded whatever the data; it returns links a vector and a spanning forest, never pairs. Equal vectors
     are one. Work grows with n * tables where nothing is alike, and with the square of a group of near copies only,
     since n_links counts its pairs.
@@ -169,37 +198,42 @@ def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int
 
     flat = scratch.save(vectors.select("vec_id", "embedding").mapInArrow(units, "vec_id long, v binary").select("vec_id", "v", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("node")))
     unique = scratch.save(flat.where("v is not null").groupBy("node").agg(F.first("v").alias("v"), F.min("vec_id").alias("low"), F.count("*").alias("copies")))
-    cells = plan(unique.count(), cosine, recall)
+    n = unique.count()
+    cells = plan(n, cosine, recall)
 
-    def place(batches):
+    def place(batches, whole=False):
+        """(cell, t) of each vector in each table, with node or with all that pairs need."""
         for b in batches:
-            for s in range(0, b.num_rows, 4096):
-                own = b.slice(s, 4096)
-                node, v = own.column("node").to_numpy(), own.column("v")
-                dims = pc.binary_length(v).to_numpy(zero_copy_only=False)
+            for s in range(0, b.num_rows, 1024):
+                own = b.slice(s, 1024)
+                dims = pc.binary_length(own.column("v")).to_numpy(zero_copy_only=False)
                 for dim in np.unique(dims):
-                    at = np.flatnonzero(dims == dim)
-                    codes = cells.codes(stack(v.take(pa.array(at)).to_pylist()))
-                    yield pa.record_batch([pa.array(codes.T.ravel()), pa.array(np.repeat(np.arange(cells.tables, dtype=np.int32), len(at))), pa.array(np.tile(node[at], cells.tables))], ["cell", "t", "node"])
-
-    placed = scratch.save(unique.select("node", "v").mapInArrow(place, "cell long, t int, node long"))
-    held = scratch.save(placed.groupBy("cell").agg(F.count("*").alias("c")).where("c > 1"))
-    packs = max(1, round((held.where(F.col("c") <= rows).agg(F.sum("c")).first()[0] or 0) / rows))
-    small, parts = F.col("c") <= rows, F.ceil(F.col("c") / rows).cast("int")
-    to = placed.join(held, "cell").select("node", F.struct("cell", "t", F.when(small, 1).otherwise(parts).alias("parts")).alias("to"))
-    wide = unique.select("node", "v", "copies").join(to.groupBy("node").agg(F.collect_list("to").alias("to")), "node")
-    wide = wide.select("node", "v", "copies", F.explode("to").alias("to")).select("node", "v", "copies", "to.*").withColumn("block", F.pmod(F.col("node"), F.col("parts")).cast("int"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("cell"), F.lit(packs))).otherwise(F.col("cell"))
-    wide = wide.select("node", "v", "copies", "cell", "t", "block", (F.col("parts") > 1).alias("cut"), pack.alias("pack"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+                    part = own.take(pa.array(np.flatnonzero(dims == dim)))
+                    codes = cells.codes(stack(part.column("v")))
+                    for t in range(cells.tables):
+                        out = {"cell": pa.array(codes[:, t]), "t": pa.array(np.full(part.num_rows, t, np.int32))}
+                        yield pa.record_batch(out | ({c: part.column(c) for c in ("node", "copies", "v")} if whole else {}))
+
+    def place_whole(batches):
+        yield from place(batches, True)
+
+    packs = max(1, round(n * cells.tables / rows))
+    large = unique.select("v").mapInArrow(place, "cell long, t int").groupBy("cell").agg(F.count("*").alias("c")).where(F.col("c") > rows)
+    large = scratch.save(large.select("cell", F.ceil(F.col("c") / rows).cast("int").alias("parts")))
+    wide = unique.select("node", "copies", "v").mapInArrow(place_whole, "cell long, t int, node long, copies long, v binary").join(large, "cell", "left")
+    cut = F.col("parts").isNotNull()
+    wide = wide.withColumn("block", F.when(cut, F.pmod(F.col("node"), F.col("parts"))).otherwise(0).cast("int"))
+    wide = wide.withColumn("other", F.explode(F.when(cut, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(0)))))
+    pack = F.when(cut, F.col("cell")).otherwise(F.pmod(F.xxhash64("cell"), F.lit(packs)))
+    wide = wide.select("node", "v", "copies", "cell", "t", "block", cut.alias("cut"), pack.alias("pack"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def work(key, own):
         node, copies = own.column("node").to_numpy(), own.column("copies").to_numpy()
-        cell, block, t = own.column("cell").to_numpy(), own.column("block").to_numpy(), own.column("t").to_numpy()
-        v = own.column("v").combine_chunks()
+        v, dims = own.column("v").combine_chunks(), pc.binary_length(own.column("v")).to_numpy()
         who, one, spot = np.unique(node, return_index=True, return_inverse=True)
         many = copies[one]
         links, parent = np.zeros(len(who), np.int64), list(range(len(who)))
+        label = np.arange(len(who))
 
         def root(x):
             while parent[x] != x:
@@ -207,27 +241,23 @@ def link(vectors: DataFrame, scratch: Scratch, cosine: float = 0.95, lines: int
                 x = parent[x]
             return x
 
-        label = np.arange(len(who))
-        order = np.argsort(cell, kind="stable")
-        ends = np.append(np.flatnonzero(np.diff(cell[order])) + 1, len(order))
-        for a, b in zip(np.concatenate([[0], ends[:-1]]), ends):
-            at = order[a:b]
-            if len(at) < 2:
-                continue
-            x = stack(v.take(pa.array(at)).to_pylist())
+        for dim in np.unique(dims):
+            at = np.flatnonzero(dims == dim)
+            part = own.take(pa.array(at))
+            x, t, cell = stack(v.take(pa.array(at))), part.column("t").to_numpy(), part.column("cell").to_numpy()
             p = np.round(np.clip(x @ gaussian(x.shape[1], lines) / step, -12000, 12000)).astype(np.int16)
-            left = np.arange(len(at))
-            right = left
             if key[1].as_py() and key[2].as_py() != key[3].as_py():
-                left, right = np.flatnonzero(block[at] == key[2].as_py()), np.flatnonzero(block[at] == key[3].as_py())
+                block = part.column("block").to_numpy()
+                pairs = met(x, np.flatnonzero(block == key[2].as_py()), np.flatnonzero(block == key[3].as_py()), p, 400, reach, least, cosine)
+            else:
+                order = np.argsort(cell, kind="stable")
+                starts = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) != 0]))
+                pairs = within(x, order, starts, np.diff(starts, append=len(order)), p, 400, reach, least, cosine)
             codes = None
-            for i, j in met(x, left, right, p, 400, reach, least, cosine):
-                if codes is None:
-                    codes = cells.codes(x)
-                for before in range(int(t[at[0]])):
-                    new = codes[i, before] != codes[j, before]
-                    i, j = i[new], j[new]
-                i, j = spot[at[i]], spot[at[j]]
+            for i, j in pairs:
+                codes = cells.codes(x) if codes is None else codes
+                first = np.argmax(codes[i] == codes[j], axis=1) == t[i]  # each pair in the first table that has it
+                i, j = spot[at[i[first]]], spot[at[j[first]]]
                 links += np.bincount(i, weights=many[j], minlength=len(who)).astype(np.int64) + np.bincount(j, weights=many[i], minlength=len(who)).astype(np.int64)
                 new = label[i] != label[j]
                 if new.any():
