@@ -166,11 +166,13 @@ def dedup(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int =
     return out.select(*own, n.alias("n_lines"), removed.alias("n_removed"))
 
 
-def drop_repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int = 8, length: str = "n_chars") -> DataFrame:
-    """docs with text as in dedup() and exactly their columns. A row that loses all its lines goes; one that was null or
-    empty before stays. Column `length`, if there is one, is brought up to date where lines went."""
+def drop_repeats(docs: DataFrame, scratch: Scratch, shortest: int = 3, edit_from: int = 8, length: str = "n_chars", least_share: float = 0.1) -> DataFrame:
+    """docs with text as in dedup() and exactly their columns. A row goes if its lines that stay hold less than
+    `least_share` of its words (all its lines are repeats, or it is a copy but for a line or two); one that loses no line
+    stays. Column `length`, if there is one, is brought up to date where lines went."""
+    words = lambda c: F.regexp_count(c, F.lit(r"[^\x20\x09-\x0D]+"))
     out, kept = _kept(docs, scratch, shortest, edit_from)
-    out = out.select("d", "gone", kept.alias("kept")).where("gone is null or kept <> ''")
+    out = out.select("d", "gone", kept.alias("kept")).where(F.when(F.col("gone").isNull(), True).otherwise((F.col("kept") != "") & (words(F.col("kept")) >= least_share * words(F.col("d.text")))))
     new = {"text": F.col("kept")} | ({length: F.when(F.col("gone").isNull(), F.col(f"d.`{length}`")).otherwise(F.length("kept")).cast(docs.schema[length].dataType)} if length in docs.columns else {})
     return out.select(*[new.get(c, F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
 

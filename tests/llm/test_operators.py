@@ -517,6 +517,14 @@ def test_line_edges(spark, scratch):
     assert lines.dedup(frame(spark, []), scratch).count() == 0
 
 
+def test_remnants_of_copies_go(spark, scratch):
+    text = "\n".join(" ".join(f"w{i}x{k}" for k in range(9)) for i in range(12))
+    rows = [(1, text), (2, text + "\nthree new words"), (3, text + "\n" + "own " * 20), (4, text), (5, None), (6, ""), (7, "a b")]
+    got = {r.doc_id: (r.text, r.n_chars) for r in lines.drop_repeats(frame(spark, rows), scratch).collect()}
+    assert got == {1: (text, len(text)), 3: ("own " * 20, 80), 5: (None, None), 6: ("", 0), 7: ("a b", 3)}
+    assert {r.doc_id for r in lines.drop_repeats(frame(spark, rows), scratch, least_share=0.0).collect()} == {1, 2, 3, 5, 6, 7}
+
+
 def test_within_one():
     r = random.Random(0)
     for _ in range(3000):

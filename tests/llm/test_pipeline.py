@@ -41,7 +41,8 @@ def plain(spark, folder):
     verdict = toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
     toxic = {r.doc_id for r in verdict.where("toxic").collect()}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id not in toxic}
-    kept = {i: t for i, t in brute.line_dedup(rows).items() if t or not rows[i]}
+    left = lambda i, t: t == rows[i] or t and len(brute.words(t)) >= 0.1 * len(brute.words(rows[i]))
+    kept = {i: t for i, t in brute.line_dedup(rows).items() if left(i, t)}
     classes = brute.ngram_classes(kept, 5, 80)
     kept = {i: t for i, t in kept.items() if classes[i][1] == i}
     items = [decontaminate.normal(r.text) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
