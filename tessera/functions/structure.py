@@ -274,7 +274,7 @@ def code_like(line: str) -> bool:
     if _CODE.search(s) or _CODE_ANY_CASE.search(s):
         return True
     plain = not _HAS_CJK.search(s)
-    return (
+    return (  # fixed values: the signs that count only together with others
         plain and bool(re.match(r"\w+\s*=\s*.+", s))
         or plain and len(s.split()) <= 5 and bool(re.match(r"\w+\s*:\s*\S+", s))
         or s.count("{") + s.count("}") >= 2 and cjk_share(s) < 0.3
@@ -359,41 +359,60 @@ def clean(text: str, stem: str | None = None) -> str:
     return re.sub("\n{3,}", "\n\n", text).strip() + "\n"
 
 
+_RULE = re.compile(r"[\s|:-]*-[\s|:-]*")
+
+
+def line_kinds(lines: list[str]) -> list[str]:
+    """What a line is to a reader: code (fences too), blank, heading, rule (of a table), row, item or text."""
+    out, fence = [], None
+    for line in lines:
+        m, s = re.match(r"^\s*(`{3,}|~{3,})", line), line.strip()
+        if m or fence:
+            out.append("code")
+            if m and fence in (None, m[1][0]):
+                fence = None if fence else m[1][0]
+        elif s.startswith("|"):
+            out.append("rule" if line.count("|") > 1 and all("-" in c for c in s.split("|") if c.strip()) and _RULE.fullmatch(s) else "row")
+        else:
+            out.append("heading" if s.startswith("#") else "item" if _LIST.match(line) else "text" if s else "blank")
+    return out
+
+
+def _marked_row(line: str, anchor: bool) -> str:
+    row = "|"
+    for cell in line.split("|")[1:-1]:
+        text = cell.strip()
+        row += f' <mark{" id=" + chr(34) + "first-hit" + chr(34) if anchor else ""}>{text}</mark> |' if text else " |"
+        anchor = anchor and not text
+    return row
+
+
+def _marked_item(line: str, anchor: bool) -> str:
+    mark, text = _LIST.match(line).groups()
+    return f"{mark}=={text}==" + "<mark id='first-hit'/>" * anchor
+
+
+def _marked_text(line: str, anchor: bool) -> str:
+    return f"=={line}==" + ' <mark id="first-hit"/>' * anchor
+
+
+_MARKED = {"row": _marked_row, "item": _marked_item, "text": _marked_text}
+
+
 def highlight(text: str, hits: list[tuple[int, int]]) -> str:
-    """Marks the lines of hit ranges [start, end): text and list items by ==, table cells by <mark>; code, blank lines and
-    headings stay. The first mark gets the anchor first-hit."""
+    """Marks the lines of hit ranges [start, end): text and list items by ==, table cells by <mark>; code, blank lines, headings
+    and rules of tables stay. The first mark gets the anchor first-hit, and a marked list a blank line before it."""
+    lines = text.splitlines()
+    out, anchor = [], True
     wanted = {i for a, b in hits for i in range(a, b)}
-    out, fence, first = [], None, True
-    for i, line in enumerate(text.splitlines()):
-        m = re.match(r"^\s*(`{3,}|~{3,})", line)
-        if m:
-            fence = m[1][0] if fence is None else None if m[1][0] == fence else fence
+    for i, (line, kind) in enumerate(zip(lines, line_kinds(lines))):
+        if i not in wanted or kind not in _MARKED:
             out.append(line)
             continue
-        s = line.strip()
-        if fence or i not in wanted or not s or s.startswith("#"):
-            out.append(line)
-            continue
-        item = _LIST.match(line)
-        if s.startswith("|"):
-            cells = line.split("|")
-            filled = [c.strip() for c in cells if c.strip()]
-            if len(cells) > 2 and all(set(c) <= set("- :") and "-" in c for c in filled):
-                out.append(line)
-                continue
-            row = "|"
-            for c in cells[1:-1]:
-                row += f' <mark{" id=" + chr(34) + "first-hit" + chr(34) if first else ""}>{c.strip()}</mark> |' if c.strip() else " |"
-                first = first and not c.strip()
-            out.append(row)
-            continue
-        if item:
-            if out and out[-1].strip() and not _LIST.match(out[-1]):
-                out.append("")
-            out.append(f"{item[1]}=={item[2]}==" + ("<mark id='first-hit'/>" if first else ""))
-        else:
-            out.append(f"=={line}==" + (' <mark id="first-hit"/>' if first else ""))
-        first = False
+        if kind == "item" and out and out[-1].strip() and not _LIST.match(out[-1]):
+            out.append("")
+        out.append(_MARKED[kind](line, anchor))
+        anchor = anchor and kind == "row" and "<mark" not in out[-1]
     return "\n".join(out)
 
 

@@ -27,10 +27,21 @@ def meaningful(width: Column, height: Column) -> Column:
 
 @F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
 def dimensions(content: pd.Series) -> pd.DataFrame:
-    """Width and height from the header of a PNG or JPEG; null for anything else."""
+    """Width and height from the header of a PNG, JPEG, GIF, BMP or WebP image; null for anything else."""
     def one(b):
         if b is None:
             return None, None
+        low = lambda at, n: int.from_bytes(b[at:at + n], "little")
+        if b[:6] in (b"GIF87a", b"GIF89a") and len(b) >= 10:
+            return low(6, 2), low(8, 2)
+        if b[:2] == b"BM" and len(b) >= 26:
+            return low(18, 4), abs(int.from_bytes(b[22:26], "little", signed=True))
+        if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and len(b) >= 30:
+            if b[12:16] == b"VP8X":
+                return low(24, 3) + 1, low(27, 3) + 1
+            if b[12:16] == b"VP8L":
+                return (low(21, 4) & 0x3FFF) + 1, (low(21, 4) >> 14 & 0x3FFF) + 1
+            return low(26, 2) & 0x3FFF, low(28, 2) & 0x3FFF
         if b[:8] == b"\x89PNG\r\n\x1a\n" and len(b) >= 24:
             return int.from_bytes(b[16:20], "big"), int.from_bytes(b[20:24], "big")
         i = 2

@@ -105,6 +105,14 @@ def test_office_files_and_images(spark, tmp_path):
     part = lambda k, d: struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d))
     png = b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", 300, 90, 8, 0, 0, 0, 0)) + part(b"IDAT", zlib.compress(b"\0" * 301 * 90)) + part(b"IEND", b"")
     (tmp_path / "i.png").write_bytes(png)
+    heads = {
+        "i.png": png, "g": b"GIF89a" + struct.pack("<HH", 300, 90), "b": b"BM" + bytes(16) + struct.pack("<ii", 300, -90), "x": b"RIFF    WEBPVP8X" + bytes(8) + (299).to_bytes(3, "little") + (89).to_bytes(3, "little"),
+        "l": b"RIFF    WEBPVP8L" + bytes(4) + b"\x2f" + (299 | 89 << 14).to_bytes(4, "little") + bytes(9), "v": b"RIFF    WEBPVP8 " + bytes(10) + struct.pack("<HH", 300, 90),
+        "j": b"\xff\xd8\xff\xe0" + struct.pack(">H", 4) + bytes(2) + b"\xff\xc0" + struct.pack(">HBHH", 11, 8, 90, 300) + bytes(9), "n": b"text", "z": b"",
+    }
+    d = spark.createDataFrame([(k, bytearray(v)) for k, v in heads.items()] + [("null", None)], "name string, content binary")
+    got = {r.name: r.d and (r.d.width, r.d.height) for r in d.select("name", assets.dimensions("content").alias("d")).collect()}
+    assert {k for k, v in got.items() if v == (300, 90)} == {"i.png", "g", "b", "x", "l", "v", "j"} and all(got[k] in (None, (None, None)) for k in ("n", "z", "null"))
     assert io.images(spark, str(tmp_path)).count() == 1
 
 
@@ -145,6 +153,17 @@ def test_prompts(spark):
     assert "Question:\nq\n" in got.a and got.a.endswith("Passages:\n") and '{"question_type": ""' in got.b and "{{" not in got.b
 
 
+def test_settings(spark):
+    """S11."""
+    spark.conf.set("tessera.chunk_size", "500")
+    try:
+        assert Settings.load(spark).chunk_size == 500 and Settings.load(spark).rrf_k == 60
+        with pytest.raises(ValueError, match="bm25_top_k"):
+            Settings.load(spark, ("chunk_size", "bm25_top_k"))
+    finally:
+        spark.conf.unset("tessera.chunk_size")
+
+
 def test_rules_from_a_file(tmp_path):
     """S8: the rules of a file replace the built-in ones."""
     path = tmp_path / "r.yaml"
