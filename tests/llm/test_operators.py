@@ -300,6 +300,48 @@ def test_quality(spark):
     assert (again.vectors == model.vectors).all()
 
 
+def plain_severity(model, text):
+    """Expected grade of one text, word by word."""
+    import numpy as np
+
+    low = (text or "").lower()
+    found = re.findall("[a-z\u0080-\U0010ffff]+", low)
+    if not found:
+        return 0.0
+    buckets = Counter()
+    for w in found:
+        data = w.encode()
+        buckets.update(toxicity.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[1].tolist())
+    s = sum(model.weights[b] * math.log2(1 + n) for b, n in buckets.items()) + model.length * math.log1p(len(found))
+    return sum(1 / (1 + math.exp(min(60, max(-60, t - s)))) for t in model.thresholds)
+
+
+def test_severity_is_that_of_the_plain_formula(spark):
+    """The whole query's scoring, long and odd texts too: as one text at a time gives it."""
+    rows, labels = labelled_rows()
+    docs = frame(spark, [*rows, (900, None), (901, ""), (902, "!!! 1"), (903, "vilent " * 30000), (904, "ÀÉ vilent\nrotten")])
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(texts) and all(abs(r.severity - plain_severity(model, texts[r.doc_id])) < 1e-6 and r.toxic == (r.severity >= 0.5) for r in got)
+
+
+def test_quality_scores_are_those_of_the_plain_model(spark):
+    """Mean of the vectors of all features of a text, softmax; as one text at a time gives it. Empty documents table too."""
+    import numpy as np
+
+    rows, labels = labelled_rows()
+    docs = frame(spark, [*rows[:60], (900, None), (901, ""), (902, "é " * 40000)])
+    model = quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    for r in quality.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect():
+        data = (r.text or "").encode()
+        ids = np.concatenate([b for b, _ in quality.features(np.frombuffer(data, np.uint8), np.array([0, len(data)]))])
+        h = model.vectors[ids].mean(0) if len(ids) else np.zeros(model.vectors.shape[1])
+        z = h @ model.out + model.bias
+        assert abs(r.score - np.exp(z[1]) / np.exp(z).sum()) < 1e-4
+    assert quality.score(docs.limit(0), model).count() == 0
+
+
 # ---------------------------------------------------------------- 4
 
 
@@ -569,6 +611,24 @@ def test_decontamination(spark):
     assert decontaminate.find(docs, bench.limit(0)).count() == 0 and decontaminate.find(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_query(spark, tmp_path):
+    """op8's rows against edit distances, with a very long document and items that are too short for q-grams."""
+    r = random.Random(16)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(n))
+    items = [(i, text(20)) for i in range(6)] + [(90, "tiny")]
+    rows = [(i, text(30) + (" " + items[i % 6][1] if i % 2 else "") + " " + text(5)) for i in range(40)] + [(50, text(9000) + " " + items[2][1] + " " + text(20)), (51, None), (52, ""), (53, " tiny"), (54, "not tiny")]
+    frame(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(x.doc_id, x.item_id): x.edits for x in catalog.op8_decontamination(spark, str(tmp_path)).collect()}
+    want = {(53, 90): 0, (50, 2): 0}
+    for i, t in rows[:40]:
+        for k, item in items[:6]:
+            n = brute.edit_places(item, decontaminate.normal(t))
+            if n <= min(int(0.08 * len(item)), (len(item) - 10) // 10):
+                want[i, k] = n
+    assert got == want and len(want) >= 22
+
+
 # ---------------------------------------------------------------- 9
 
 
