@@ -46,6 +46,11 @@ class Scratch:
                 p = jvm.org.apache.hadoop.fs.Path(f)
                 p.getFileSystem(conf).delete(p, True)
 
+    def clear(self) -> None:
+        """Delete all tables of this scratch: for callers, once the results that read them are written."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+
     def release(self) -> None:
         """Let Spark's cleaner delete shuffle files of finished, unreferenced plans."""
         gc.collect()

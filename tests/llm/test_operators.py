@@ -74,6 +74,16 @@ def test_components(spark, scratch):
     assert components(spark.createDataFrame([], "u long, v long"), scratch).count() == 0
 
 
+def test_scratch_can_be_cleared(spark):
+    import os
+
+    own = Scratch(spark, "clear")
+    own.save(spark.range(3))
+    assert own.save(spark.range(3)).count() == 3 and os.path.isdir(own.root)
+    own.clear()
+    assert not os.path.exists(own.root)
+
+
 # ---------------------------------------------------------------- 1
 
 
