@@ -341,8 +341,8 @@ def region(root: Node, constant: set[int], means: dict[int, float] | None = None
 
     A node counts by the letters that the layout's pages have in its slot on average (means), without them by its own
     letters; constant nodes and what is set apart don't count, article and main elements count SAID times. The way
-    goes on to the child with three quarters of it. Where no child has as much, article elements below that have a
-    quarter together are it, else the node. Where nothing varies (no other page, or only copies), all text counts.
+    goes on to the child with three quarters of it, and headings before that child come along; it ends at an article or main
+    element. Where no child has as much, article elements below that have a quarter together are it, else the node. Where nothing varies (no other page, or only copies), all text counts.
     """
     body, todo = root, [root]
     while todo:
@@ -361,27 +361,43 @@ def region(root: Node, constant: set[int], means: dict[int, float] | None = None
         n, todo = amount(x), [x]
         while n and todo:  # an article or main element below counts for the node above it too
             y = todo.pop()
-            if y.tag in ("article", "main") or "main" in y.label.split():
+            if y.tag == "article" or is_main(y):
                 n += (SAID - 1) * amount(y)
                 continue
             todo += [k for k in nodes(y) if not k.off and id(k) not in constant]
         return n
 
-    inside = body
+    def is_main(x: Node) -> bool:
+        return x.tag == "main" or "main" in x.label.split()
+
+    inside, heads = body, []
     while inside.tag != "article":
         live = [(said(k), k) for k in nodes(inside) if not k.off and id(k) not in constant]
         total = sum(n for n, _ in live) + sum(len(k.strip()) for k in inside.kids if isinstance(k, str))
-        top = max((p for p in live if p[1].tag in BLOCK), key=lambda p: p[0], default=(0, None))
-        if top[1] is not None and total and top[0] >= 0.75 * total:
-            if (top[1].tag in ("p", "li", "td") or _HEADING.fullmatch(top[1].tag)) and not _CONTENT.search(top[1].label):
+        told = [k for k in _articles(inside) if id(k) not in constant and varying(k, constant)]
+        at = max((i for i, p in enumerate(live) if p[1].tag in BLOCK), key=lambda i: live[i][0], default=None)
+        goes = at is not None and total and live[at][0] >= 0.75 * total
+        if goes and (not is_main(inside) or len(told) == 1 and _below(told[0], live[at][1])):
+            top = live[at][1]
+            if (top.tag in ("p", "li", "td") or _HEADING.fullmatch(top.tag)) and not _CONTENT.search(top.label):
                 break
-            inside = top[1]
+            heads += [k for _, k in live[:at] if _rank(k)]
+            inside = top
             continue
-        told = [k for k in _articles(inside) if id(k) not in constant and varying(k, constant)]
         if told and SAID * sum(map(amount, told)) >= 0.25 * total:
             return told
         break
-    return [inside]
+    return [inside] if inside.tag == "article" else [*heads, inside]
+
+
+def _below(x: Node, top: Node) -> bool:
+    todo = [top]
+    while todo:
+        y = todo.pop()
+        if y is x:
+            return True
+        todo += nodes(y)
+    return False
 
 
 def _articles(x: Node) -> list[Node]:
@@ -511,7 +527,7 @@ def main_text(page: Node, others: list[Node], votes: Votes | None = None, slots:
         known, means = {id(slots.base): pairs}, slots.means(pairs)
     constant = constant_nodes(page, others, votes, known) if others else set()
     tops = region(page, constant, means)
-    whole = tops[0].tag in ("body", "html", "#root")
+    whole = tops[-1].tag in ("body", "html", "#root")
     gone = constant if whole else template(tops, constant)
     return "\n".join(b for t in tops if whole or id(t) not in gone for b in blocks(t, gone))
 

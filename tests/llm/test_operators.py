@@ -413,6 +413,16 @@ def test_pages_by_what_slots_hold():
     assert sum(a != w for a, w in zip(alone, want)) >= 10
 
 
+def test_pages_keep_headings_beside_the_text():
+    """A title before the element that holds nearly all text, in main or in a plain node; main with an article in it."""
+    r = random.Random(17)
+    words = lambda n: " ".join(f"v{r.randrange(999)}" for _ in range(n))
+    for form in ("<main><h1>{h}</h1><div>{b}</div></main>", "<div><div><h1>{h}</h1></div><div>{b}</div></div>", "<main><p>Front</p><article><h1>{h}</h1>{b}</article><div>{c}</div></main>", "<main><div><h1>{h}</h1>{b}</div></main>"):
+        made = [(words(3), [words(20) for _ in range(3)], words(4)) for _ in range(8)]
+        html = [page("<div>Site</div>" + form.format(h=h, b="".join(f"<p>{x}</p>" for x in b), c=c) + "<div>Imprint</div>") for h, b, c in made]
+        assert pages.texts(html, 3) == ["\n".join([h, *b]) for h, b, _ in made], form
+
+
 def test_driver_pages_without_their_telling_names(spark):
     """The driver's pages as they are, and with article, nav, footer and class names taken away: the same texts."""
     import os
