@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import routing, text as X
+from ..functions import routing
 
 
 def recent(cache: DataFrame, knowledge_hash: str, most: int = 1000) -> DataFrame:
@@ -15,14 +18,37 @@ def recent(cache: DataFrame, knowledge_hash: str, most: int = 1000) -> DataFrame
 
 def lookup(cache: DataFrame, queries: DataFrame, knowledge_hash: str, threshold: float = 0.93, most: int = 1000, k: int = 5) -> DataFrame:
     """queries(query_id, embedding, presentation_intent): query_id, id, score, rank of the k nearest of the newest rows with
-    the same presentation, where the best reaches the threshold. `most` bounds the broadcast side."""
-    rows = recent(cache, knowledge_hash, most).select("id", F.col("embedding").alias("e"), F.col("presentation_intent").alias("p"))
-    pairs = queries.join(F.broadcast(rows), F.col("presentation_intent") == F.col("p"))
-    scored = pairs.select("query_id", "id", F.round(X.cosine(F.col("embedding"), F.col("e")), 6).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("id"))
-    ranked = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    best = F.max("score").over(Window.partitionBy("query_id"))
-    return ranked.withColumn("_b", best).where(F.col("_b") >= threshold).drop("_b")
+    the same presentation, where the best reaches the threshold.
+
+    The newest rows, `most` at most, go to the executors; a batch of queries is one matrix product and ranked where it is,
+    so nothing is shuffled. Null vectors and rows find nothing.
+    """
+    rows = [r for r in recent(cache, knowledge_hash, most).select("id", "embedding", "presentation_intent").collect() if r[1] is not None and r[2] is not None]
+    ids = np.array([r[0] for r in rows], np.int64)
+    v = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    norm = np.linalg.norm(v, axis=1)
+    v = v / np.where(norm > 0, norm, 1)[:, None]
+    by = {p: np.flatnonzero([r[2] == p for r in rows]) for p in {r[2] for r in rows}}
+    kind = dict(queries.dtypes)["query_id"]
+
+    def run(batches):
+        for b in batches:
+            b = b.filter(pc.and_(b.column("embedding").is_valid(), b.column("presentation_intent").is_valid()))
+            wanted = np.array(b.column("presentation_intent").to_pylist(), object)
+            for p, own in by.items():
+                at = np.flatnonzero(wanted == p)
+                if not len(at):
+                    continue
+                q = np.array(b.column("embedding").take(pa.array(at)).to_pylist(), np.float64)
+                size = np.linalg.norm(q, axis=1)
+                score = (q / np.where(size > 0, size, 1)[:, None] @ v[own].T).round(6)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # rows come newest first
+                top = np.take_along_axis(score, best, 1)
+                good = top[:, 0] >= threshold
+                n = best.shape[1]
+                yield pa.record_batch([b.column("query_id").take(pa.array(np.repeat(at[good], n))), pa.array(ids[own[best[good].ravel()]]), pa.array(top[good].ravel()), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), int(good.sum())))], ["query_id", "id", "score", "rank"])
+
+    return queries.select("query_id", "embedding", "presentation_intent").mapInArrow(run, f"query_id {kind}, id long, score double, rank int")
 
 
 def admit(answers: DataFrame) -> DataFrame:
