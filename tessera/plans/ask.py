@@ -23,7 +23,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, settin
     start = best.join(poor.select("query_id"), "query_id", "left_semi").where(F.col("rank") <= settings.rerank_min)
     extra = retrieval.supplement(chunks, poor.join(questions, "query_id"), start, settings.rerank_max)
     mixed = retrieval.splice(start, extra).join(chunks.select(*columns), "chunk_id")
-    return best.join(poor.select("query_id"), "query_id", "left_anti").select(*mixed.columns).unionByName(mixed)
+    return retrieval.together(best.join(poor.select("query_id"), "query_id", "left_anti").select(*mixed.columns), mixed)
 
 
 def ask(questions: DataFrame, dictionary: DataFrame, chunks: DataFrame, vectors: DataFrame, settings: Settings = Settings(), embedder=retrieval.embed, scorer: Column | None = None) -> DataFrame:
