@@ -187,8 +187,9 @@ def repeated(docs: DataFrame, scratch: Scratch, window: int = 35) -> DataFrame:
             yield pa.record_batch([pa.array(hashed(begin + offset, begin + offset + window).view(np.int64)), pa.array(offset, pa.int32()), *(flat[k].take(each) for k in ("key", "content", "copies"))], ["w", "offset", "key", "content", "copies"])
 
     each = scratch.save(ask.mapInArrow(windows, "w long, offset int, key long, content long, copies long"))
-    again = each.groupBy("w").agg(F.sum("copies").alias("total")).where("total > 1")
-    offsets = scratch.save(each.join(again, "w", "left_semi").groupBy("key", "content").agg(F.collect_list("offset").alias("offsets")))
+    # equal windows have one key, so key and window must both agree: 128 bits, as where stretches agree in key and content
+    again = each.groupBy("key", "w").agg(F.sum("copies").alias("total")).where("total > 1")
+    offsets = scratch.save(each.join(again, ["key", "w"], "left_semi").groupBy("key", "content").agg(F.collect_list("offset").alias("offsets")))
     span = lambda start, n: F.struct(start.cast("int").alias("start"), (start + n + (window - 1)).cast("int").alias("end"))
     whole = places.where("not mixed").select("row", span(F.col("first"), F.col("n")).alias("r"))
     some = places.where("mixed").join(offsets, ["key", "content"]).select("row", F.explode("offsets").alias("o"), "first").select("row", span(F.col("first") + F.col("o"), F.lit(1)).alias("r"))
