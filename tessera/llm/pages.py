@@ -351,41 +351,41 @@ def region(root: Node, constant: set[int], means: dict[int, float] | None = None
             body = x
             break
         todo += reversed(nodes(x))
-    if not varying(body, constant):
+    letters = varying(body, constant)
+    if not letters[id(body)]:
         constant = set()
-
-    def amount(x: Node) -> float:
-        return max((means or {}).get(id(x), 0), 1) if means and id(x) in means and varying(x, constant) else varying(x, constant)
-
-    def said(x: Node) -> float:
-        n, todo = amount(x), [x]
-        while n and todo:  # an article or main element below counts for the node above it too
-            y = todo.pop()
-            if y.tag == "article" or is_main(y):
-                n += (SAID - 1) * amount(y)
-                continue
-            todo += [k for k in nodes(y) if not k.off and id(k) not in constant]
-        return n
+        letters = varying(body, constant)
 
     def is_main(x: Node) -> bool:
         return x.tag == "main" or "main" in x.label.split()
 
+    def amount(x: Node) -> float:
+        n = letters[id(x)]
+        return max(means[id(x)], 1) if n and means and id(x) in means else n
+
+    told: dict[int, float] = {}  # what outermost article or main elements hold, for each node above them
+    order = [body]
+    for x in order:
+        order += [k for k in nodes(x) if id(k) in letters]
+    for x in reversed(order):
+        told[id(x)] = amount(x) if x.tag == "article" or is_main(x) else sum(told[id(k)] for k in nodes(x) if id(k) in letters)
+
     inside, heads = body, []
     while inside.tag != "article":
-        live = [(said(k), k) for k in nodes(inside) if not k.off and id(k) not in constant]
+        live = [(amount(k) + (SAID - 1) * told[id(k)], k) for k in nodes(inside) if id(k) in letters]
         total = sum(n for n, _ in live) + sum(len(k.strip()) for k in inside.kids if isinstance(k, str))
-        told = [k for k in _articles(inside) if id(k) not in constant and varying(k, constant)]
         at = max((i for i, p in enumerate(live) if p[1].tag in BLOCK), key=lambda i: live[i][0], default=None)
         goes = at is not None and total and live[at][0] >= 0.75 * total
-        if goes and (not is_main(inside) or len(told) == 1 and _below(told[0], live[at][1])):
+        articles = _articles(inside, letters) if not goes or is_main(inside) else []
+        if goes and (not is_main(inside) or len(articles) == 1 and _below(articles[0], live[at][1])):
             top = live[at][1]
             if (top.tag in ("p", "li", "td") or _HEADING.fullmatch(top.tag)) and not _CONTENT.search(top.label):
                 break
             heads += [k for _, k in live[:at] if _rank(k)]
             inside = top
             continue
-        if told and SAID * sum(map(amount, told)) >= 0.25 * total:
-            return told
+        if articles and SAID * sum(map(amount, articles)) >= 0.25 * total:
+            return articles
         break
     return [inside] if inside.tag == "article" else [*heads, inside]
 
@@ -400,12 +400,12 @@ def _below(x: Node, top: Node) -> bool:
     return False
 
 
-def _articles(x: Node) -> list[Node]:
-    """Outermost article elements below x that nothing sets apart, in page order."""
+def _articles(x: Node, letters: dict[int, int]) -> list[Node]:
+    """Outermost article elements with varying text below x, in page order."""
     out, todo = [], list(reversed(nodes(x)))
     while todo:
         y = todo.pop()
-        if y.off:
+        if not letters.get(id(y)):
             continue
         if y.tag == "article":
             out.append(y)
@@ -414,16 +414,15 @@ def _articles(x: Node) -> list[Node]:
     return out
 
 
-def varying(x: Node, constant: set[int]) -> int:
-    """Letters in text of x that alignment leaves as slots and that nothing marks as apart."""
-    total, todo = 0, [x]
-    while todo:
-        y = todo.pop()
-        if id(y) in constant or y is not x and y.off:
-            continue
-        total += sum(len(k.strip()) for k in y.kids if isinstance(k, str))
-        todo += nodes(y)
-    return total
+def varying(top: Node, constant: set[int]) -> dict[int, int]:
+    """For ids of top and of all nodes below it that neither alignment nor a label takes out: letters of such text in them."""
+    order = [top]
+    for x in order:
+        order += [k for k in nodes(x) if not k.off and id(k) not in constant]
+    out: dict[int, int] = {}
+    for x in reversed(order):
+        out[id(x)] = sum(len(k.strip()) if isinstance(k, str) else out.get(id(k), 0) for k in x.kids)
+    return out
 
 
 #: Elements that hold running text; one that pages share may be a shared sentence.
