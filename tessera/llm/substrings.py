@@ -67,28 +67,32 @@ def levels(h: np.ndarray, cuts: np.ndarray, rounds: int, longest: int):
         keep = first | np.repeat(~fits, count)
         run = np.repeat(np.where(fits, count, 1), count)[keep]
         ends = np.flatnonzero(np.concatenate([keep[1:], [True]]))
-        sure = (sure & np.repeat(fits, count))[keep]
+        at = np.flatnonzero(keep)
+        same = text[at][1:] == text[at][:-1]
+        lead, tail = np.concatenate([[True], ~same]), np.concatenate([~same, [True]])
+        edge = start[at[lead]] - 1, (start[ends] + size[ends])[tail] + 1
+        # that a run ends here is settled by the symbols next to it as they were, not by the runs that they are in
+        before, after = low[at - 1], high[np.minimum(ends + 1, n - 1)]
+        before[lead], after[tail] = edge
+        known = np.where(lead, True, sure[at - 1]) & np.where(tail, True, sure[np.minimum(ends + 1, n - 1)])
+        sure = (sure & np.repeat(fits, count))[keep] & known
         name, text = name[keep], text[keep]
-        start, low, high, size = start[keep], low[keep], high[ends], size[keep] * run
+        start, low, high, size = start[keep], np.minimum(low[at], before), np.maximum(high[ends], after), size[keep] * run
         name = np.where(run > 1, mix(name + run.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), name)
         n = len(name)
-        same = text[1:] == text[:-1]
-        edge = start[np.concatenate([[True], ~same])] - 1, (start + size)[np.concatenate([~same, [True]])] + 1
-        before, after = np.empty(n, np.int64), np.empty(n, np.int64)
-        before[1:], after[:-1] = low[:-1], high[1:]
-        before[np.concatenate([[True], ~same])], after[np.concatenate([~same, [True]])] = edge
-        low, high = np.minimum(low, before), np.maximum(high, after)
         right = (mix(name ^ np.uint64(0xA0761D6478BD642F * (r + 1) & (1 << 64) - 1)) >> np.uint64(63)).astype(bool)
         joins = same & ~right[:-1] & right[1:] & (size[:-1] + size[1:] <= longest)
         left = np.concatenate([joins, [False]])
         gone = np.concatenate([[False], joins])
         before, after = low.copy(), high.copy()
         before[1:], after[:-1] = low[:-1], high[1:]
-        before[np.concatenate([[True], ~same])], after[np.concatenate([~same, [True]])] = edge
+        before[lead], after[tail] = edge
         after_name = np.concatenate([name[1:], name[:1]])
         new_low = np.where(left | ~right, low, np.minimum(low, before))
         new_high = np.where(left, np.concatenate([high[1:], high[:1]]), np.where(right, high, np.maximum(high, after)))
-        sure = sure & (~left | np.concatenate([sure[1:], [False]]))
+        # a right symbol by itself hangs on the one before it, a left one on the one after it
+        known = np.where(right, np.concatenate([[True], sure[:-1] | ~same]), np.concatenate([sure[1:] | ~same, [True]]))
+        sure = sure & known
         name = np.where(left, mix(name * np.uint64(0xE7037ED1A0B428DB) + after_name), name)
         size = np.where(left, size + np.concatenate([size[1:], [0]]), size)
         keep = ~gone

@@ -660,6 +660,25 @@ def test_substrings(spark, scratch, window, seed, vocabulary):
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.s) for r in got), key=str) == sorted(brute.repeats(rows, window), key=str)
 
 
+@pytest.mark.parametrize("vocabulary", [2, 3, 6, 40])
+def test_equal_windows_hang_on_equal_symbols(vocabulary):
+    """Whatever stands around them: doubled words at a passage's ends, runs that are cut, texts that end there."""
+    import numpy as np
+
+    r = np.random.RandomState(vocabulary)
+    names = np.random.RandomState(0).randint(1, 1 << 62, vocabulary).astype(np.uint64)
+    for _ in range(150):
+        passages = [names[r.randint(0, vocabulary, r.randint(10, 60))] for _ in range(3)]
+        passages.append(np.repeat(names[r.randint(0, vocabulary, 8)], r.randint(1, 14, 8)))
+        texts = [np.concatenate([names[r.randint(0, vocabulary, r.randint(0, 6))] if r.rand() < 0.7 else passages[r.randint(4)] for _ in range(r.randint(1, 7))] + [passages[r.randint(4)]]) for _ in range(12)]
+        h, cuts = np.concatenate(texts), np.cumsum([0, *map(len, texts)])
+        _, first, n, key, _ = substrings.segments(h, cuts, 12)
+        seen = {}
+        for a, m, k in zip(first, n, key):
+            for i in range(a, a + m):
+                assert seen.setdefault(h[i:i + 12].tobytes(), k) == k
+
+
 def test_substrings_of_nothing(spark, scratch):
     assert substrings.remove(frame(spark, []), scratch).count() == 0
     assert [tuple(r) for r in substrings.remove(frame(spark, [(1, None), (2, "a  b")]), scratch).orderBy("doc_id").collect()] == [(1, 0, 0, ""), (2, 2, 0, "a b")]
