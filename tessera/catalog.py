@@ -375,7 +375,7 @@ def _merged(nodes: str) -> str:
         f", no AS ({nodes}), nn AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_start, line_end) AS k FROM no), "
         "mz AS (SELECT file_path, k, 0::BIGINT AS g, header_path AS head, length(text) AS first, length(text) AS have FROM nn WHERE k = 1 "
         f"UNION ALL SELECT nn.file_path, nn.k, mz.g + (NOT {joins})::INT, CASE WHEN {joins} THEN mz.head ELSE nn.header_path END, CASE WHEN {joins} THEN mz.first ELSE length(nn.text) END, CASE WHEN {joins} THEN mz.have + 2 ELSE 0 END + length(nn.text) FROM mz JOIN nn ON nn.file_path = mz.file_path AND nn.k = mz.k + 1), "
-        "gr AS (SELECT file_path, g, arg_min(header_path, k) AS header_path, arg_min(line_start, k) AS line_start, arg_max(line_end, k) AS line_end, CASE WHEN count(*) > 1 THEN count(*)::INT END AS merged_chunks, array_to_string(list_sort(list_distinct(list(type))), '|') AS block_types, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM mz JOIN nn USING (file_path, k) GROUP BY file_path, g)"
+        "gr AS (SELECT file_path, g, arg_min(header_path, k) AS header_path, arg_min(line_start, k) AS line_start, arg_max(line_end, k) AS line_end, count(*)::INT AS merged_chunks, array_to_string(list_sort(list_distinct(list(type))), '|') AS block_types, string_agg(text, chr(10) || chr(10) ORDER BY k) AS text FROM mz JOIN nn USING (file_path, k) GROUP BY file_path, g)"
     )
 
 
@@ -384,7 +384,7 @@ _WRAPPED = "SELECT file_path, header_path, type, '[SECTION]' || chr(10) || repla
 
 @query("k7_merge", _tree(_TN + _merged("SELECT file_path, header_path, 'text' AS type, text, line_start, line_end FROM tn UNION ALL SELECT file_path, header_path, type, text, line_start, line_end FROM bl WHERE type <> 'text'") + " SELECT file_path, header_path, line_start::INT AS line_start, line_end::INT AS line_end, merged_chunks, block_types, text FROM gr"))
 def k7(spark, sf_dir):
-    return markdown.merge_nodes(_all_nodes(spark, sf_dir)).select("file_path", "header_path", "line_start", "line_end", "merged_chunks", F.array_join("block_types", "|").alias("block_types"), "text")
+    return markdown.merge_nodes(_all_nodes(spark, sf_dir)).select("file_path", "header_path", "line_start", "line_end", F.coalesce("merged_chunks", F.lit(1)).alias("merged_chunks"), F.array_join("block_types", "|").alias("block_types"), "text")
 
 
 @query("p5_node_stats", _tree(_TN + " SELECT min(length(text))::INT AS min_length, max(length(text))::INT AS max_length, count(*) AS n FROM (SELECT text FROM tn UNION ALL SELECT text FROM bl WHERE type <> 'text')"))
@@ -410,7 +410,7 @@ def k9(spark, sf_dir):
 
 @query("k10_chunks", _tree(_PC + _merged(_WRAPPED) + f" SELECT file_path || '#' || g AS chunk_id, file_path, header_path, line_start::INT AS line_start, line_end::INT AS line_end, block_types, merged_chunks, {_TRIM.format('text')} AS text FROM gr"))
 def k10(spark, sf_dir):
-    return markdown.chunks(kb(spark, sf_dir)).select("chunk_id", "file_path", "header_path", "line_start", "line_end", F.array_join("block_types", "|").alias("block_types"), "merged_chunks", "text")
+    return markdown.chunks(kb(spark, sf_dir)).select("chunk_id", "file_path", "header_path", "line_start", "line_end", F.array_join("block_types", "|").alias("block_types"), F.coalesce("merged_chunks", F.lit(1)).alias("merged_chunks"), "text")
 
 
 @query("k10_build")
