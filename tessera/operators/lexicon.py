@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pyarrow as pa
@@ -11,6 +12,18 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+_HEAD = 4
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _form(key: str) -> re.Pattern | None:
+    """The pattern of a key that is a plain ASCII word, hyphens optional; None for other keys."""
+    if not re.fullmatch(r"[a-zA-Z0-9_-]+", key):
+        return None
+    form = "-?".join(map(re.escape, key.split("-")))
+    return re.compile(rf"(?<![a-zA-Z0-9]){form}(?![a-zA-Z0-9])")
+
+
 def pick(text: str, keys: list[str]) -> tuple[list[tuple[str, int, int]], float]:
     """Matches (key, start, end) that don't overlap, longest key first, and the share of the text that they cover.
 
@@ -19,9 +32,9 @@ def pick(text: str, keys: list[str]) -> tuple[list[tuple[str, int, int]], float]
     """
     low, found = text.lower(), []
     for key in keys:
-        if re.fullmatch(r"[a-zA-Z0-9_-]+", key):
-            form = "-?".join(map(re.escape, key.split("-")))
-            found += [(key, *m.span()) for m in re.finditer(rf"(?<![a-zA-Z0-9]){form}(?![a-zA-Z0-9])", low)]
+        form = _form(key)
+        if form:
+            found += [(key, *m.span()) for m in form.finditer(low)]
         elif (at := low.find(key)) >= 0:
             found.append((key, at, at + len(key)))
     taken, out = [False] * len(low), []
@@ -32,48 +45,105 @@ def pick(text: str, keys: list[str]) -> tuple[list[tuple[str, int, int]], float]
     return out, sum(taken) / len(low) if low else 0.0
 
 
+class Index:
+    """Finds the keys that can occur in a text by hashed pieces of it: work grows with the text and its hits, not with the
+    number of keys that begin alike."""
+
+    def __init__(self, keys: list[str]):
+        self.bare = [k for k in keys if k and not k.strip("-")]
+        self.words: dict[str, list[str]] = {}  # plain words by their form without hyphens
+        others = set()
+        for k in keys:
+            if _form(k):
+                self.words.setdefault(k.replace("-", ""), []).append(k)
+            else:
+                others.add(k)
+        self.words.pop("", None)
+        self.others = others - {""}
+        self.word_heads, self.other_heads = self._heads(self.words), self._heads(self.others)
+        self.longest = max(map(len, self.words), default=0)
+
+    @staticmethod
+    def _heads(forms) -> dict[int, dict[str, list[int]]]:
+        """By width, up to _HEAD, and beginning of that width: the lengths of forms."""
+        out: dict[int, dict[str, set[int]]] = {}
+        for f in forms:
+            w = min(len(f), _HEAD)
+            out.setdefault(w, {}).setdefault(f[:w], set()).add(len(f))
+        return {w: {h: sorted(n) for h, n in heads.items()} for w, heads in out.items()}
+
+    def able(self, text: str) -> set[str]:
+        low, out = text.lower(), set()
+        for w, heads in self.other_heads.items():
+            for i in range(len(low) - w + 1):
+                for n in heads.get(low[i:i + w], ()):
+                    if (piece := low[i:i + n]) in self.others:
+                        out.add(piece)
+        if self.words:
+            for m in _START.finditer(low):
+                run = _RUN.match(low, m.start(), m.start() + 2 * self.longest)[0].replace("-", "")
+                for w, heads in self.word_heads.items():
+                    for n in heads.get(run[:w], ()):
+                        out.update(self.words.get(run[:n], ()))
+        if self.bare and "-" in low:
+            out.update(self.bare)
+        return out
+
+
+_START, _RUN = re.compile(r"(?<![a-z0-9])[a-z0-9_]"), re.compile(r"[a-z0-9_-]*")
+_MATCH = pa.list_(pa.struct([("key", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+_KEYS = pa.list_(pa.struct([("key", pa.string()), ("seq", pa.int64())]))
+
+
+def _chosen(ids: pa.Array, texts: list, keys: list[list[str]]) -> pa.RecordBatch:
+    rows = [pick(t or "", k) for t, k in zip(texts, keys)]
+    m = pa.array([[{"key": k, "start": a, "end": e} for k, a, e in r[0]] for r in rows], _MATCH)
+    return pa.record_batch([ids, m, pa.array([r[1] for r in rows], pa.float64())], ["question_id", "matches", "coverage"])
+
+
 def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_keys: int = 500_000) -> DataFrame:
     """questions(question_id, text) against keys(key, seq): question_id, matches, coverage, hit (coverage reached).
 
-    The dictionary goes out in blocks of `most_keys`; candidates of all blocks meet in one list a question before the
-    choice. In a block only keys that can occur are tried: those whose first word or character is in the question.
+    The dictionary goes out in blocks of `most_keys`; with one block a question is one pass over its text, with more the
+    candidates of all blocks meet in one list a question before the choice.
     """
     total, found = keys.count(), None
     parts = max(1, -(-total // most_keys))
+    chosen = "question_id long, matches array<struct<key: string, start: int, end: int>>, coverage double"
     for part in range(parts):
         rows = keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).orderBy("seq", "key").collect()
         seq = {}
         for r in rows:
             seq.setdefault(r["key"], r["seq"])
-        starts: dict[str, list[str]] = {}
-        for k in seq:
-            m = re.match(r"[a-z0-9]+", k) if re.fullmatch(r"[a-z0-9_-]+", k) else None
-            starts.setdefault(m[0] if m else k[:1], []).append(k)
+        index = Index(list(seq))
 
-        def run(batches, seq=seq, starts=starts):
+        def run(batches, seq=seq, index=index, choose=parts == 1):
             for b in batches:
-                out = []
-                for t in b.column("text").to_pylist():
-                    low = (t or "").lower()
-                    words = set(re.findall(r"[a-z0-9]+", low))
-                    words |= {w[:i] for w in words for i in range(1, len(w))} | set(low)  # a hyphen may be missing
-                    able = sorted({k for w in words for k in starts.get(w, ())}, key=lambda k: (seq[k], k))
-                    out.append([{"key": k, "seq": seq[k]} for k in able])
-                yield b.append_column("keys", pa.array(out, pa.list_(pa.struct([("key", pa.string()), ("seq", pa.int64())]))))
-
-        got = questions.select("question_id", "text").mapInArrow(run, "question_id long, text string, keys array<struct<key: string, seq: long>>")
+                for i in range(0, b.num_rows, 4096):
+                    own = b.slice(i, 4096)
+                    texts = own.column("text").to_pylist()
+                    able = [sorted(index.able(t or ""), key=lambda k: (seq[k], k)) for t in texts]
+                    if choose:
+                        yield _chosen(own.column("question_id"), texts, able)
+                    else:
+                        yield own.append_column("keys", pa.array([[{"key": k, "seq": seq[k]} for k in ks] for ks in able], _KEYS))
+
+        q = questions.select(F.col("question_id").cast("long").alias("question_id"), "text")
+        if parts == 1:
+            found = q.mapInArrow(run, chosen)
+            break
+        got = q.mapInArrow(run, "question_id long, text string, keys array<struct<key: string, seq: long>>")
         found = got if found is None else found.unionByName(got)
     if parts > 1:
-        found = found.groupBy("question_id", "text").agg(F.flatten(F.collect_list("keys")).alias("keys"))
-
-    def choose(batches):
-        for b in batches:
-            rows = [pick(t or "", [k["key"] for k in sorted(ks or [], key=lambda x: (x["seq"], x["key"]))]) for t, ks in zip(b.column("text").to_pylist(), b.column("keys").to_pylist())]
-            m = pa.array([[{"key": k, "start": a, "end": e} for k, a, e in r[0]] for r in rows], pa.list_(pa.struct([("key", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))
-            yield pa.record_batch([b.column("question_id"), m, pa.array([r[1] for r in rows], pa.float64())], ["question_id", "matches", "coverage"])
+        def choose(batches):
+            for b in batches:
+                for i in range(0, b.num_rows, 4096):
+                    own = b.slice(i, 4096)
+                    keys = [[k["key"] for k in sorted(ks or [], key=lambda x: (x["seq"], x["key"]))] for ks in own.column("keys").to_pylist()]
+                    yield _chosen(own.column("question_id"), own.column("text").to_pylist(), keys)
 
-    out = found.mapInArrow(choose, "question_id long, matches array<struct<key: string, start: int, end: int>>, coverage double")
-    return out.withColumn("hit", (F.size("matches") > 0) & (F.col("coverage") >= coverage))
+        found = found.groupBy("question_id", "text").agg(F.flatten(F.collect_list("keys")).alias("keys")).mapInArrow(choose, chosen)
+    return found.withColumn("hit", (F.size("matches") > 0) & (F.col("coverage") >= coverage))
 
 
 def entries(matched: DataFrame, dictionary: DataFrame) -> DataFrame:

@@ -39,6 +39,20 @@ def test_dictionary_matching(spark):
     assert blocks == {r.question_id: (r.hit, [x.key for x in r.matches]) for r in m.collect()}
 
 
+def test_index_finds_keys_in_time_with_the_text():
+    """All keys begin alike, as brands do: only those that occur are candidates, and choices are those of all keys."""
+    import random
+
+    keys = sorted({f"brand#{i} type {j}" for i in range(40) for j in range(40)} | {"brand#7", "str-sn", "-x", "a-b-c", "ab", "_u", "b", "等待", "呼叫等待", "é", "x y"})
+    index = lexicon.Index(keys)
+    assert len(index.able("is brand#7 type 12 good")) <= 4
+    r = random.Random(5)
+    bits = ["brand#7 type 12", "brand#", "strsn", "str-sn", "a-bc", "ab-c", "-", "x", " ", "ab", "_", "呼叫等待", "é", "u", "B", "y", "7", "-x"]
+    for _ in range(400):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert lexicon.pick(text, [k for k in keys if k in index.able(text)]) == lexicon.pick(text, keys), text
+
+
 def test_numbered_entries(spark):
     f = spark.createDataFrame([(1, 0, 0, "T", ["a", "b"]), (1, 0, 1, "T", ["c■d"])], "question_id long, pos int, seq long, term string, definitions array<string>")
     assert lexicon.render(f).first().markdown == "## **T**\n#### 1. a\n- b\n#### 2. c\n- d"
