@@ -126,6 +126,14 @@ def exact_terms(c: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(r"(?U)\b[A-Za-z][A-Za-z0-9_]+\b"), F.lit(0)), F.lower))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double to `digits` as DuckDB rounds it: scaled, half away from zero. F.round goes by the decimal digits, so it
+    rounds 0.00015 up, which scaled is below the half."""
+    v = F.abs(c) * 10.0**digits
+    whole = F.floor(v).cast("double")
+    return F.when(v < 2.0**52, F.signum(c) * (whole + F.when(v - whole >= 0.5, 1.0).otherwise(0.0)) / 10.0**digits).otherwise(c)
+
+
 def token_analysis(c: Column) -> Column:
     words = F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit("[A-Za-z]+"), F.lit(0)), F.lower))
     return F.struct(words.alias("english_words"), F.size(words).alias("english_count"), F.regexp_count(c, F.lit("[一-鿿]")).alias("chinese_count"))

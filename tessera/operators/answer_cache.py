@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import routing
+from ..functions import routing, text as X
 
 
 def recent(cache: DataFrame, knowledge_hash: str, most: int = 1000) -> DataFrame:
@@ -59,7 +59,7 @@ def admit(answers: DataFrame) -> DataFrame:
 
 def source_nodes(nodes: DataFrame) -> DataFrame:
     """query_id, source_nodes: what an answer cites, in order of rank, scores to four digits."""
-    item = F.struct("rank", F.round("score", 4).alias("score"), "file_name", "file_path", "header_path", "line_start", "line_end")
+    item = F.struct("rank", X.rounded(F.col("score"), 4).alias("score"), "file_name", "file_path", "header_path", "line_start", "line_end")
     return nodes.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(item)), lambda x: x.dropFields("rank")).alias("source_nodes"))
 
 

@@ -6,7 +6,7 @@ import zlib
 from pyspark.sql import functions as F
 
 from tessera.functions import routing, text as X
-from tessera.operators import assets, cite, lexicon, retrieval, rules, stats
+from tessera.operators import answer_cache, assets, cite, lexicon, retrieval, rules, stats
 from tessera.plans import ask, build
 from tessera.settings import Settings
 from tessera.sources import io
@@ -53,6 +53,18 @@ def test_index_finds_keys_in_time_with_the_text():
         assert lexicon.pick(text, [k for k in keys if k in index.able(text)]) == lexicon.pick(text, keys), text
 
 
+def test_scores_of_cited_nodes_round_as_in_sql(spark):
+    """Scores have six digits, so one in a hundred lies between two of four."""
+    import duckdb
+
+    scores = [(i * 100 + 50) / 1e6 for i in range(1, 20_000, 7)]
+    nodes = spark.createDataFrame([(i, s) for i, s in enumerate(scores)], "query_id long, score double").selectExpr("*", "1 as rank", "'f' as file_name", "'p' as file_path", "'/' as header_path", "0 as line_start", "1 as line_end")
+    got = {r.query_id: r.source_nodes[0].score for r in answer_cache.source_nodes(nodes).collect()}
+    want = duckdb.execute("SELECT list(round(x, 4) ORDER BY i) FROM (SELECT unnest(?::DOUBLE[]) AS x, generate_subscripts(?::DOUBLE[], 1) AS i)", [scores, scores]).fetchone()[0]
+    assert [got[i] for i in range(len(scores))] == want
+    assert one(spark, X.rounded(F.col("t"), 4), t=-1.00005) == -one(spark, X.rounded(F.col("t"), 4), t=1.00005)
+
+
 def test_numbered_entries(spark):
     f = spark.createDataFrame([(1, 0, 0, "T", ["a", "b"]), (1, 0, 1, "T", ["c■d"])], "question_id long, pos int, seq long, term string, definitions array<string>")
     assert lexicon.render(f).first().markdown == "## **T**\n#### 1. a\n- b\n#### 2. c\n- d"
