@@ -61,16 +61,23 @@ def sections(docs: DataFrame) -> DataFrame:
     return d.where(F.col("text").rlike(r"(?U)\S"))
 
 
-def _per_row(df: DataFrame, keep: list[str], schema: str, work) -> DataFrame:
-    """A narrow Arrow map: work(row as dict) gives dicts; `keep` columns are repeated."""
-    names = [c.split()[0] for c in schema.split(", ")]
+#: Rows that a map works on at once, so that Python holds the objects of few rows whatever the size of Spark's batches.
+_ROWS = 256
+
+
+def _table(rows: list[dict], schema: str) -> pa.RecordBatch:
+    fields = [c.split(" ", 1) for c in schema.split(", ")]
+    return pa.record_batch([pa.array([r.get(n) for r in rows], _ARROW[t]) for n, t in fields], [n for n, _ in fields])
+
 
-    def run(frames):
-        for f in frames:
-            rows = [{**{k: r[k] for k in keep}, **x} for r in f.to_dict("records") for x in work(r)]
-            yield pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
+def _per_row(df: DataFrame, keep: list[str], schema: str, work) -> DataFrame:
+    """A narrow Arrow map: work(row as dict) gives dicts; `keep` columns are repeated. Batches go in slices."""
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, _ROWS):
+                yield _table([{**{k: r[k] for k in keep}, **x} for r in b.slice(i, _ROWS).to_pylist() for x in work(r)], schema)
 
-    return df.mapInPandas(run, schema)
+    return df.mapInArrow(run, schema)
 
 
 def blocks(sections: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import struct
 import zipfile
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,32 @@ def test_queries_of_chunks_and_merges(spark):
     assert all(r.text_length >= len(r.text) and r.is_too_short == (r.text_length < 100) for r in built)
 
 
+class Handed:
+    """Stands in for a DataFrame: runs the map that it is given over one batch, up to its first rows."""
+
+    schema = type("Schema", (), {"fields": []})()
+
+    def __init__(self, batch):
+        self.batch = batch
+
+    def mapInArrow(self, run, schema):
+        return next(iter(run(iter([self.batch]))))
+
+    def select(self, *columns):
+        return self
+
+
+def test_maps_of_nodes_work_on_few_rows_at_once():
+    seen = []
+
+    def work(r):
+        seen.append(r["n"])
+        yield {"text": "x"}
+
+    first = markdown._per_row(Handed(pa.record_batch({"n": list(range(10_000)), "file_path": ["p"] * 10_000})), ["file_path"], "file_path string, text string", work)
+    assert len(seen) == first.num_rows <= 1000
+
+
 def test_a_folder_becomes_tables(spark, tmp_path):
     """S1, S2, W2: files in, chunk, posting and vector tables out; a second build replaces them."""
     src, out = tmp_path / "docs" / "sub", str(tmp_path / "out")
