@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -110,16 +109,28 @@ def split_nodes(nodes: DataFrame, settings: Settings = Settings(), handlers: dic
 
 
 def merge_nodes(nodes: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Nodes of a file in the order of their lines, small neighbours joined (K7). A file is one group; chunks() does the
-    same without moving anything."""
+    """Nodes of a file in the order of their lines, small neighbours joined (K7). Nodes are dealt by file and sorted, and a
+    map goes along the files, one at a time; chunks() does the same without moving anything."""
     schema = "file_path string, header_path string, line_start int, line_end int, merged_chunks int, block_types array<string>, text string"
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        rows = f.sort_values(["line_start", "line_end"]).to_dict("records")
-        got = S.merge([{**r, "block_types": [r["type"]]} for r in rows], settings.chunk_size)
-        return pd.DataFrame({c.split()[0]: pd.Series([g.get(c.split()[0]) for g in got], dtype=object) for c in schema.split(", ")})
-
-    return nodes.groupBy("file_path").applyInPandas(run, schema)
+    def run(batches):
+        file, own, out = None, [], []
+        for b in batches:
+            for i in range(0, b.num_rows, _ROWS):
+                for r in b.slice(i, _ROWS).to_pylist():
+                    if own and r["file_path"] != file:
+                        out += S.merge(own, settings.chunk_size)
+                        own = []
+                    file = r["file_path"]
+                    own.append({**r, "block_types": [r["type"]]})
+                if out:
+                    yield _table(out, schema)
+                    out = []
+        if own:
+            yield _table(S.merge(own, settings.chunk_size), schema)
+
+    n = nodes.select("file_path", "header_path", "type", "text", "line_start", "line_end").repartition("file_path")
+    return n.sortWithinPartitions("file_path", F.asc_nulls_last("line_start"), F.asc_nulls_last("line_end")).mapInArrow(run, schema)
 
 
 def chunk_rows(sections: list[dict], settings: Settings, handlers: dict) -> list[dict]:

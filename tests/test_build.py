@@ -95,6 +95,28 @@ def test_maps_of_nodes_work_on_few_rows_at_once():
     assert len(seen) == first.num_rows <= 1000
 
 
+def test_merges_take_a_map_and_no_group_a_file(spark):
+    """Files in one partition and across batches, one without a path; a group a file costs milliseconds each."""
+    r, rows = random.Random(8), []
+    for f in [None, *(f"f{i}" for i in range(120))]:
+        for i in range(r.randrange(1, 9)):
+            rows.append((f, r.choice(["/a/", "/a/b/", "/c/"]), r.choice(["text", "code"]), "x" * r.randrange(1, 400), 10 * i, 10 * i + 5))
+    shuffled = r.sample(rows, len(rows))
+    d = spark.createDataFrame(shuffled, "file_path string, header_path string, type string, text string, line_start int, line_end int")
+    m = markdown.merge_nodes(d)
+    assert "FlatMapGroups" not in m._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted((str(x.file_path), x.line_start, x.line_end, x.header_path, x.merged_chunks, x.block_types, x.text) for x in m.collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for f in {x[0] for x in rows}:
+        own = [dict(zip(["header_path", "type", "text", "line_start", "line_end"], x[1:])) for x in rows if x[0] == f]
+        want += [(str(f), x["line_start"], x["line_end"], x["header_path"], x.get("merged_chunks"), x["block_types"], x["text"]) for x in S.merge([{**x, "block_types": [x["type"]]} for x in own], 1000)]
+    assert got == sorted(want)
+
+
 def test_a_folder_becomes_tables(spark, tmp_path):
     """S1, S2, W2: files in, chunk, posting and vector tables out; a second build replaces them."""
     src, out = tmp_path / "docs" / "sub", str(tmp_path / "out")
