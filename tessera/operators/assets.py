@@ -7,6 +7,7 @@ import re
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,18 +109,23 @@ def apply_captions(docs: DataFrame, images: DataFrame, model: str = "offline") -
             out += S.caption_block(image["image_id"], model, caption)[:-1]
         return "\n".join(out), count
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for path, text, found in zip(f["file_path"], f["text"], f["images"]):
-                try:
-                    new, count = one(text or "", {x["path"]: x for x in (found if found is not None else [])})
-                    rows.append({"file_path": path, "text": new, **count, "error": None})
-                except Exception as e:  # isolated to the document, and reported
-                    rows.append({"file_path": path, "text": text, "new": 0, "kept": 0, "replaced": 0, "missing": 0, "error": str(e)})
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return docs.select("file_path", "text").join(known, "file_path", "left").mapInPandas(run, schema)
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [{"string": pa.string(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            for i in range(0, b.num_rows, 256):  # Python holds the objects of few documents
+                rows = []
+                for r in b.slice(i, 256).to_pylist():
+                    path, text = r["file_path"], r["text"]
+                    try:
+                        new, count = one(text or "", {x["path"]: x for x in r["images"] or []})
+                        rows.append({"file_path": path, "text": new, **count, "error": None})
+                    except Exception as e:  # isolated to the document, and reported
+                        rows.append({"file_path": path, "text": text, "new": 0, "kept": 0, "replaced": 0, "missing": 0, "error": str(e)})
+                yield pa.record_batch([pa.array([r[n] for r in rows], k) for n, k in zip(names, kinds)], names)
+
+    return docs.select("file_path", "text").join(known, "file_path", "left").mapInArrow(run, schema)
 
 
 def caption_fields(text: Column) -> Column:

@@ -117,6 +117,17 @@ def test_merges_take_a_map_and_no_group_a_file(spark):
     assert got == sorted(want)
 
 
+def test_captions_go_in_slices(monkeypatch):
+    from tessera.operators import assets as A
+
+    docs = Handed(pa.record_batch({"file_path": ["p"] * 5000, "text": ["![a](i.png)"] * 5000, "images": [None] * 5000}))
+    docs.join = lambda *a: docs
+    images = type("Images", (), {"groupBy": lambda s, *a: s, "agg": lambda s, *a: s})()
+    monkeypatch.setattr(A, "F", type("F", (), {"__getattr__": lambda s, n: lambda *a: s, "alias": lambda s, n: s})())
+    first = A.apply_captions(docs, images)
+    assert first.num_rows <= 1000 and set(first["missing"].to_pylist()) == {1}
+
+
 def test_a_folder_becomes_tables(spark, tmp_path):
     """S1, S2, W2: files in, chunk, posting and vector tables out; a second build replaces them."""
     src, out = tmp_path / "docs" / "sub", str(tmp_path / "out")
