@@ -128,6 +128,11 @@ def test_captions_go_in_slices(monkeypatch):
     assert first.num_rows <= 1000 and set(first["missing"].to_pylist()) == {1}
 
 
+def test_pages_go_in_slices():
+    first = convert.markdown(Handed(pa.record_batch({"page_id": list(range(5000)), "html": ["<p>a"] * 5000})))
+    assert first.num_rows <= 1000 and set(first["markdown"].to_pylist()) == {"a\n"}
+
+
 def test_a_folder_becomes_tables(spark, tmp_path):
     """S1, S2, W2: files in, chunk, posting and vector tables out; a second build replaces them."""
     src, out = tmp_path / "docs" / "sub", str(tmp_path / "out")
