@@ -146,10 +146,16 @@ def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_key
     return found.withColumn("hit", (F.size("matches") > 0) & (F.col("coverage") >= coverage))
 
 
-def entries(matched: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """question_id, pos, seq, term, definitions of questions that hit, in the order of choice."""
+def entries(matched: DataFrame, dictionary: DataFrame, most_chars: int = 1 << 26) -> DataFrame:
+    """question_id, pos, seq, term, definitions of questions that hit, in the order of choice.
+
+    Spark guesses sizes from files and would send out the matches, which grow, and join them in the dictionary's one task. So
+    the dictionary goes out, if it has at most `most_chars` characters (64 more for each entry); a larger one is merged.
+    """
     m = matched.where("hit").select("question_id", F.posexplode("matches").alias("pos", "m"))
-    return m.select("question_id", "pos", F.col("m.key").alias("key")).join(dictionary, "key").drop("key")
+    chars = dictionary.agg(F.sum(F.length(F.concat_ws("", "key", "term", "definitions")) + 64)).first()[0] or 0
+    known = F.broadcast(dictionary) if chars <= most_chars else dictionary.hint("merge")
+    return m.select("question_id", "pos", F.col("m.key").alias("key")).join(known, "key").drop("key")
 
 
 def grouped(found: DataFrame) -> DataFrame:
@@ -159,7 +165,10 @@ def grouped(found: DataFrame) -> DataFrame:
 
 
 def render(found: DataFrame) -> DataFrame:
-    """question_id, markdown: a title a term, numbered where it has several entries, definitions as lists."""
+    """question_id, markdown: a title a term, numbered where it has several entries, definitions as lists.
+
+    Entries move once: both groupings are of rows that lie together by question.
+    """
     def bullets(defs):
         lines = lambda d: F.transform(F.split(X.clean_definition(d), "\n", -1), lambda x, i: F.concat(F.when(i == 0, F.lit("- ")).otherwise("  "), x))
         return F.flatten(F.transform(defs, lines))
@@ -169,7 +178,7 @@ def render(found: DataFrame) -> DataFrame:
         numbered = F.concat(F.array(F.concat(F.lit("#### "), (i + 1).cast("string"), F.lit(". "), F.coalesce(X.clean_definition(F.get(defs, 0)), F.lit("")))), bullets(F.slice(defs, F.lit(2), F.greatest(F.lit(0), F.size(defs) - 1))))
         return F.when(n > 1, numbered).otherwise(bullets(defs))
 
-    g = grouped(found).withColumn("lines", F.flatten(F.transform("items", lambda e, i: entry(e, i, F.col("n")))))
+    g = grouped(found.repartition("question_id")).withColumn("lines", F.flatten(F.transform("items", lambda e, i: entry(e, i, F.col("n")))))
     part = F.array_join(F.concat(F.array(F.concat(F.lit("## **"), F.col("term"), F.lit("**"))), F.col("lines")), "\n")
     parts = F.sort_array(F.collect_list(F.struct("pos", "term", part.alias("t"))))
     return g.groupBy("question_id").agg(X.strip(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n")).alias("markdown"))

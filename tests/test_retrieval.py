@@ -39,6 +39,20 @@ def test_dictionary_matching(spark):
     assert blocks == {r.question_id: (r.hit, [x.key for x in r.matches]) for r in m.collect()}
 
 
+def test_matches_join_where_they_lie(spark):
+    """Whatever sizes Spark guesses, the dictionary goes out and not the matches, and entries move once."""
+    d = io.dictionary(spark.createDataFrame([(f"{k}\tdefinition of {k} " + "x" * 200, i) for i, k in enumerate(KEYS * 3)], "value string, seq long"))
+    m = lexicon.match(spark.createDataFrame([(1, "imsi hlr"), (2, "imsi")], "question_id long, text string"), d.select("key", "seq"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    found = lexicon.entries(m, d)
+    assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found)
+    shown = lexicon.render(found)
+    assert plan(shown).count("Exchange hashpartitioning(") == 1
+    merged = lexicon.entries(m, d, most_chars=0)
+    assert "SortMergeJoin" in plan(merged) and sorted(merged.collect()) == sorted(found.collect())
+    assert sorted(lexicon.render(merged).collect()) == sorted(shown.collect()) and found.count() == 9
+
+
 def test_index_finds_keys_in_time_with_the_text():
     """All keys begin alike, as brands do: only those that occur are candidates, and choices are those of all keys."""
     import random
