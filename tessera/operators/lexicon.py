@@ -6,6 +6,7 @@ import functools
 import re
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,17 +96,19 @@ _MATCH = pa.list_(pa.struct([("key", pa.string()), ("start", pa.int32()), ("end"
 _KEYS = pa.list_(pa.struct([("key", pa.string()), ("seq", pa.int64())]))
 
 
-def _chosen(ids: pa.Array, texts: list, keys: list[list[str]]) -> pa.RecordBatch:
+def _chosen(ids: pa.Array, at: pa.Array, texts: list, keys: list[list[str]]) -> pa.RecordBatch:
+    """A row for each id, whose text is texts[at]."""
     rows = [pick(t or "", k) for t, k in zip(texts, keys)]
     m = pa.array([[{"key": k, "start": a, "end": e} for k, a, e in r[0]] for r in rows], _MATCH)
-    return pa.record_batch([ids, m, pa.array([r[1] for r in rows], pa.float64())], ["question_id", "matches", "coverage"])
+    return pa.record_batch([ids, m.take(at), pa.array([r[1] for r in rows], pa.float64()).take(at)], ["question_id", "matches", "coverage"])
 
 
 def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_keys: int = 500_000) -> DataFrame:
     """questions(question_id, text) against keys(key, seq): question_id, matches, coverage, hit (coverage reached).
 
     The dictionary goes out in blocks of `most_keys`; with one block a question is one pass over its text, with more the
-    candidates of all blocks meet in one list a question before the choice.
+    candidates of all blocks meet in one list a question before the choice. Equal texts of a batch are looked up once.
+    Questions are short and may lie in a few file blocks, so they are dealt out by their id first.
     """
     total, found = keys.count(), None
     parts = max(1, -(-total // most_keys))
@@ -121,14 +124,16 @@ def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_key
             for b in batches:
                 for i in range(0, b.num_rows, 4096):
                     own = b.slice(i, 4096)
-                    texts = own.column("text").to_pylist()
-                    able = [sorted(index.able(t or ""), key=lambda k: (seq[k], k)) for t in texts]
+                    each = pc.fill_null(own.column("text"), "").dictionary_encode()
+                    texts = each.dictionary.to_pylist()
+                    able = [sorted(index.able(t), key=lambda k: (seq[k], k)) for t in texts]
                     if choose:
-                        yield _chosen(own.column("question_id"), texts, able)
+                        yield _chosen(own.column("question_id"), each.indices, texts, able)
                     else:
-                        yield own.append_column("keys", pa.array([[{"key": k, "seq": seq[k]} for k in ks] for ks in able], _KEYS))
+                        keys = pa.array([[{"key": k, "seq": seq[k]} for k in ks] for ks in able], _KEYS)
+                        yield own.append_column("keys", keys.take(each.indices))
 
-        q = questions.select(F.col("question_id").cast("long").alias("question_id"), "text")
+        q = questions.select(F.col("question_id").cast("long").alias("question_id"), "text").repartition("question_id")
         if parts == 1:
             found = q.mapInArrow(run, chosen)
             break
@@ -140,7 +145,7 @@ def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_key
                 for i in range(0, b.num_rows, 4096):
                     own = b.slice(i, 4096)
                     keys = [[k["key"] for k in sorted(ks or [], key=lambda x: (x["seq"], x["key"]))] for ks in own.column("keys").to_pylist()]
-                    yield _chosen(own.column("question_id"), own.column("text").to_pylist(), keys)
+                    yield _chosen(own.column("question_id"), pa.array(range(len(keys)), pa.int32()), own.column("text").to_pylist(), keys)
 
         found = found.groupBy("question_id", "text").agg(F.flatten(F.collect_list("keys")).alias("keys")).mapInArrow(choose, chosen)
     return found.withColumn("hit", (F.size("matches") > 0) & (F.col("coverage") >= coverage))

@@ -47,12 +47,25 @@ def test_matches_join_where_they_lie(spark):
     found = lexicon.entries(m, d)
     assert "BuildRight" in plan(found) and "BuildLeft" not in plan(found)
     shown = lexicon.render(found)
-    assert plan(shown).count("Exchange hashpartitioning(") == 1
+    assert plan(shown).partition("MapInArrow")[0].count("Exchange hashpartitioning(") == 1
     merged = lexicon.entries(m, d, most_chars=0)
     assert "SortMergeJoin" in plan(merged) and sorted(merged.collect()) == sorted(found.collect())
     assert sorted(lexicon.render(merged).collect()) == sorted(shown.collect()) and found.count() == 9
 
 
+def test_questions_of_one_block_are_dealt_out(spark):
+    texts = ["imsi hlr", None, "imsi hlr", "", "STRSN", None, "no key", "IMSI_X imsi imsi"] * 700
+    q = spark.createDataFrame(list(enumerate(texts)), "question_id long, text string").coalesce(1)
+    d = spark.createDataFrame([(k, i) for i, k in enumerate(KEYS)], "key string, seq long")
+    m = lexicon.match(q, d)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(question_id" in plan.partition("MapInArrow")[2]
+    for got in (m.collect(), lexicon.match(q, d, most_keys=3).collect()):
+        assert len(got) == len(texts)
+        for r in got:
+            assert ([tuple(x) for x in r.matches], r.coverage) == lexicon.pick(texts[r.question_id] or "", KEYS)
+
+
 def test_index_finds_keys_in_time_with_the_text():
     """All keys begin alike, as brands do: only those that occur are candidates, and choices are those of all keys."""
     import random
