@@ -110,11 +110,12 @@ def match(questions: DataFrame, keys: DataFrame, coverage: float = 0.5, most_key
     candidates of all blocks meet in one list a question before the choice. Equal texts of a batch are looked up once.
     Questions are short and may lie in a few file blocks, so they are dealt out by their id first.
     """
-    total, found = keys.count(), None
-    parts = max(1, -(-total // most_keys))
+    few, found = keys.limit(most_keys + 1).collect(), None  # one pass over the dictionary where a block holds it
+    parts = 1 if len(few) <= most_keys else -(-keys.count() // most_keys)
     chosen = "question_id long, matches array<struct<key: string, start: int, end: int>>, coverage double"
     for part in range(parts):
-        rows = keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).orderBy("seq", "key").collect()
+        rows = few if parts == 1 else keys.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).collect()
+        rows.sort(key=lambda r: (r["seq"] is not None, r["seq"], r["key"]))
         seq = {}
         for r in rows:
             seq.setdefault(r["key"], r["seq"])
@@ -158,7 +159,7 @@ def entries(matched: DataFrame, dictionary: DataFrame, most_chars: int = 1 << 26
     the dictionary goes out, if it has at most `most_chars` characters (64 more for each entry); a larger one is merged.
     """
     m = matched.where("hit").select("question_id", F.posexplode("matches").alias("pos", "m"))
-    chars = dictionary.agg(F.sum(F.length(F.concat_ws("", "key", "term", "definitions")) + 64)).first()[0] or 0
+    chars = dictionary.agg(F.sum(F.length(F.concat_ws("", "key", "term", "definitions", F.col("seq").cast("string"))) + 64)).first()[0] or 0
     known = F.broadcast(dictionary) if chars <= most_chars else dictionary.hint("merge")
     return m.select("question_id", "pos", F.col("m.key").alias("key")).join(known, "key").drop("key")
 

@@ -66,6 +66,18 @@ def test_questions_of_one_block_are_dealt_out(spark):
             assert ([tuple(x) for x in r.matches], r.coverage) == lexicon.pick(texts[r.question_id] or "", KEYS)
 
 
+def test_lines_of_a_dictionary_are_cleaned_once(spark, tmp_path):
+    """Parts repeat brands and types: equal lines meet before they are cleaned, and keep their least seq."""
+    from tessera import catalog
+
+    parts = [(i, [" Brand#1", "brand#1", None, "BRAND#2 "][i % 4], ["LARGE", "large", "  "][i % 3]) for i in range(120, 0, -1)]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    _, d = catalog._lexicon(spark, str(tmp_path))
+    assert "keys=[value#" in d.select("key", "seq")._jdf.queryExecution().executedPlan().toString()
+    want = {("brand#1", "Brand#1", "maker"): 4, ("brand#1", "brand#1", "maker"): 1, ("brand#2", "BRAND#2", "maker"): 3, ("maker", "maker", None): 2, ("large", "LARGE", "kind"): 3, ("large", "large", "kind"): 1}
+    assert {(r.key, r.term, *(r.definitions or [None])): r.seq for r in d.collect()} == want
+
+
 def test_index_finds_keys_in_time_with_the_text():
     """All keys begin alike, as brands do: only those that occur are candidates, and choices are those of all keys."""
     import random
